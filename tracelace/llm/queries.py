@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelace.llm import mixing, sharding
+from tracelace.llm import mixing, quality, secrets, sharding
 from tracelace.llm.common import documents
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return quality.judge(documents(spark, sf_dir)).select(*columns)
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -20,6 +29,8 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op4_secret_scans": op4_secret_scans,
         "op6_mix_sources": op6_mix_sources,
         "op10_shard_documents": op10_shard_documents,
     }
@@ -27,6 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality.SQL,
+        "op4_secret_scans": secrets.SQL,
         "op6_mix_sources": mixing.SQL,
         "op10_shard_documents": sharding.sql(),
     }

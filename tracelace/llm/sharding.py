@@ -163,7 +163,7 @@ WITH RECURSIVE bits(b, c, k) AS (
 d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
 summed AS (
   SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 1 + 2 * i, 2))::UBIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::UBIGINT)::BIGINT AS crc
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc
   FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM d), tab
 ),
 {_sql_shard(topology(shards), 'a')}, {_sql_shard(topology(shards + 1), 'b')}
