@@ -1 +1,10 @@
-"""Track-graph analytics on Spark: DataFrame in, DataFrame out."""
+"""Track-graph analytics on Spark: DataFrame in, DataFrame out.
+
+Functions that run in Python workers travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
