@@ -8,7 +8,6 @@ other partitions are dealt anew and packed again, and the new packing is taken w
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelace.llm import bpe
 from tracelace.storage import written
 
 #: An item's words are looked up in a cache of at most so many, none of them longer than LONGEST bytes.
@@ -25,31 +25,40 @@ MOST, LONGEST = 300_000, 64
 
 
 class Encoder:
-    """Token ids of texts whose tokenizer drops white space, word by word through a cache, in one worker."""
+    """Token ids of texts whose tokenizer drops white space and letter case, word by word through a cache, in one worker."""
 
     def __init__(self, tokenizer_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = bpe.load(tokenizer_path)
         self.cache: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _look(self, words: list[bytes]) -> None:
+        """Ids of new words. A word that ends in stops is its stem's ids and the stops' own: the tokenizer cuts between an ASCII letter and a stop."""
+        split = {}
+        for w in words:
+            low = w if b"<|" in w else w.lower()
+            stem = low.rstrip(b".,!?")
+            split[w] = (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
+        new = list({x for pair in split.values() for x in pair}.difference(self.stems))
+        self.stems.update((k, ids.tobytes()) for k, ids in zip(new, bpe.encode_each(self.tokenizer, new), strict=True))
+        self.cache.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in split.items())
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         for i in range(0, len(texts), 128):
             cut = [t.split() for t in texts[i : i + 128]]
-            if len(self.cache) > MOST:
-                self.cache = {}
+            for held in (self.cache, self.stems):
+                if len(held) > MOST:
+                    held.clear()
             missed = list(set().union(*cut).difference(self.cache))
-            ids = self.tokenizer.encode_batch_fast([k.decode("utf-8", "replace") for k in missed], add_special_tokens=False)
-            found = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(missed, ids, strict=True)}
-            long = {k: v for k, v in found.items() if len(k) > LONGEST}
-            self.cache.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-            both = self.cache | long if long else self.cache
+            self._look(missed)
             for c in cut:
-                yield b"".join(map(both.__getitem__, c))
+                yield b"".join(map(self.cache.__getitem__, c))
+            for w in missed:
+                if len(w) > LONGEST:
+                    del self.cache[w]
+            for w in [w for w in self.stems if len(w) > LONGEST] if any(len(w) > LONGEST for w in missed) else []:
+                del self.stems[w]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
