@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelace.llm import mixing, packing, quality, secrets, sharding, simhash, substring, tokens
+from tracelace.llm import language, mixing, packing, quality, secrets, sharding, simhash, substring, tiff, tokens
 from tracelace.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(documents(spark, sf_dir))
+
+
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -50,9 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_secret_scans": op4_secret_scans,
+        "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
+        "op9_media_tiff": op9_media_tiff,
         "op10_shard_documents": op10_shard_documents,
     }
 
