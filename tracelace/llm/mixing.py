@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,14 +20,19 @@ from tracelace.storage import written
 BITS, DEPTH = 12, 3
 
 
+def _hash(seed: str) -> Column:
+    """36 bits of a hash of a row's id and text."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    return hex_bits(F.md5(key.cast("binary")), BITS * DEPTH // 4)
+
+
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size (words) and a 36-bit hash h of id and text; null texts have size 0.
+    """doc_id, source, size (words) and hash h of every row; null texts have size 0.
 
     Rows alike in id and text share a hash and are taken together. Written once, as each histogram level reads it.
     """
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), hex_bits(F.md5(key.cast("binary")), BITS * DEPTH // 4).alias("h"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _hash(seed).alias("h"))
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -95,6 +100,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """``docs`` as the mix has it: each row as often as it is taken, none to ``most`` times. Texts aren't shuffled by source."""
+    rows = written(sized(docs), "mix-sizes")
+    cut = written(thresholds(rows, targets(rows, weights, most)), "mix-thresholds").select(F.col("source").alias("_s"), "full", "below")
+    joined = docs.withColumn("_h", _hash("mix")).join(cut, F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    times = F.least(F.col("full") + (F.col("_h") < F.col("below")).cast("long"), F.lit(int(most))).cast("int")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+
+
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

@@ -68,9 +68,18 @@ def features(text: Column) -> Column:
 def rated(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """doc_id, host, the features, base_failed and strict_failed."""
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), features(F.col("text")).alias("f")).select("doc_id", "host", "f.*")
-    base = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_share * F.col("n_words"))
-    strict = base | (100 * F.col("n_symbols") > rules.strict_symbol_share * F.col("word_chars")) | (F.col("n_dup_lines") > rules.strict_dup_lines) | (100 * F.col("n_repeat_words") > rules.strict_repeat_share * F.col("n_words"))
-    return rows.withColumn("base_failed", base).withColumn("strict_failed", strict)
+    row = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return rows.withColumn("base_failed", base_fails(row, rules)).withColumn("strict_failed", strict_fails(row, rules))
+
+
+def base_fails(x, rules: Rules) -> Column:
+    """Too few words or too many repeated ones; ``x`` gives the features by name."""
+    return (x["n_words"] < rules.least_words) | (100 * x["n_repeat_words"] > rules.repeat_share * x["n_words"])
+
+
+def strict_fails(x, rules: Rules) -> Column:
+    symbols, lines = 100 * x["n_symbols"] > rules.strict_symbol_share * x["word_chars"], x["n_dup_lines"] > rules.strict_dup_lines
+    return base_fails(x, rules) | symbols | lines | (100 * x["n_repeat_words"] > rules.strict_repeat_share * x["n_words"])
 
 
 def host_verdicts(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -103,16 +112,13 @@ def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> Data
 def keep(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; the rules are computed beside the texts, which aren't shuffled.
 
-    The hosts' sums come from a first pass that writes none of the texts. Rejected hosts are few or many: their side is
-    broadcast only if Spark finds it small.
+    The hosts' sums come from a first pass that writes none of the texts. A failed document explodes to no row, so its
+    features are computed once. Rejected hosts are few or many: their side is broadcast only if Spark finds it small.
     """
     rejected = written(host_verdicts(rated(docs, rules, host), rules).filter("rejected").select(F.col("host").alias("_h"), F.lit(True).alias("_r")), "quality-hosts")
-    f = features(F.col("text"))
-    base = lambda x: (x["n_words"] < rules.least_words) | (100 * x["n_repeat_words"] > rules.repeat_share * x["n_words"])
-    strict = lambda x: base(x) | (100 * x["n_symbols"] > rules.strict_symbol_share * x["word_chars"]) | (x["n_dup_lines"] > rules.strict_dup_lines) | (100 * x["n_repeat_words"] > rules.strict_repeat_share * x["n_words"])
-    judged = docs.withColumn("_q", let(f, lambda x: F.struct(base(x).alias("b"), strict(x).alias("s")))).filter("not _q.b")
+    judged = docs.select("*", F.explode(let(features(F.col("text")), lambda x: F.when(base_fails(x, rules), F.array().cast("array<boolean>")).otherwise(F.array(strict_fails(x, rules))))).alias("_s"))
     joined = judged.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("_h")), "left")
-    return joined.filter(~(F.coalesce("_r", F.lit(False)) & F.col("_q.s"))).select(*[judged[c] for c in docs.columns])
+    return joined.filter(~(F.coalesce("_r", F.lit(False)) & F.col("_s"))).select(*[judged[c] for c in docs.columns])
 
 
 SQL = f"""
