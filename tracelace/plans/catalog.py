@@ -1,4 +1,4 @@
-"""Names of the queries over the driver's tables."""
+"""All queries over the driver's tables by name, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelace.operators import scoring
+from tracelace.plans import q_tables
+from tracelace.plans.registry import ORACLES, QUERIES
+from tracelace.sources.tracks import Tracks
+
+_MODULES = (q_tables,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Gated candidates, nearest parents, and their edge counts by dataset."""
+    k = Tracks(spark, sf_dir)
+    return scoring.edge_counts(scoring.charged_links(k.links, k.nodes, k.truth_edges, k.match), k.truth_edges)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
