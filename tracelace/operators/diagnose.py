@@ -74,7 +74,7 @@ def mislink_signal(found: DataFrame, links: DataFrame, affinity: DataFrame) -> D
     above = truth.filter("p_true is not null").select("dataset", "pred_source", "pred_target", "p_true").join(a.withColumnRenamed("source_id", "pred_source"), ["dataset", "pred_source"])
     ranks = above.groupBy("dataset", "pred_source", "pred_target").agg(F.sum((F.col("p") > F.col("p_true")).cast("long")).alias("rank"))
     out = truth.join(chosen, ["dataset", "pred_source"], "left").join(ranks, ["dataset", "pred_source", "pred_target"], "left")
-    return out.select("dataset", "source_id", "target_id", "fate", "p_true", "p_chosen", "rank", (F.col("p_chosen") > F.col("p_true")).alias("inverted"))
+    return out.select("dataset", "source_id", "target_id", "fate", "p_true", "p_chosen", "rank", F.coalesce(F.col("p_chosen") > F.col("p_true"), F.lit(False)).alias("inverted"))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
