@@ -1,7 +1,7 @@
 """Optimal assignment inside frames: the combinatorial part, in numpy over one small group at a time.
 
-Groups are connected pieces of the candidate graph of one frame, found before the assignment, so a task holds a piece and
-not a frame, let alone a dataset. Costs are minimised; among pairs within the gate as many as possible are made first.
+A group is one frame's candidates; it falls into the connected pieces of its graph, and each piece is solved by itself, so
+the cubic step sees a piece and not a frame. Costs are minimised; as many allowed pairs as possible are made first.
 """
 
 from __future__ import annotations
@@ -9,9 +9,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tracelace.operators.components import components
 
 #: The price of a pair that isn't allowed: more than any set of allowed ones.
 FORBIDDEN = 1e9
@@ -60,11 +57,21 @@ def rectangle(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(j), i) for i, j in enumerate(solve(cost.T))]
 
 
-def pieces(pairs: DataFrame, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
-    """Candidate pairs with ``piece``: the connected piece of their frame's candidate graph. Sources and targets are told apart."""
-    s = F.col("source_id") * 2
-    found = components(pairs.select(*keys, s.alias("_s"), (F.col("target_id") * 2 + 1).alias("_t")), "_s", "_t", keys)
-    return pairs.join(found.select(*keys, F.shiftright("node", 1).alias("source_id"), (F.pmod("node", F.lit(2)) == 0).alias("_is"), F.col("root").alias("piece")).filter("_is").drop("_is"), [*keys, "source_id"])
+def pieces(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    """The connected pieces of a frame's candidate graph; sources and targets are told apart."""
+    _, i = np.unique(pdf["source_id"].to_numpy(), return_inverse=True)
+    _, j = np.unique(pdf["target_id"].to_numpy(), return_inverse=True)
+    j = j + i.max() + 1
+    label = np.arange(j.max() + 1)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, i, label[j])
+        np.minimum.at(least, j, label[i])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    return [part for _, part in pdf.groupby(label[i], sort=True)]
 
 
 def _matrix(pdf: pd.DataFrame, cost: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,14 +86,15 @@ def _per_piece(pairs: DataFrame, choose, keys: tuple[str, ...] = ("dataset", "t"
     kinds = dict(pairs.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = choose(pdf)
+        got = [pair for part in pieces(pdf) for pair in choose(part)]
         out = pd.DataFrame({"source_id": [a for a, _ in got], "target_id": [b for _, b in got]}, dtype="int64")
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "source_id", "target_id"]]
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", source_id long, target_id long"
-    return pieces(pairs, keys).groupBy(*keys, "piece").applyInPandas(run, schema)
+    columns = dict.fromkeys([*keys, "source_id", "target_id", *[c for c in ("d", "cost") if c in pairs.columns]])
+    return pairs.select(*columns).groupBy(*keys).applyInPandas(run, schema)
 
 
 def gated_hungarian(pairs: DataFrame, cost: str = "d", keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:

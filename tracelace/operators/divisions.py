@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelace.operators import assign, joins
+from tracelace.operators import assign, joins, repair
 
 
 def windows(truth_edges: DataFrame) -> DataFrame:
-    """(dataset, division_id, node_id): the divider, its parents and grandparents, its daughters and granddaughters."""
+    """(dataset, division_id, node_id): the divider, its parents, its daughters and granddaughters."""
     e = truth_edges.select("dataset", "source_id", "target_id").distinct()
     div = e.groupBy("dataset", F.col("source_id").alias("division_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
     here = div.select("dataset", "division_id", F.col("division_id").alias("node_id"))
@@ -20,7 +20,25 @@ def windows(truth_edges: DataFrame) -> DataFrame:
         return at.join(e.select("dataset", F.col(a).alias("node_id"), F.col(b).alias("_next")), ["dataset", "node_id"]).select("dataset", "division_id", F.col("_next").alias("node_id"))
 
     up, down = step(here, False), step(here, True)
-    return here.union(up).union(step(up, False)).union(down).union(step(down, True)).distinct()
+    return here.union(up).union(down).union(step(down, True)).distinct()
+
+
+def _invalid(kids: DataFrame, edges: DataFrame, match: DataFrame, components: DataFrame) -> DataFrame:
+    """(dataset, fork_id) of the forks that the truth or the graph itself rules out.
+
+    A branch points at the component of its child's match; without one, at that of its grandchildren's matches if they have
+    one in common. A child, or a grandchild that is asked, with another parent spoils the fork.
+    """
+    parents = edges.groupBy("dataset", F.col("target_id").alias("node_id")).agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    at = match.select("dataset", F.col("pred_id").alias("node_id"), F.col("gt_id")).join(components.withColumnRenamed("node_id", "gt_id"), ["dataset", "gt_id"]).select("dataset", "node_id", "component")
+    info = parents.join(at, ["dataset", "node_id"], "left")
+    child = kids.join(info.withColumnsRenamed({"node_id": "child_id"}), ["dataset", "child_id"], "left")
+    below = child.filter("component is null").select("dataset", "fork_id", "child_id").join(edges.withColumnsRenamed({"source_id": "child_id", "target_id": "node_id"}), ["dataset", "child_id"]).join(info, ["dataset", "node_id"], "left")
+    below = below.groupBy("dataset", "fork_id", "child_id").agg(F.bool_or("_shared").alias("_bad"), F.count_distinct("component").alias("_k"), F.min("component").alias("_c"))
+    seen = child.join(below, ["dataset", "fork_id", "child_id"], "left")
+    branch = seen.select("dataset", "fork_id", (F.col("_shared") | F.coalesce("_bad", F.lit(False))).alias("_spoilt"), F.coalesce("component", F.when(F.col("_k") == 1, F.col("_c"))).alias("_at"))
+    verdict = branch.groupBy("dataset", "fork_id").agg(F.bool_or("_spoilt").alias("_spoilt"), F.count_distinct("_at").alias("_k"))
+    return verdict.filter("_spoilt or _k >= 2").select("dataset", "fork_id")
 
 
 def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_edges: DataFrame, ruler: float = 7.0) -> DataFrame:
@@ -28,8 +46,9 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
 
     A division is recovered by a predicted fork whose parent side matches the divider or its parents and whose children's
     lineages reach two different daughters' lineages (a daughter or its children), each fork and division used once. Raw
-    edges count towards forks. A fork is invalid if it has children outside the next frame; false are invalid forks,
-    those considered for a division and those that lie wholly in matched, evaluable tissue, less the recovered.
+    edges count towards forks. A division counts forks near it only where its parent side and two daughters are detected.
+    A fork is invalid if a child has another parent, or its branches point at different components of the truth. False are
+    the invalid forks, those near a division and those on truth that has a child, less the recovered.
     The matching of nodes is done anew for each division's window, so annotations further away can't compete.
     """
     w = windows(truth_edges)
@@ -40,10 +59,10 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
     whole = joins.gated(nodes.select("dataset", "node_id", "t", "uz", "uy", "ux"), truth.select("dataset", "node_id", "t", "uz", "uy", "ux"), ruler)
     all_match = assign.match_nodes(whole.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d"))
 
-    t = nodes.select("dataset", "node_id", "t")
-    e = edges.select("dataset", "source_id", "target_id").join(t.withColumnsRenamed({"node_id": "source_id", "t": "_s"}), ["dataset", "source_id"]).join(t.withColumnsRenamed({"node_id": "target_id", "t": "_e"}), ["dataset", "target_id"])
-    forks = e.groupBy("dataset", F.col("source_id").alias("fork_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("_e") - F.col("_s") != 1).alias("invalid"), F.count_distinct("target_id").alias("n_children")).filter("_n >= 2")
-    kids = edges.select("dataset", F.col("source_id").alias("fork_id"), F.col("target_id").alias("child_id")).distinct().join(forks, ["dataset", "fork_id"])
+    forks = edges.groupBy("dataset", F.col("source_id").alias("fork_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("dataset", "fork_id")
+    own = edges.select("dataset", "source_id", "target_id").distinct()
+    kids = own.withColumnsRenamed({"source_id": "fork_id", "target_id": "child_id"}).join(forks, ["dataset", "fork_id"])
+    invalid = _invalid(kids, own, all_match, repair.labelled(truth, truth_edges))
 
     ge = truth_edges.select("dataset", "source_id", "target_id").distinct()
     daughters = ge.join(w.select("dataset", "division_id").distinct(), (ge["dataset"] == w["dataset"]) & (ge["source_id"] == w["division_id"])).select(ge["dataset"], "division_id", F.col("target_id").alias("daughter"))
@@ -55,20 +74,22 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
 
     upper = match.join(top, ["dataset", "division_id", "gt_id"]).select("dataset", "division_id", F.col("pred_id").alias("fork_id"))
     after = upper.join(edges.select("dataset", F.col("source_id").alias("fork_id"), F.col("target_id").alias("_n")), ["dataset", "fork_id"]).select("dataset", "division_id", F.col("_n").alias("fork_id"))
-    considered = upper.union(after).distinct().join(forks.select("dataset", "fork_id", "invalid"), ["dataset", "fork_id"])
     lower = match.join(side, ["dataset", "division_id", "gt_id"]).select("dataset", "division_id", "daughter", F.col("pred_id").alias("reached"))
+    daughters_met = lower.groupBy("dataset", "division_id").agg(F.count_distinct("daughter").alias("_d"))
+    supported = daughters_met.filter("_d >= 2").join(upper.select("dataset", "division_id").distinct(), ["dataset", "division_id"]).drop("_d")
+    considered = upper.union(after).distinct().join(forks, ["dataset", "fork_id"]).join(supported, ["dataset", "division_id"])
     reach = kids.select("dataset", "fork_id", "child_id", F.col("child_id").alias("reached")).union(kids.join(edges.select("dataset", F.col("source_id").alias("child_id"), F.col("target_id").alias("reached")), ["dataset", "child_id"]).select("dataset", "fork_id", "child_id", "reached")).distinct()
-    touch = considered.filter("not invalid").join(reach, ["dataset", "fork_id"]).join(lower, ["dataset", "division_id", "reached"]).select("dataset", "division_id", "fork_id", "child_id", "daughter").distinct()
+    touch = considered.join(invalid, ["dataset", "fork_id"], "left_anti").join(reach, ["dataset", "fork_id"]).join(lower, ["dataset", "division_id", "reached"]).select("dataset", "division_id", "fork_id", "child_id", "daughter").distinct()
     links = touch.alias("a").join(touch.alias("b"), ["dataset", "division_id", "fork_id"]).filter("a.child_id < b.child_id and a.daughter != b.daughter").select("dataset", "division_id", "fork_id").distinct()
 
     mm = all_match.select("dataset", F.col("pred_id").alias("node_id"), "gt_id")
     has_out = ge.select("dataset", F.col("source_id").alias("gt_id")).distinct()
     evaluable = forks.join(mm.withColumnRenamed("node_id", "fork_id"), ["dataset", "fork_id"]).join(has_out, ["dataset", "gt_id"], "left_semi").select("dataset", "fork_id")
-    charged = considered.select("dataset", "fork_id").union(evaluable).union(forks.filter("invalid").select("dataset", "fork_id")).distinct()
+    charged = considered.select("dataset", "fork_id").union(evaluable).union(invalid).distinct()
 
-    mine = match.join(side, ["dataset", "division_id", "gt_id"]).groupBy("dataset", "division_id").agg(F.count_distinct("daughter").alias("_d"))
-    state = divider.select("dataset", "division_id").join(mine, ["dataset", "division_id"], "left").join(upper.groupBy("dataset", "division_id").agg(F.count(F.lit(1)).alias("_u")), ["dataset", "division_id"], "left").join(considered.groupBy("dataset", "division_id").agg(F.count(F.lit(1)).alias("_f")), ["dataset", "division_id"], "left").fillna(0, ["_d", "_u", "_f"])
-    rows = state.select("dataset", "division_id", F.lit(None).cast("long").alias("fork_id"), (F.when((F.col("_d") < 2) | (F.col("_u") == 0), "nodes_missing").when(F.col("_f") == 0, "no_fork").otherwise("fork_rejected")).alias("state"))
+    near_forks = considered.groupBy("dataset", "division_id").agg(F.count(F.lit(1)).alias("_f"))
+    state = divider.select("dataset", "division_id").join(supported.withColumn("_s", F.lit(1)), ["dataset", "division_id"], "left").join(near_forks, ["dataset", "division_id"], "left").fillna(0, ["_s", "_f"])
+    rows = state.select("dataset", "division_id", F.lit(None).cast("long").alias("fork_id"), (F.when(F.col("_s") == 0, "nodes_missing").when(F.col("_f") == 0, "no_fork").otherwise("fork_rejected")).alias("state"))
     rows = rows.unionByName(links.withColumn("state", F.lit("link"))).unionByName(charged.select("dataset", F.lit(None).cast("long").alias("division_id"), "fork_id", F.lit("charged").alias("state")))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -195,13 +195,14 @@ def min_cost_flow(nodes: DataFrame, pairs: DataFrame, boundary: float, bonus: fl
     """Global links of each dataset: whole costs (thousandths, half to even) of d - bonus * p, ends at ``boundary`` each."""
     priced = costs.bonus_cost(pairs, bonus).select("dataset", "source_id", "target_id", F.rint(F.col("cost") * 1000).cast("long").alias("c"))
     frames = nodes.select("dataset", "t", F.col("node_id").alias("source_id"), F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("long").alias("c"))
-    both = frames.unionByName(priced.withColumn("t", F.lit(None).cast("int")))
+    both = frames.unionByName(priced.withColumn("t", F.lit(None).cast(dict(nodes.dtypes)["t"])))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["target_id"].isna()].sort_values(["t", "source_id"])["source_id"].astype("int64").tolist()
         arcs = pdf[pdf["target_id"].notna()].sort_values(["source_id", "target_id"])
         links = flow([(int(a), int(b), int(c)) for a, b, c in zip(arcs["source_id"], arcs["target_id"], arcs["c"], strict=True)], own, round(1000 * boundary), round(1000 * boundary), None if divide is None else round(1000 * divide))
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]] * len(links), "source_id": [a for a, _ in links], "target_id": [b for _, b in links]}).astype({"source_id": "int64", "target_id": "int64"})
+        name = str(pdf["dataset"].iloc[0])
+        return pd.DataFrame([(name, a, b) for a, b in links], columns=["dataset", "source_id", "target_id"]).astype({"dataset": object, "source_id": "int64", "target_id": "int64"})
 
     return _edges(both.groupBy("dataset").applyInPandas(run, "dataset string, source_id long, target_id long"))
 
