@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import os
+import sys
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 
 
+def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in the life of a Python worker and used by all the tasks that it runs."""
+    held = sys.__dict__.setdefault("_of_worker", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def load(path: str):
     """The tokenizer in a file, without truncation or padding; Spark's tasks are the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tracelace.llm import bpe
 from tracelace.storage import written
 
-#: An item's words are looked up in a cache of at most so many, none of them longer than LONGEST bytes.
-MOST, LONGEST = 300_000, 64
+#: A worker keeps the ids of at most so many words and stems, none of them longer than LONGEST bytes: some 200 MB.
+MOST, MOST_STEMS, LONGEST = 600_000, 400_000, 64
 
 
 class Encoder:
@@ -47,9 +47,10 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         for i in range(0, len(texts), 128):
             cut = [t.split() for t in texts[i : i + 128]]
-            for held in (self.cache, self.stems):
-                if len(held) > MOST:
-                    held.clear()
+            if len(self.cache) > MOST:
+                self.cache.clear()
+            if len(self.stems) > MOST_STEMS:
+                self.stems.clear()
             missed = list(set().union(*cut).difference(self.cache))
             self._look(missed)
             for c in cut:
@@ -69,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = bpe.of_worker(("ids", tokenizer_path), lambda: Encoder(tokenizer_path))
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows: list[tuple[int, int, int, int, int]] = []
