@@ -103,10 +103,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """``docs`` as the mix has it: each row as often as it is taken, none to ``most`` times. Texts aren't shuffled by source."""
     rows = written(sized(docs), "mix-sizes")
-    cut = written(thresholds(rows, targets(rows, weights, most)), "mix-thresholds").select(F.col("source").alias("_s"), "full", "below")
-    joined = docs.withColumn("_h", _hash("mix")).join(cut, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    times = F.least(F.col("full") + (F.col("_h") < F.col("below")).cast("long"), F.lit(int(most))).cast("int")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    cut = written(thresholds(rows, targets(rows, weights, most)), "mix-thresholds").select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("below").alias("__below"))
+    joined = docs.withColumn("__h", _hash("mix")).join(cut, F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    times = F.least(F.col("__full") + (F.col("__h") < F.col("__below")).cast("long"), F.lit(int(most))).cast("int")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")
 
 
 SQL = f"""

@@ -115,10 +115,10 @@ def keep(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataF
     The hosts' sums come from a first pass that writes none of the texts. A failed document explodes to no row, so its
     features are computed once. Rejected hosts are few or many: their side is broadcast only if Spark finds it small.
     """
-    rejected = written(host_verdicts(rated(docs, rules, host), rules).filter("rejected").select(F.col("host").alias("_h"), F.lit(True).alias("_r")), "quality-hosts")
-    judged = docs.select("*", F.explode(let(features(F.col("text")), lambda x: F.when(base_fails(x, rules), F.array().cast("array<boolean>")).otherwise(F.array(strict_fails(x, rules))))).alias("_s"))
-    joined = judged.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("_h")), "left")
-    return joined.filter(~(F.coalesce("_r", F.lit(False)) & F.col("_s"))).select(*[judged[c] for c in docs.columns])
+    rejected = written(host_verdicts(rated(docs, rules, host), rules).filter("rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__rejected")), "quality-hosts")
+    judged = docs.select("*", F.explode(let(features(F.col("text")), lambda x: F.when(base_fails(x, rules), F.array().cast("array<boolean>")).otherwise(F.array(strict_fails(x, rules))))).alias("__strict"))
+    joined = judged.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
+    return joined.filter(~(F.coalesce("__rejected", F.lit(False)) & F.col("__strict"))).select(*[judged[c] for c in docs.columns])
 
 
 SQL = f"""

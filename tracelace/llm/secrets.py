@@ -78,7 +78,7 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     sets = [F.bit_or(F.when(F.col("trigram").between(w, w + 62), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trigram") - w).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_b{w}") for w in words]
     merged = postings(docs, vocabulary).groupBy("doc_id").agg(*sets).select("doc_id", F.array(*[f"_b{w}" for w in words]).alias("_bits"))
     met = [F.when(_met(q, F.col("_bits"), at), F.lit(i)) for i, q in enumerate(queries) if q != trigrams.ALL]
-    return merged.select(F.col("doc_id").alias("_c"), F.array_compact(F.array(*met)).alias("_rules")).filter(F.size("_rules") > 0)
+    return merged.select(F.col("doc_id").alias("__candidate"), F.array_compact(F.array(*met)).alias("__rules")).filter(F.size("__rules") > 0)
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -106,25 +106,25 @@ def _tagged(spans: Column, rule: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rule).alias("rule"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, kind, end), ordered by start and then by the rules' order.
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, into: str = "spans") -> DataFrame:
+    """``docs`` with ``into``: array of (start, kind, end), ordered by start and then by the rules' order.
 
     Every row stays; a null text has no spans. The candidates' side holds ids alone and is broadcast only if Spark finds
-    it small; else both sides are dealt by id. Extra columns pass through, names that begin with an underscore are ours.
+    it small; else both sides are dealt by id. Extra columns pass through; one named as ``into`` is replaced.
     """
     found = written(candidates(docs, rules), "secret-candidates")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_c"]), "left")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__candidate"]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
     parts = []
     for i, r in enumerate(rules):
         spans = matches(text, r)
         if trigrams.query_of(r.pattern) != trigrams.ALL:
-            spans = F.when(F.array_contains("_rules", i), spans).otherwise(none)
+            spans = F.when(F.array_contains(found["__rules"], i), spans).otherwise(none)
         parts.append(_tagged(spans, i))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(s["start"].alias("start"), F.get(kinds, s["rule"]).alias("kind"), s["end"].alias("end")))
-    return joined.select(*[docs[c] for c in docs.columns], spans.alias("spans"))
+    return joined.select(*[docs[c] for c in docs.columns if c != into], spans.alias(into))
 
 
 def _listed(spans: Column) -> Column:
@@ -150,7 +150,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         )
         return let(F.aggregate(spans, start, step), lambda r: F.concat(r["out"], F.substring(text, r["at"] + 1, F.length(text))))
 
-    return scan(docs).withColumn("text", F.when(F.size("spans") == 0, text).otherwise(cut(F.col("spans")))).select(*docs.columns)
+    found = scan(docs, into="__spans")
+    return found.withColumn("text", F.when(F.size("__spans") == 0, text).otherwise(cut(F.col("__spans")))).select(*docs.columns)
 
 
 def _sql_spans(i: int, rule: Rule) -> str:

@@ -151,10 +151,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     groups = written(near_copies(docs, width, similarity), "near-groups")
     least = groups.groupBy("component").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    gone = groups.join(least, "component").filter("doc_id != _keep").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = written(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "near-repeated")
+    gone = groups.join(least, "component").filter("doc_id != _keep").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again = written(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "near-repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(once)
+    once = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(once)

@@ -190,7 +190,7 @@ class _Parser:
             elif chars is not None:
                 chars.add(c)
         self.i += 1
-        if negated or chars is None or len(folded := {x.lower() for x in chars}) > 4:
+        if negated or chars is None or len(folded := {x.lower() for x in chars}) > 8:
             return _Info(None, ALL)
         return _Info(frozenset(folded), ALL)
 
