@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelace.operators import assign, joins, repair
+from tracelace.storage import written
 
 
 def windows(truth_edges: DataFrame) -> DataFrame:
@@ -51,18 +52,21 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
     the invalid forks, those near a division and those on truth that has a child, less the recovered.
     The matching of nodes is done anew for each division's window, so annotations further away can't compete.
     """
-    w = windows(truth_edges)
+    slim = ["dataset", "node_id", "t", "uz", "uy", "ux"]
+    nodes, truth = written(nodes.select(*slim), "division-nodes"), written(truth.select(*slim), "division-truth")
+    edges, truth_edges = written(edges.select("dataset", "source_id", "target_id"), "division-edges"), written(truth_edges.select("dataset", "source_id", "target_id"), "division-truth-edges")
+    w = written(windows(truth_edges), "division-windows")
     gt = w.join(truth.select("dataset", "node_id", "t", "uz", "uy", "ux"), ["dataset", "node_id"])
     near = joins.gated(nodes.select("dataset", "node_id", "t", "uz", "uy", "ux"), gt, ruler)
     pairs = near.select(F.col("a_dataset").alias("dataset"), F.col("b_division_id").alias("division_id"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d")
-    match = assign.match_nodes(pairs, ("dataset", "division_id", "t"))
+    match = written(assign.match_nodes(pairs, ("dataset", "division_id", "t")), "division-match")
     whole = joins.gated(nodes.select("dataset", "node_id", "t", "uz", "uy", "ux"), truth.select("dataset", "node_id", "t", "uz", "uy", "ux"), ruler)
-    all_match = assign.match_nodes(whole.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d"))
+    all_match = written(assign.match_nodes(whole.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d")), "division-match-all")
 
     forks = edges.groupBy("dataset", F.col("source_id").alias("fork_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("dataset", "fork_id")
     own = edges.select("dataset", "source_id", "target_id").distinct()
     kids = own.withColumnsRenamed({"source_id": "fork_id", "target_id": "child_id"}).join(forks, ["dataset", "fork_id"])
-    invalid = _invalid(kids, own, all_match, repair.labelled(truth, truth_edges))
+    invalid = written(_invalid(kids, own, all_match, repair.labelled(truth, truth_edges)), "division-invalid")
 
     ge = truth_edges.select("dataset", "source_id", "target_id").distinct()
     daughters = ge.join(w.select("dataset", "division_id").distinct(), (ge["dataset"] == w["dataset"]) & (ge["source_id"] == w["division_id"])).select(ge["dataset"], "division_id", F.col("target_id").alias("daughter"))
@@ -77,7 +81,7 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
     lower = match.join(side, ["dataset", "division_id", "gt_id"]).select("dataset", "division_id", "daughter", F.col("pred_id").alias("reached"))
     daughters_met = lower.groupBy("dataset", "division_id").agg(F.count_distinct("daughter").alias("_d"))
     supported = daughters_met.filter("_d >= 2").join(upper.select("dataset", "division_id").distinct(), ["dataset", "division_id"]).drop("_d")
-    considered = upper.union(after).distinct().join(forks, ["dataset", "fork_id"]).join(supported, ["dataset", "division_id"])
+    considered = written(upper.union(after).distinct().join(forks, ["dataset", "fork_id"]).join(supported, ["dataset", "division_id"]), "division-forks")
     reach = kids.select("dataset", "fork_id", "child_id", F.col("child_id").alias("reached")).union(kids.join(edges.select("dataset", F.col("source_id").alias("child_id"), F.col("target_id").alias("reached")), ["dataset", "child_id"]).select("dataset", "fork_id", "child_id", "reached")).distinct()
     touch = considered.join(invalid, ["dataset", "fork_id"], "left_anti").join(reach, ["dataset", "fork_id"]).join(lower, ["dataset", "division_id", "reached"]).select("dataset", "division_id", "fork_id", "child_id", "daughter").distinct()
     links = touch.alias("a").join(touch.alias("b"), ["dataset", "division_id", "fork_id"]).filter("a.child_id < b.child_id and a.daughter != b.daughter").select("dataset", "division_id", "fork_id").distinct()
