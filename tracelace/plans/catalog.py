@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelace.operators import scoring
-from tracelace.plans import q_scores, q_stages, q_tables
+from tracelace.plans import q_more, q_scores, q_stages, q_tables
 from tracelace.plans.registry import ORACLES, QUERIES
 from tracelace.sources.tracks import Tracks
 
-_MODULES = (q_tables, q_scores, q_stages)
+_MODULES = (q_tables, q_scores, q_stages, q_more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
