@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def tables():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else (round(float(v), 9) if isinstance(v, (float, np.floating)) else (int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, (bool, np.bool_)) else str(v)))
+    plain = lambda v: None if v is None or v is pd.NA or v != v else (round(float(v), 9) if isinstance(v, (float, np.floating)) else (int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, (bool, np.bool_)) else str(v)))
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
