@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,7 @@ class Encoder:
                 self.cache.clear()
             if len(self.stems) > MOST_STEMS:
                 self.stems.clear()
-            missed = list(set().union(*cut).difference(self.cache))
+            missed = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(cut))))
             self._look(missed)
             for c in cut:
                 yield b"".join(map(self.cache.__getitem__, c))
