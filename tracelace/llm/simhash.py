@@ -96,14 +96,15 @@ def grouped(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id of every row: the least doc_id reachable over links, through any number of them.
 
     Copies share a fingerprint and count once from there on. Fingerprint 0 (no words) is linked like any other. Null ids
-    belong to their group but don't name it; a group of them alone has a null component. Repeated rows stay.
+    belong to their group but don't name it; a group of them alone has a null component. Repeated rows stay. The groups'
+    least ids are written before they are joined, so that Spark can split the join where a group is large.
     """
     rows = written(fingerprints(docs.select("doc_id", "text"), width), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     edges = written(links(distinct.select("fp"), radius), "fingerprint-links")
     labels = components(edges, "a", "b").select(F.col("node").alias("fp"), "root")
     labelled = written(distinct.join(labels, "fp", "left"), "fingerprint-groups")
-    roots = labelled.filter("root is not null").groupBy("root").agg(F.min("_least").alias("_all"))
+    roots = written(labelled.filter("root is not null").groupBy("root").agg(F.min("_least").alias("_all")), "fingerprint-roots")
     named = labelled.join(roots, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("_all")).alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -150,7 +151,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Rows with a null id can't be named and stay. What is joined to the texts is the ids to go, which is the smaller side.
     """
     groups = written(near_copies(docs, width, similarity), "near-groups")
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    least = written(groups.groupBy("component").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-least")
     gone = groups.join(least, "component").filter("doc_id != _keep").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = written(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "near-repeated")
