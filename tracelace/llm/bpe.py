@@ -29,8 +29,8 @@ def load(path: str):
     return out
 
 
-def encode_each(tokenizer, strings: list[bytes], special: str = "<|endoftext|>", at_once: int = 64) -> list[np.ndarray]:
-    """The ids of each string as uint32, as if encoded alone.
+def encode_each(tokenizer, strings: list[bytes], special: str = "<|endoftext|>", at_once: int = 64) -> list[bytes]:
+    """The ids of each string as little-endian unsigned 32-bit numbers, as if encoded alone.
 
     A special token always ends what stands before it, so strings are encoded many at a time with it between them;
     strings that hold "<|" themselves are encoded alone. Only calls to the library are saved.
@@ -42,10 +42,11 @@ def encode_each(tokenizer, strings: list[bytes], special: str = "<|endoftext|>",
     joint = tokenizer.encode_batch_fast([special.join([strings[i].decode("utf-8", "replace") for i in g]) for g in groups], add_special_tokens=False)
     for g, e in zip(groups, joint, strict=True):
         ids = np.array(e.ids, "<u4")
+        raw = ids.tobytes()
         ends = np.flatnonzero(ids == mark).tolist()
         for i, a, b in zip(g, [0, *[x + 1 for x in ends]], [*ends, len(ids)], strict=True):
-            out[i] = ids[a:b]
+            out[i] = raw[4 * a : 4 * b]
     for i, s in enumerate(strings):
         if out[i] is None:
-            out[i] = np.array(tokenizer.encode(s.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            out[i] = np.array(tokenizer.encode(s.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
     return out

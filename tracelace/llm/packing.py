@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tracelace.llm import bpe
 from tracelace.storage import written
 
-#: A worker keeps the ids of at most so many words and stems, none of them longer than LONGEST bytes: some 200 MB.
-MOST, MOST_STEMS, LONGEST = 600_000, 400_000, 64
+#: A worker keeps the ids of at most so many words, none of them longer than LONGEST bytes: some 200 MB.
+MOST, LONGEST = 1_000_000, 64
 
 
 class Encoder:
@@ -30,36 +30,53 @@ class Encoder:
     def __init__(self, tokenizer_path: str):
         self.tokenizer = bpe.load(tokenizer_path)
         self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
-    def _look(self, words: list[bytes]) -> None:
+    def _look(self, words: set[bytes]) -> None:
         """Ids of new words. A word that ends in stops is its stem's ids and the stops' own: the tokenizer cuts between an ASCII letter and a stop."""
-        split = {}
+        cache = self.cache
+        new: set[bytes] = set()
+        made: list[tuple[bytes, bytes, bytes]] = []
         for w in words:
             low = w if b"<|" in w else w.lower()
             stem = low.rstrip(b".,!?")
-            split[w] = (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
-        new = list({x for pair in split.values() for x in pair}.difference(self.stems))
-        self.stems.update((k, ids.tobytes()) for k, ids in zip(new, bpe.encode_each(self.tokenizer, new), strict=True))
-        self.cache.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in split.items())
+            if stem != low and not stem[-1:].isalnum():
+                stem = low
+            if stem == w:
+                new.add(w)
+                continue
+            stops = low[len(stem) :]
+            made.append((w, stem, stops))
+            if stem not in cache:
+                new.add(stem)
+            if stops not in cache:
+                new.add(stops)
+        each = list(new)
+        cache.update(zip(each, bpe.encode_each(self.tokenizer, each), strict=True))
+        for w, stem, stops in made:
+            cache[w] = cache[stem] + cache[stops]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        cache = self.cache
         for i in range(0, len(texts), 128):
+            if len(cache) > MOST:
+                cache.clear()
             cut = [t.split() for t in texts[i : i + 128]]
-            if len(self.cache) > MOST:
-                self.cache.clear()
-            if len(self.stems) > MOST_STEMS:
-                self.stems.clear()
-            missed = list(set().union(*cut).difference(self.cache))
+            got = [list(map(cache.get, c)) for c in cut]
+            holes: list[tuple[int, int]] = []
+            for d, g in enumerate(got):
+                at = -1
+                for _ in range(g.count(None)):
+                    at = g.index(None, at + 1)
+                    holes.append((d, at))
+            missed = {cut[d][at] for d, at in holes}
             self._look(missed)
-            for c in cut:
-                yield b"".join(map(self.cache.__getitem__, c))
-            for w in missed:
-                if len(w) > LONGEST:
-                    del self.cache[w]
-            for w in [w for w in self.stems if len(w) > LONGEST] if any(len(w) > LONGEST for w in missed) else []:
-                del self.stems[w]
+            for d, at in holes:
+                got[d][at] = cache[cut[d][at]]
+            yield from map(b"".join, got)
+            if any(len(w) > LONGEST for w in missed):
+                for w in [w for w in cache if len(w) > LONGEST]:
+                    del cache[w]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
