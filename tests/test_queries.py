@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 SOME = (
     "j1_gated_frame_gap", "j6_support_before_after", "j14_gap_proposals", "a9_video_summary", "w5_distance_rank", "t5_best_and_runner_up", "u3_agreement",
     "m4_edge_confusion", "m9_edge_auc", "m10_edge_fates", "l4_admissible_affinity", "e4_calibrated_fusion", "g11_components", "q6_drift_field_peak", "n2_detected_pairs",
-    "r6_bridge_proposals", "r8_affinity_division_recovery", "s7_submission_round_trip", "z4_windowed_stream", "q22_run_states",
+    "r6_bridge_proposals", "r8_affinity_division_recovery", "s7_submission_round_trip", "z4_windowed_stream", "q22_run_states", "m20_prune_price", "m31_score_ceiling", "m32_operating_points", "q25_corpus_audit",
 )
 
 
