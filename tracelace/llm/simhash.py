@@ -123,25 +123,37 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, longs:
     """doc_id and component of every row, under links between texts of at least the similarity.
 
     At such a similarity 64 bits differ in about ten places, more than one ball can hold. The fingerprint has ``longs``
-    longs here, and each of its 32-bit halves is met in the middle by itself, with radius 2. Neighbours at a place, in the
-    order of their fingerprints, and the first and each other one there are then verified over all bits. Of two texts with
-    similarity 0.8, 0.85 and 0.9 the sixteen halves of eight longs find about 87, 99 and more in 100; equal texts always. Texts
-    without words are one group.
+    longs here, and each of its 32-bit halves is met in the middle by itself, with radius 2. Texts with an equal half are
+    verified over all bits against the first of them, which joins most of a large group by few pairs. Then the balls meet: at
+    a place each is verified against the first and the one before it, unless the two are joined already. Equal texts are
+    always found. Of 250 pairs of 300 words, eight longs found 44, 86 and 100 in 100 at similarity 0.8, 0.85 and 0.9 (four: 29, 71
+    and 97). Texts without words are one group.
     """
     names = [f"f{i}" for i in range(longs)]
     rows = written(fingerprints(docs.select("doc_id", "text"), width, longs=longs).withColumn("node", F.xxhash64(*names)), "near-fingerprints")
     distinct = rows.select("node", *names).dropDuplicates(["node"])
     halves = [h for n in names for h in (F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(n, 32))]
-    emitted = distinct.select("node", F.posexplode(F.array(*halves)).alias("_half", "_value"))
-    flipped = F.explode(F.array(*[F.col("_value").bitwiseXOR(F.lit(m)) for m in masks(1, 32)]))
-    placed = emitted.select("node", F.shiftleft(F.col("_half").cast("long"), 32).alias("_top"), flipped.alias("_low")).select("node", F.col("_top").bitwiseOR(F.col("_low")).alias("_at"))
     at = W.partitionBy("_at").orderBy("node")
-    met = placed.select("node", F.lag("node").over(at).alias("_before"), F.min("node").over(at).alias("_first")).filter("_before is not null")
-    pairs = met.select("node", F.explode(F.array_distinct(F.array("_before", "_first"))).alias("other")).distinct()
+
+    def placed(nodes: DataFrame, reach: int, *carry: str) -> DataFrame:
+        emitted = nodes.select("node", *carry, F.posexplode(F.array(*halves)).alias("_half", "_value"))
+        flipped = F.explode(F.array(*[F.col("_value").bitwiseXOR(F.lit(m)) for m in masks(reach, 32)]))
+        return emitted.select("node", *carry, F.shiftleft(F.col("_half").cast("long"), 32).alias("_top"), flipped.alias("_low")).select("node", *carry, F.col("_top").bitwiseOR(F.col("_low")).alias("_at"))
+
     mine, theirs = distinct.select("node", *names), distinct.select(F.col("node").alias("other"), *[F.col(n).alias(f"o{n}") for n in names])
     apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("of0"))))
-    edges = pairs.join(mine, "node").join(theirs, "other").filter(apart <= bits_apart(similarity, 64 * longs)).select("node", "other")
-    labels = components(edges, "node", "other")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(mine, "node").join(theirs, "other").filter(apart <= bits_apart(similarity, 64 * longs)).select("node", "other")
+
+    alike = placed(distinct, 0).withColumn("other", F.min("node").over(at)).filter("node != other").select("node", "other").distinct()
+    edges = written(verified(alike), "near-alike")
+    labels = written(components(edges, "node", "other").select("node", "root"), "near-labels")
+    marked = distinct.join(labels, "node", "left").select("node", *names, F.coalesce("root", "node").alias("_mark"))
+    here = F.struct("node", "_mark")
+    met = placed(marked, 1, "_mark").select("node", "_mark", F.lag(here).over(at).alias("_before"), F.min(here).over(at).alias("_first")).filter("_before is not null")
+    pairs = met.select("node", "_mark", F.explode(F.array("_before", "_first")).alias("_o")).filter("_o._mark != _mark").select("node", F.col("_o.node").alias("other")).distinct()
+    labels = components(edges.union(verified(pairs)), "node", "other")
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
 
 
