@@ -226,6 +226,12 @@ def test_one_of_each_near_copy_stays(spark, dirty):
         simhash.links(docs.selectExpr("1L as fp"), 3)
 
 
+def test_texts_with_the_same_bits_are_verified_on_their_shingles(spark):
+    often = "the same five words again " * 60
+    docs = table(spark, [(i, often + " ".join(f"own{i}x{k}" for k in range(20)), "en", "a") for i in range(4)])
+    assert simhash.near_copies(docs).select("component").distinct().count() == 4
+
+
 def test_token_counts_equal_the_library(dirty):
     from tokenizers import Tokenizer
 

@@ -7,14 +7,14 @@ become edges, and components of the edges are the groups of near copies.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -114,46 +114,114 @@ def digest(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return grouped(docs, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Fingerprints of shingle sets with Jaccard similarity s are expected to differ in acos(2 s / (1 + s)) / pi of their bits."""
-    return math.floor(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+#: Counters of the sketch of shingles' frequencies, in blocks that are summed apart, and places of the set of nodes to verify.
+COUNTERS, BLOCKS, PLACES = 1 << 20, 256, 1 << 24
+#: Members of a place that are compared with each other in one piece.
+PIECE = 256
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, longs: int = 8) -> DataFrame:
-    """doc_id and component of every row, under links between texts of at least the similarity.
+def hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The sorted set of the shingles' XXH64."""
+    parts = shingles(text, width)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts)))
 
-    At such a similarity 64 bits differ in about ten places, more than one ball can hold. The fingerprint has ``longs``
-    longs here, and each of its 32-bit halves is met in the middle by itself, with radius 2. Texts with an equal half are
-    verified over all bits against the first of them, which joins most of a large group by few pairs. Then the balls meet: at
-    a place each is verified against the first and the one before it, unless the two are joined already. Equal texts are
-    always found. Of 250 pairs of 300 words, eight longs found 44, 86 and 100 in 100 at similarity 0.8, 0.85 and 0.9 (four: 29, 71
-    and 97). Texts without words are one group.
-    """
-    names = [f"f{i}" for i in range(longs)]
-    rows = written(fingerprints(docs.select("doc_id", "text"), width, longs=longs).withColumn("node", F.xxhash64(*names)), "near-fingerprints")
-    distinct = rows.select("node", *names).dropDuplicates(["node"])
-    halves = [h for n in names for h in (F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(n, 32))]
-    at = W.partitionBy("_at").orderBy("node")
 
-    def placed(nodes: DataFrame, reach: int, *carry: str) -> DataFrame:
-        emitted = nodes.select("node", *carry, F.posexplode(F.array(*halves)).alias("_half", "_value"))
-        flipped = F.explode(F.array(*[F.col("_value").bitwiseXOR(F.lit(m)) for m in masks(reach, 32)]))
-        return emitted.select("node", *carry, F.shiftleft(F.col("_half").cast("long"), 32).alias("_top"), flipped.alias("_low")).select("node", *carry, F.col("_top").bitwiseOR(F.col("_low")).alias("_at"))
+def _node(found: np.ndarray) -> int:
+    """The signed name of a set of hashes: texts with equal sets share it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).astype(np.int64))
+
+
+def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts have a shingle, by the lowest bits of its hash: for the order of shingles only, in which any number will do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(held, (hashes(t or b"", width) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(held, BLOCKS)], pa.binary())], names=["block", "held"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("held").to_pylist())
+        return pa.table({"block": group.column("block")[:1].combine_chunks(), "held": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
+    for block, held in texts.mapInArrow(count, "block int, held binary").groupBy("block").applyInArrow(summed, "block int, held binary").collect():
+        out[block] = np.frombuffer(bytes(held), np.int64)
+    return out.reshape(-1)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component of every row, under links between all texts whose sets of shingles have the Jaccard similarity.
+
+    Two sets of n and m shingles that are alike share s / (1 + s) (n + m) of them at least. So in one order of all shingles,
+    rare ones first, the first that they share has so many from it on in both; a text is placed at each of its shingles
+    that leaves s n from it on. All pairs that can be alike meet; passages that many texts share come last in the order
+    and place no text that has enough of its own. What has met is verified on the sets themselves. First each text at a
+    place is verified against the first one there, which joins most of a large group by few pairs; then all that are not
+    joined yet are verified, in pieces where a place is crowded. Texts with equal sets count once; those without words
+    are one group. Nothing is left to chance but that two shingles share 64 bits.
+    """
+    share = Fraction(str(similarity))
+    top, low = share.numerator, share.denominator
+    texts = docs.select(F.col("text").cast("string").alias("_text"))
+    order = docs.sparkSession.sparkContext.broadcast(_frequencies(texts, width))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = order.value
+        for batch in batches:
+            nodes, sizes, first = [], [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                found = hashes(t or b"", width)
+                n = len(found)
+                nodes.append(_node(found))
+                sizes.append(n)
+                rank = np.lexsort((found, often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                first.append(found[rank[: n - -(-top * n // low) + 1]].view(np.int64) if n else found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "first"])
+
+    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(place, f"doc_id {kind}, node long, n int, first array<long>"), "near-rows")
+    posted = rows.select("node", "n", "first").dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("_i", "_at"))
+    posted = posted.select("_at", "node", "n", (F.col("n") - F.col("_i")).alias("_rest"))
+    here = W.partitionBy("_at")
+    member = F.struct("node", "n", "_rest")
+    # of a pair at a place, the smaller text has at least 2 s / (1 + s) of its shingles from there on
+    leads = F.when((top + low) * F.col("_rest").cast("long") >= 2 * top * F.col("n").cast("long"), member)
+    shared = written(posted.withColumn("_lead", F.min(leads).over(here)).withColumn("_m", F.count(F.lit(1)).over(here)).filter("_m > 1 and _lead is not null").drop("_m"), "near-places")
+
+    def can(n: Column, rest: Column, m: Column, left: Column) -> Column:
+        return (top + low) * F.least(rest, left).cast("long") >= top * (n.cast("long") + m)
+
+    bits = shared.select(F.col("node").bitwiseAND(F.lit(PLACES - 1)).alias("_b")).distinct()
+    asked = np.zeros(PLACES // 64, np.int64)
+    for at, b in bits.groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(F.lit(63)).cast("int")))).collect():
+        asked[at] = b
+    wanted = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little")
+        for batch in batches:
+            nodes, out = [], []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                found = hashes(t or b"", width)
+                node = _node(found)
+                if bits[node & (PLACES - 1)]:
+                    nodes.append(node)
+                    out.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "_set"])
 
-    mine, theirs = distinct.select("node", *names), distinct.select(F.col("node").alias("other"), *[F.col(n).alias(f"o{n}") for n in names])
-    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("of0"))))
+    known = written(texts.mapInArrow(sets, "node long, _set array<long>").dropDuplicates(["node"]), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(mine, "node").join(theirs, "other").filter(apart <= bits_apart(similarity, 64 * longs)).select("node", "other")
-
-    alike = placed(distinct, 0).withColumn("other", F.min("node").over(at)).filter("node != other").select("node", "other").distinct()
-    edges = written(verified(alike), "near-alike")
-    labels = written(components(edges, "node", "other").select("node", "root"), "near-labels")
-    marked = distinct.join(labels, "node", "left").select("node", *names, F.coalesce("root", "node").alias("_mark"))
-    here = F.struct("node", "_mark")
-    met = placed(marked, 1, "_mark").select("node", "_mark", F.lag(here).over(at).alias("_before"), F.min(here).over(at).alias("_first")).filter("_before is not null")
-    pairs = met.select("node", "_mark", F.explode(F.array("_before", "_first")).alias("_o")).filter("_o._mark != _mark").select("node", F.col("_o.node").alias("other")).distinct()
-    labels = components(edges.union(verified(pairs)), "node", "other")
+        both = F.size(F.array_intersect("_set", "_other"))
+        alike = low * both.cast("long") >= top * (F.size("_set") + F.size("_other") - both).cast("long")
+        return pairs.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("_set").alias("_other")), "other").filter(alike).select("node", "other")
+
+    stars = shared.filter((F.col("node") != F.col("_lead.node")) & can(F.col("n"), F.col("_rest"), F.col("_lead.n"), F.col("_lead._rest")))
+    edges = written(verified(written(stars.select("node", F.col("_lead.node").alias("other")).distinct(), "near-stars")), "near-edges")
+    labels = components(edges, "node", "other")
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
 
 
