@@ -232,6 +232,15 @@ def test_texts_with_the_same_bits_are_verified_on_their_shingles(spark):
     assert simhash.near_copies(docs).select("component").distinct().count() == 4
 
 
+def test_every_pair_at_the_similarity_is_found(spark):
+    rows = []
+    for i in range(40):
+        w = [f"w{i}x{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(w), "en", "a"), (2 * i + 1, " ".join("changed" if k in (9, 60, 111, 162, 213, 264) else x for k, x in enumerate(w)), "en", "a")]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, rows)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(40)) and len(set(got.values())) == 40
+
+
 def test_token_counts_equal_the_library(dirty):
     from tokenizers import Tokenizer
 
