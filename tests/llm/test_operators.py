@@ -1,6 +1,7 @@
 """Each operator against a plain version, over rows with nulls, ties, repeats, long and empty texts and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -241,6 +242,24 @@ def test_every_pair_at_the_similarity_is_found(spark):
     assert all(got[2 * i] == got[2 * i + 1] for i in range(40)) and len(set(got.values())) == 40
 
 
+def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    draw = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for i in range(60):
+        own = [f"own{i}x{k}" for k in range(draw.randrange(2, 50))]
+        texts += [passage + own, passage[: draw.randrange(60, 121)] + own]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    at = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and at[i] != at[j]:
+                at = [at[j] if x == at[i] else x for x in at]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
+
+
 def test_token_counts_equal_the_library(dirty):
     from tokenizers import Tokenizer
 

@@ -131,6 +131,12 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).astype(np.int64))
 
 
+def _parity(found: np.ndarray) -> list[int]:
+    """512 bits, each set if an odd number of hashes falls on it: no more of them differ than shingles are in one set alone."""
+    odd = np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     """How many texts have a shingle, by the lowest bits of its hash: for the order of shingles only, in which any number will do."""
 
@@ -160,7 +166,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     that leaves s n from it on. All pairs that can be alike meet; passages that many texts share come last in the order
     and place no text that has enough of its own. What has met is verified on the sets themselves. First each text at a
     place is verified against the first one there, which joins most of a large group by few pairs; then all that are not
-    joined yet are verified, in pieces where a place is crowded. Texts with equal sets count once; those without words
+    joined yet are verified, in pieces where a place is crowded, but those whose parities show that they aren't alike. Texts with equal sets count once; those without words
     are one group. Nothing is left to chance but that two shingles share 64 bits.
     """
     share = Fraction(str(similarity))
@@ -203,25 +209,39 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little")
         for batch in batches:
-            nodes, out = [], []
+            nodes, out, odd = [], [], []
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 found = hashes(t or b"", width)
                 node = _node(found)
                 if bits[node & (PLACES - 1)]:
                     nodes.append(node)
                     out.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "_set"])
+                    odd.append(_parity(found))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["node", "_set", "_odd"])
 
-    known = written(texts.mapInArrow(sets, "node long, _set array<long>").dropDuplicates(["node"]), "near-sets")
+    known = written(texts.mapInArrow(sets, "node long, _set array<long>, _odd array<long>").dropDuplicates(["node"]), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("_set", "_other"))
         alike = low * both.cast("long") >= top * (F.size("_set") + F.size("_other") - both).cast("long")
-        return pairs.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("_set").alias("_other")), "other").filter(alike).select("node", "other")
+        return pairs.join(known.select("node", "_set"), "node").join(known.select(F.col("node").alias("other"), F.col("_set").alias("_other")), "other").filter(alike).select("node", "other")
 
     stars = shared.filter((F.col("node") != F.col("_lead.node")) & can(F.col("n"), F.col("_rest"), F.col("_lead.n"), F.col("_lead._rest")))
     edges = written(verified(written(stars.select("node", F.col("_lead.node").alias("other")).distinct(), "near-stars")), "near-edges")
-    labels = components(edges, "node", "other")
+    labels = written(components(edges, "node", "other").select("node", "root"), "near-labels")
+    marked = shared.select("_at", "node", "n", "_rest").join(labels, "node", "left").select("_at", "node", "n", "_rest", F.coalesce("root", "node").alias("_mark"))
+    apart = marked.withColumn("_least", F.min("_mark").over(here)).withColumn("_most", F.max("_mark").over(here)).filter("_least != _most").drop("_least", "_most")
+    odd = [f"_b{i}" for i in range(8)]
+    apart = apart.join(known.select("node", *[F.get("_odd", F.lit(i)).alias(c) for i, c in enumerate(odd)]), "node")
+    dealt = apart.withColumn("_piece", F.floor((F.row_number().over(here.orderBy("node")) - 1) / PIECE)).withColumn("_last", F.max("_piece").over(here))
+    dealt = written(dealt, "near-pieces")
+    mine = dealt.withColumn("_to", F.explode(F.sequence("_piece", "_last"))).select("_at", F.col("_piece").alias("_from"), "_to", "node", "n", "_rest", "_mark", *odd)
+    theirs = dealt.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), "_piece"))).select("_at", "_from", F.col("_piece").alias("_to"), *[F.col(c).alias(f"o{c}") for c in ("node", "n", "_rest", "_mark", *odd)])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in odd[1:]), F.bit_count(F.col("_b0").bitwiseXOR(F.col("o_b0"))))
+    met = mine.join(theirs, ["_at", "_from", "_to"]).filter((F.col("node") < F.col("onode")) & (F.col("_mark") != F.col("o_mark")) & can(F.col("n"), F.col("_rest"), F.col("on"), F.col("o_rest")))
+    met = met.filter((top + low) * differ.cast("long") <= (low - top) * (F.col("n").cast("long") + F.col("on")))
+    pairs = written(met.select("node", F.col("onode").alias("other")).distinct(), "near-pairs")
+    labels = components(edges.union(verified(pairs)), "node", "other")
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
 
 
