@@ -260,6 +260,47 @@ def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
     assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
 
 
+def test_texts_with_the_same_bits_are_verified_on_their_shingles(spark):
+    often = "the same five words again " * 60
+    docs = table(spark, [(i, often + " ".join(f"own{i}x{k}" for k in range(20)), "en", "a") for i in range(4)])
+    assert simhash.near_copies(docs).select("component").distinct().count() == 4
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    rows = []
+    for i in range(40):
+        w = [f"w{i}x{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(w), "en", "a"), (2 * i + 1, " ".join("changed" if k in (9, 60, 111, 162, 213, 264) else x for k, x in enumerate(w)), "en", "a")]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, rows)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(40)) and len(set(got.values())) == 40
+
+
+def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    draw = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for i in range(60):
+        own = [f"own{i}x{k}" for k in range(draw.randrange(2, 50))]
+        texts += [passage + own, passage[: draw.randrange(60, 121)] + own]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    at = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and at[i] != at[j]:
+                at = [at[j] if x == at[i] else x for x in at]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
+
+
+def test_a_private_key_goes_with_its_body(spark):
+    body = "\n".join("MIIEvQ" + c * 58 for c in "abc")
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    docs = table(spark, [(1, f"see\n{whole}\nthe rest", "en", "a"), (2, f"see -----BEGIN PRIVATE KEY-----\n{body}", "en", "a"), (3, "a -----BEGIN PRIVATE KEY----- line - alone", "en", "a")])
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert got == {1: "see\n[SECRET]\nthe rest", 2: "see [SECRET]", 3: "a [SECRET] line - alone"}
+
+
 def test_token_counts_equal_the_library(dirty):
     from tokenizers import Tokenizer
 

@@ -43,6 +43,9 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
+#: What is redacted: a private key through its END line, or else through its lines of base64; scans name its BEGIN line.
+KEY = Rule("private_key", ADDED[0].pattern + r"(?:\s*Proc-Type:[^\n]*\n)?(?:\s*DEK-Info:[^\n]*\n)?(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n\\]*)")
+REDACTED = (*BASE, KEY, *ADDED[1:])
 
 
 def postings(docs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
@@ -150,7 +153,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         )
         return let(F.aggregate(spans, start, step), lambda r: F.concat(r["out"], F.substring(text, r["at"] + 1, F.length(text))))
 
-    found = scan(docs, into="__spans")
+    found = scan(docs, REDACTED, "__spans")
     return found.withColumn("text", F.when(F.size("__spans") == 0, text).otherwise(cut(F.col("__spans")))).select(*docs.columns)
 
 
