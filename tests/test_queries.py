@@ -43,3 +43,11 @@ def test_query_equals_sql(spark, tables, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), tables.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_voxel_queries_take_every_frame(spark):
+    from tracelace.sources.tracks import Tracks
+
+    want = {tuple(r) for r in Tracks(spark, SF).nodes.select("dataset", "t").distinct().collect()}
+    got = entry.queries()["p6_frame_normalisation"](spark, SF).collect()
+    assert {(r.dataset, r.t) for r in got} == want and {tuple(r.shape) for r in got} == {(16, 52, 52)}

@@ -257,25 +257,24 @@ def s7_submission_round_trip(k: Tracks) -> DataFrame:
     return n.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("z").alias("sz"), F.sum("y").alias("sy")).join(e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_edges")), "dataset")
 
 
-def _small(k: Tracks) -> DataFrame:
-    """Points of the first frames on a grid that fits small frames."""
-    return k.nodes.filter("t < 4").withColumn("y", F.floor(F.col("y") / 2).cast("int")).withColumn("x", F.floor(F.col("x") / 2).cast("int"))
+#: Every voxel that a detection can lie in, moves along y by up to two included.
+_GRID = (16, 104, 104)
 
 
 @query()
 def g15_voxel_peaks(k: Tracks) -> DataFrame:
-    return voxels.peaks(voxels.rendered(_small(k), (16, 52, 52), 1.2), (1, 2, 2), 0.5)
+    return voxels.peaks(voxels.rendered(k.nodes, _GRID, 1.2), (1, 2, 2), 0.5)
 
 
 @query()
 def g17_blob_response_peaks(k: Tracks) -> DataFrame:
-    response = voxels.mapped(voxels.rendered(_small(k), (16, 52, 52), 1.2), lambda a: voxels.dog(a, (1.0, 1.5, 1.5)))
+    response = voxels.mapped(voxels.rendered(k.nodes, _GRID, 1.2), lambda a: voxels.dog(a, (1.0, 1.5, 1.5)))
     return voxels.peaks(response, (1, 2, 2), 0.05)
 
 
 @query()
 def p6_frame_normalisation(k: Tracks) -> DataFrame:
-    frame = voxels.mapped(voxels.rendered(_small(k), (16, 52, 52), 1.2), lambda a: voxels.pooled(voxels.per_slice(a), 2))
+    frame = voxels.mapped(voxels.rendered(k.nodes, _GRID, 1.2), lambda a: voxels.pooled(voxels.per_slice(a), 2))
     return frame.select("dataset", "t", "shape", r6(F.aggregate("voxels", F.lit(0.0), lambda s, x: s + x)).alias("mass"))
 
 
