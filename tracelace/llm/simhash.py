@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracelace.operators.components import components
-from tracelace.storage import written
+from tracelace.storage import Scratch, scratch, written
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -114,7 +114,7 @@ def digest(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return grouped(docs, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Counters of the sketch of shingles' frequencies, in blocks that are summed apart, and places of the set of nodes to verify.
+#: Counters of the sketch of shingles' frequencies, in blocks that are summed apart, and bits of the set of texts to verify.
 COUNTERS, BLOCKS, PLACES = 1 << 20, 256, 1 << 24
 #: Members of a place that are compared with each other in one piece.
 PIECE = 256
@@ -131,17 +131,33 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).astype(np.int64))
 
 
-def _parity(found: np.ndarray) -> list[int]:
-    """512 bits, each set if an odd number of hashes falls on it: no more of them differ than shingles are in one set alone."""
-    odd = np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+def _parity(found: np.ndarray, bits: int = 512) -> list[int]:
+    """Bits, each set if an odd number of hashes falls on it: no more of them differ than shingles are in one set alone."""
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def _wide(found: np.ndarray) -> list[int] | None:
+    """Parities in about as many bits as there are shingles, for texts whose 512 bits would be crowded."""
+    return _parity(found, 1 << (len(found) - 1).bit_length()) if len(found) > 512 else None
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """In how many bits two arrays of longs differ; one of twice the other's length is folded first. None if they can't be compared."""
+
+    def folded(x: Column) -> Column:
+        return F.transform(F.slice(x, 1, (F.size(x) / 2).cast("int")), lambda v, i: v.bitwiseXOR(F.get(x, i + (F.size(x) / 2).cast("int"))))
+
+    left = F.when(F.size(a) == 2 * F.size(b), folded(a)).otherwise(a)
+    right = F.when(F.size(b) == 2 * F.size(a), folded(b)).otherwise(b)
+    return F.when(F.size(left) == F.size(right), F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x))
+
+
 def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     """How many texts have a shingle, by the lowest bits of its hash: for the order of shingles only, in which any number will do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int64)
+        held = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 np.add.at(held, (hashes(t or b"", width) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
@@ -149,7 +165,7 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(held, BLOCKS)], pa.binary())], names=["block", "held"])
 
     def summed(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in group.column("held").to_pylist())
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group.column("held").to_pylist())
         return pa.table({"block": group.column("block")[:1].combine_chunks(), "held": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
@@ -164,85 +180,113 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Two sets of n and m shingles that are alike share s / (1 + s) (n + m) of them at least. So in one order of all shingles,
     rare ones first, the first that they share has so many from it on in both; a text is placed at each of its shingles
     that leaves s n from it on. All pairs that can be alike meet; passages that many texts share come last in the order
-    and place no text that has enough of its own. What has met is verified on the sets themselves. First each text at a
-    place is verified against the first one there, which joins most of a large group by few pairs; then all that are not
-    joined yet are verified, in pieces where a place is crowded, but those whose parities show that they aren't alike. Texts with equal sets count once; those without words
-    are one group. Nothing is left to chance but that two shingles share 64 bits.
+    and place no text that has enough of its own. First each text at a place is verified against the first one there, which
+    joins most of a large group by few pairs; then all that aren't joined yet are, in pieces where a place is crowded.
+    Verified are the sets themselves, and their hashes are fetched only for pairs whose parities don't rule them out.
+    Texts with equal sets count once, and those without words (null, empty) are one group. Null ids and repeated rows keep
+    their rows. No rows give none. Nothing is left to chance but that two shingles share 64 bits.
     """
-    share = Fraction(str(similarity))
+    with scratch(docs.sparkSession) as keep:
+        return written(_near_copies(docs, width, Fraction(str(similarity)), keep), "near-groups")
+
+
+def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     top, low = share.numerator, share.denominator
     texts = docs.select(F.col("text").cast("string").alias("_text"))
-    order = docs.sparkSession.sparkContext.broadcast(_frequencies(texts, width))
-    kind = dict(docs.dtypes)["doc_id"]
+    order = spark.sparkContext.broadcast(_frequencies(texts, width))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = order.value
+        seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, first = [], [], []
+            nodes, sizes, first, odd, wide = [], [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 found = hashes(t or b"", width)
-                n = len(found)
-                nodes.append(_node(found))
+                n, node = len(found), _node(found)
+                nodes.append(node)
                 sizes.append(n)
-                rank = np.lexsort((found, often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                first.append(found[rank[: n - -(-top * n // low) + 1]].view(np.int64) if n else found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "first"])
-
-    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(place, f"doc_id {kind}, node long, n int, first array<long>"), "near-rows")
-    posted = rows.select("node", "n", "first").dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("_i", "_at"))
-    posted = posted.select("_at", "node", "n", (F.col("n") - F.col("_i")).alias("_rest"))
+                if node in seen:
+                    rows = (None, None, None)
+                else:
+                    seen.add(node)
+                    rank = np.lexsort((found, often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                    rows = (found[rank[: n - -(-top * n // low) + 1]].view(np.int64) if n else found.view(np.int64), _parity(found), _wide(found))
+                for column, value in zip((first, odd, wide), rows, strict=True):
+                    column.append(value)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, longs), pa.array(odd, longs), pa.array(wide, longs)], names=["doc_id", "node", "n", "first", "odd", "wide"])
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n int, first array<long>, odd array<long>, wide array<long>"
+    rows = keep(docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(place, schema), "rows")
+    # a text's copies in one task are placed once; those of other tasks meet at the same places and count once there
+    posted = rows.filter("first is not null").select("node", "n", F.posexplode("first").alias("_i", "_at"))
+    posted = posted.select("_at", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("n") - F.col("_i")).alias("_nr"))
     here = W.partitionBy("_at")
-    member = F.struct("node", "n", "_rest")
+    size, rest = F.shiftright("_nr", 32), F.col("_nr").bitwiseAND(F.lit((1 << 32) - 1))
     # of a pair at a place, the smaller text has at least 2 s / (1 + s) of its shingles from there on
-    leads = F.when((top + low) * F.col("_rest").cast("long") >= 2 * top * F.col("n").cast("long"), member)
-    shared = written(posted.withColumn("_lead", F.min(leads).over(here)).withColumn("_m", F.count(F.lit(1)).over(here)).filter("_m > 1 and _lead is not null").drop("_m"), "near-places")
+    leads = F.when((top + low) * rest >= 2 * top * size, F.struct("node", "_nr"))
+    crowd = posted.withColumn("_lead", F.min(leads).over(here)).withColumn("_a", F.min("node").over(here)).withColumn("_b", F.max("node").over(here)).filter("_a != _b and _lead is not null")
+    shared = crowd.select("_at", "node", size.alias("n"), rest.alias("_rest"), F.col("_lead.node").alias("_l"), F.shiftright("_lead._nr", 32).alias("_ln"), F.col("_lead._nr").bitwiseAND(F.lit((1 << 32) - 1)).alias("_lrest"))
+    shared = keep(shared.dropDuplicates(["_at", "node"]), "places")
+    known = keep(rows.filter("first is not null").select("node", "n", "odd", "wide").dropDuplicates(["node"]), "known")
+    rows = keep(rows.select("doc_id", "node"), "ids")
+    keep.drop("rows")
 
     def can(n: Column, rest: Column, m: Column, left: Column) -> Column:
-        return (top + low) * F.least(rest, left).cast("long") >= top * (n.cast("long") + m)
-
-    bits = shared.select(F.col("node").bitwiseAND(F.lit(PLACES - 1)).alias("_b")).distinct()
-    asked = np.zeros(PLACES // 64, np.int64)
-    for at, b in bits.groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(F.lit(63)).cast("int")))).collect():
-        asked[at] = b
-    wanted = docs.sparkSession.sparkContext.broadcast(asked)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little")
-        for batch in batches:
-            nodes, out, odd = [], [], []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                found = hashes(t or b"", width)
-                node = _node(found)
-                if bits[node & (PLACES - 1)]:
-                    nodes.append(node)
-                    out.append(found.view(np.int64))
-                    odd.append(_parity(found))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["node", "_set", "_odd"])
-
-    known = written(texts.mapInArrow(sets, "node long, _set array<long>, _odd array<long>").dropDuplicates(["node"]), "near-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+        return (top + low) * F.least(rest, left) >= top * (n + m)
+
+    def bound(differ: Column, n: Column, m: Column) -> Column:
+        return (top + low) * differ.cast("long") <= (low - top) * (n.cast("long") + m.cast("long"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the distinct pairs (node, other) whose sets are alike."""
+        mine, theirs = known.select("node", "n", "odd", "wide"), known.select(*[F.col(c).alias(f"o{c}") for c in ("node", "n", "odd", "wide")]).withColumnRenamed("onode", "other")
+        near = pairs.join(mine, "node").join(theirs, "other").filter(bound(_differing(F.col("odd"), F.col("oodd")), F.col("n"), F.col("on")))
+        near = keep(near.filter(F.coalesce(bound(_differing(F.col("wide"), F.col("owide")), F.col("n"), F.col("on")), F.lit(True))).select("node", "other"), f"{name}-near")
+        bits = near.select(F.explode(F.array("node", "other")).alias("_b")).select(F.col("_b").bitwiseAND(F.lit(PLACES - 1)).alias("_b")).distinct()
+        asked = np.zeros(PLACES // 64, np.int64)
+        for at, b in bits.groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(F.lit(63)).cast("int")))).collect():
+            asked[at] = b
+        wanted = spark.sparkContext.broadcast(asked)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little")
+            seen: set[int] = set()
+            for batch in batches:
+                nodes, out = [], []
+                for t in batch.column(0).cast(pa.binary()).to_pylist():
+                    found = hashes(t or b"", width)
+                    node = _node(found)
+                    if bits[node & (PLACES - 1)] and node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        out.append(found.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "_set"])
+
+        found = keep(texts.mapInArrow(sets, "node long, _set array<long>").dropDuplicates(["node"]), f"{name}-sets")
         both = F.size(F.array_intersect("_set", "_other"))
         alike = low * both.cast("long") >= top * (F.size("_set") + F.size("_other") - both).cast("long")
-        return pairs.join(known.select("node", "_set"), "node").join(known.select(F.col("node").alias("other"), F.col("_set").alias("_other")), "other").filter(alike).select("node", "other")
+        out = keep(near.join(found, "node").join(found.select(F.col("node").alias("other"), F.col("_set").alias("_other")), "other").filter(alike).select("node", "other"), f"{name}-edges")
+        keep.drop(f"{name}-sets")
+        return out
 
-    stars = shared.filter((F.col("node") != F.col("_lead.node")) & can(F.col("n"), F.col("_rest"), F.col("_lead.n"), F.col("_lead._rest")))
-    edges = written(verified(written(stars.select("node", F.col("_lead.node").alias("other")).distinct(), "near-stars")), "near-edges")
-    labels = written(components(edges, "node", "other").select("node", "root"), "near-labels")
+    stars = shared.filter((F.col("node") != F.col("_l")) & can(F.col("n"), F.col("_rest"), F.col("_ln"), F.col("_lrest")))
+    edges = verified(keep(stars.select("node", F.col("_l").alias("other")).distinct(), "stars"), "stars")
+    labels = components(edges, "node", "other").select("node", "root")
     marked = shared.select("_at", "node", "n", "_rest").join(labels, "node", "left").select("_at", "node", "n", "_rest", F.coalesce("root", "node").alias("_mark"))
     apart = marked.withColumn("_least", F.min("_mark").over(here)).withColumn("_most", F.max("_mark").over(here)).filter("_least != _most").drop("_least", "_most")
     odd = [f"_b{i}" for i in range(8)]
-    apart = apart.join(known.select("node", *[F.get("_odd", F.lit(i)).alias(c) for i, c in enumerate(odd)]), "node")
+    apart = apart.join(known.select("node", *[F.get("odd", F.lit(i)).alias(c) for i, c in enumerate(odd)]), "node")
     dealt = apart.withColumn("_piece", F.floor((F.row_number().over(here.orderBy("node")) - 1) / PIECE)).withColumn("_last", F.max("_piece").over(here))
-    dealt = written(dealt, "near-pieces")
+    dealt = keep(dealt, "pieces")
     mine = dealt.withColumn("_to", F.explode(F.sequence("_piece", "_last"))).select("_at", F.col("_piece").alias("_from"), "_to", "node", "n", "_rest", "_mark", *odd)
     theirs = dealt.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), "_piece"))).select("_at", "_from", F.col("_piece").alias("_to"), *[F.col(c).alias(f"o{c}") for c in ("node", "n", "_rest", "_mark", *odd)])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in odd[1:]), F.bit_count(F.col("_b0").bitwiseXOR(F.col("o_b0"))))
     met = mine.join(theirs, ["_at", "_from", "_to"]).filter((F.col("node") < F.col("onode")) & (F.col("_mark") != F.col("o_mark")) & can(F.col("n"), F.col("_rest"), F.col("on"), F.col("o_rest")))
-    met = met.filter((top + low) * differ.cast("long") <= (low - top) * (F.col("n").cast("long") + F.col("on")))
-    pairs = written(met.select("node", F.col("onode").alias("other")).distinct(), "near-pairs")
-    labels = components(edges.union(verified(pairs)), "node", "other")
-    return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
+    pairs = keep(met.filter(bound(differ, F.col("n"), F.col("on"))).select("node", F.col("onode").alias("other")).distinct(), "pairs")
+    labels = components(edges.union(verified(pairs, "pairs")), "node", "other")
+    return rows.join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -250,7 +294,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Rows with a null id can't be named and stay. What is joined to the texts is the ids to go, which is the smaller side.
     """
-    groups = written(near_copies(docs, width, similarity), "near-groups")
+    groups = near_copies(docs, width, similarity)
     least = written(groups.groupBy("component").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-least")
     gone = groups.join(least, "component").filter("doc_id != _keep").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
