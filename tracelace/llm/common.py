@@ -15,6 +15,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)

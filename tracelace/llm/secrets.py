@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelace.llm import trigrams
-from tracelace.llm.common import let
+from tracelace.llm.common import let, unused
 from tracelace.storage import written
 
 
@@ -49,10 +49,15 @@ REDACTED = (*BASE, KEY, *ADDED[1:])
 
 
 def postings(docs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
-    """(trigram, doc_id) for every trigram of ``vocabulary`` that a document's lower-cased text holds."""
-    low = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)]))
-    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id"), F.explode(held).alias("trigram"))
+    """(trigram, doc_id) for every trigram of ``vocabulary`` (its place there) that a document's lower-cased text holds.
+
+    One pass over a text cuts it into those of its overlapping trigrams that the vocabulary has.
+    """
+    if not vocabulary:
+        return docs.select("doc_id", F.lit(0).alias("trigram")).filter("false")
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?={trigrams.trie(vocabulary)})"), F.lit(1)))
+    held = docs.filter(F.col("text").isNotNull()).select("doc_id", F.explode(found).alias("trigram"))
+    return held.select("doc_id", (F.array_position(F.array(*map(F.lit, vocabulary)), F.col("trigram")) - 1).cast("int").alias("trigram"))
 
 
 def _met(query: tuple, bits: Column, at: dict[str, int]) -> Column:
@@ -81,7 +86,11 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     sets = [F.bit_or(F.when(F.col("trigram").between(w, w + 62), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trigram") - w).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_b{w}") for w in words]
     merged = postings(docs, vocabulary).groupBy("doc_id").agg(*sets).select("doc_id", F.array(*[f"_b{w}" for w in words]).alias("_bits"))
     met = [F.when(_met(q, F.col("_bits"), at), F.lit(i)) for i, q in enumerate(queries) if q != trigrams.ALL]
-    return merged.select(F.col("doc_id").alias("__candidate"), F.array_compact(F.array(*met)).alias("__rules")).filter(F.size("__rules") > 0)
+    return merged.select("doc_id", F.array_compact(F.array(*met)).alias("rules")).filter(F.size("rules") > 0)
+
+
+#: Matches of one text that are folded together; blocks are folded in turn, so the work stays in proportion to the matches.
+_BLOCK = 256
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -94,11 +103,24 @@ def matches(text: Column, rule: Rule) -> Column:
 
     def located(ms: Column, sizes: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,n:int>>").alias("out"))
         zipped = F.arrays_zip(F.transform(ms, lambda m: F.length(m)).alias("len"), F.slice(gaps, 1, F.size(ms)).alias("gap"), sizes.alias("n"))
-        step = lambda acc, z: F.struct((acc["at"] + z["gap"] + z["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["gap"]).alias("start"), (acc["at"] + z["gap"] + z["len"]).alias("end"), z["n"].alias("n")))).alias("out"))
-        spans = F.aggregate(zipped, start, step)["out"]
-        return F.transform(F.filter(spans, lambda s: s["n"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        steps = F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), (z["gap"] + z["len"]).alias("step"), z["len"].alias("len"), z["n"].alias("n")))
+        return let(steps, lambda x: F.when(F.size(x) <= _BLOCK, spans(x, F.lit(0))).otherwise(blocks(x)))
+
+    def spans(steps: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+        def step(acc: Column, z: Column) -> Column:
+            span = F.struct((acc["at"] + z["gap"]).alias("start"), (acc["at"] + z["step"]).alias("end"))
+            return F.struct((acc["at"] + z["step"]).alias("at"), F.when(z["n"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(steps, zero, step)["out"]
+
+    def blocks(steps: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(_BLOCK)), lambda i: F.slice(steps, i, _BLOCK))
+        long = F.transform(cut, lambda b: F.aggregate(b, F.lit(0), lambda n, z: n + z["step"]))
+        starts = F.aggregate(long, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(cut, F.slice(starts, 1, F.size(cut)), spans))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
     sizes = lambda ms: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else ms, lambda m: F.length(m))
@@ -115,15 +137,16 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, into: str = "spans") ->
     Every row stays; a null text has no spans. The candidates' side holds ids alone and is broadcast only if Spark finds
     it small; else both sides are dealt by id. Extra columns pass through; one named as ``into`` is replaced.
     """
-    found = written(candidates(docs, rules), "secret-candidates")
+    key, met = unused(docs, "__candidate"), unused(docs, "__rules")
+    found = written(candidates(docs, rules), "secret-candidates").toDF(key, met)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__candidate"]), "left")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[key]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
     parts = []
     for i, r in enumerate(rules):
         spans = matches(text, r)
         if trigrams.query_of(r.pattern) != trigrams.ALL:
-            spans = F.when(F.array_contains(found["__rules"], i), spans).otherwise(none)
+            spans = F.when(F.array_contains(found[met], i), spans).otherwise(none)
         parts.append(_tagged(spans, i))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(s["start"].alias("start"), F.get(kinds, s["rule"]).alias("kind"), s["end"].alias("end")))
@@ -135,26 +158,41 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, sha256 of the base spans' list and the list of all spans, for every row."""
+    """doc_id, counts of the base kinds, sha256 of the base spans' list and the list of all spans, for every row.
+
+    Null and empty texts have no spans; very long ones are scanned whole; repeated rows and null ids stay; extra columns
+    are left aside; no rows give none.
+    """
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     return scan(docs.select("doc_id", "text")).select("doc_id", *[of(r.kind).alias(f"n_{r.kind}") for r in BASE], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span of ``text`` (overlapping ones as one) replaced by ``mark``; other texts are unchanged."""
+    """``docs`` with each span of ``text`` (overlapping ones as one) replaced by ``mark``; other texts are unchanged.
+
+    Null and empty texts, repeated rows, null ids and extra columns of any name stay as they are; no rows give none.
+    """
     text = F.col("text")
 
     def cut(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        step = lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-        return let(F.aggregate(spans, start, step), lambda r: F.concat(r["out"], F.substring(text, r["at"] + 1, F.length(text))))
-
-    found = scan(docs, REDACTED, "__spans")
-    return found.withColumn("text", F.when(F.size("__spans") == 0, text).otherwise(cut(F.col("__spans")))).select(*docs.columns)
+        """The parts between the spans, joined by the mark."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("parts"))
+
+        def step(acc: Column, s: Column) -> Column:
+            part = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))
+            more = s["start"] >= acc["at"]
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(more, F.concat(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"))
+
+        def joined(r: Column) -> Column:
+            parts = F.concat(r["parts"], F.array(F.struct(r["at"].alias("start"), F.length(text).alias("end"))))
+            return F.array_join(F.transform(parts, lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"])), mark)
+
+        return let(F.aggregate(spans, zero, step), joined)
+
+    into = unused(docs, "__spans")
+    found = scan(docs, REDACTED, into)
+    return found.withColumn("text", F.when(F.size(into) == 0, text).otherwise(cut(F.col(into)))).select(*docs.columns)
 
 
 def _sql_spans(i: int, rule: Rule) -> str:

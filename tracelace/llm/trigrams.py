@@ -215,6 +215,16 @@ def trigrams_of(query: tuple) -> list[str]:
     return sorted({t for q in query[1] for t in trigrams_of(q)})
 
 
+def trie(trigrams: list[str]) -> str:
+    """A group that matches any of the trigrams, by their first, second and third characters in turn."""
+    by: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(trigrams):
+        by.setdefault(a, {}).setdefault(b, []).append(c)
+    quoted = lambda x: x if x.isalnum() or ord(x) > 127 else "\\" + x
+    second = lambda nxt: "|".join(quoted(b) + "[" + "".join(map(quoted, cs)) + "]" for b, cs in nxt.items())
+    return "(" + "|".join(f"{quoted(a)}(?:{second(nxt)})" for a, nxt in by.items()) + ")"
+
+
 def holds(query: tuple, present) -> bool:
     """The query over a set of trigrams; the plain meaning, for tests."""
     if query == ALL:
