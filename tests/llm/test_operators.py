@@ -75,13 +75,36 @@ def test_quality_features(dirty):
 
 def test_hosts_are_rejected_by_shrunken_rates(spark):
     good = "one two three four five six seven eight nine ten eleven twelve"
-    bad = "too short"
-    strict = good + " " + " ".join(f"$${i}$$" for i in range(20))
-    rows = [(i, bad if i % 10 else good, "en", "bad") for i in range(100)] + [(100, strict, "en", "bad")] + [(200 + i, good, "en", f"h{i % 7}") for i in range(100)] + [(300, strict, "en", "h1")]
+    noisy = good + " " + " ".join(f"$${i}$$" for i in range(20))
+    rows = [(i, noisy if i % 5 == 0 else good, "en", "bad") for i in range(100)] + [(200 + i, good, "en", f"h{i % 7}") for i in range(1400)]
+    rows += [(2000, noisy, "en", "h1"), (2001, noisy, "en", "one"), (2002, "too short", "en", "h1"), (2003, good, "en", None)]
     docs = table(spark, rows)
-    kept = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
-    assert kept[0] and not kept[1] and not kept[100] and kept[300] and kept[205]
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    kept = {d: r.kept for d, r in judged.items()}
+    # a noisy host loses its noisy documents and no others; single failures on clean or tiny hosts stay
+    assert not kept[0] and kept[1] and kept[2000] and not kept[2002] and kept[2003] and kept[205]
+    assert any(not r.kept and not r.base_failed for r in judged.values())
+    assert judged[1].host_rules == 4 and judged[2000].host_rules == 0
     assert {r.doc_id for r in quality.keep(docs).collect()} == {d for d, k in kept.items() if k}
+    rates = {(r.host, r.rule): r for r in quality.host_verdicts(quality.rated(docs)).collect()}
+    assert rates["bad", 4].failed == 20 and rates["h1", 1].failed == 1 and 0 < rates["bad", 4].rate < 0.2 + 1e-9
+
+
+def test_quality_sql_on_planted_hosts(spark):
+    import duckdb
+
+    rng = random.Random(3)
+    good = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(600):
+        host = f"h{i % 6}"
+        text = " ".join(rng.sample(good, 20)) + ("".join(f" $#{j}&|" for j in range(9)) if rng.random() < (0.3 if host == "h2" else 0.01) else "") + ("".join(f"\nx{j}\nsame" for j in range(6)) if rng.random() < (0.4 if host == "h4" else 0.0) else "")
+        rows.append((i, text, "en", host))
+    docs = table(spark, rows, extra=False)
+    documents = docs.toPandas()  # noqa: F841
+    want = {tuple(r) for r in duckdb.sql(quality.SQL + " ORDER BY doc_id").fetchall()}
+    got = {tuple(r) for r in quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rules", "kept").collect()}
+    assert got == want and any(not r[8] and not r[6] for r in got) and {r[7] for r in got} >= {0, 4, 8}
 
 
 def plain_spans(text):
@@ -260,39 +283,6 @@ def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
     assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
 
 
-def test_texts_with_the_same_bits_are_verified_on_their_shingles(spark):
-    often = "the same five words again " * 60
-    docs = table(spark, [(i, often + " ".join(f"own{i}x{k}" for k in range(20)), "en", "a") for i in range(4)])
-    assert simhash.near_copies(docs).select("component").distinct().count() == 4
-
-
-def test_every_pair_at_the_similarity_is_found(spark):
-    rows = []
-    for i in range(40):
-        w = [f"w{i}x{k}" for k in range(300)]
-        rows += [(2 * i, " ".join(w), "en", "a"), (2 * i + 1, " ".join("changed" if k in (9, 60, 111, 162, 213, 264) else x for k, x in enumerate(w)), "en", "a")]
-    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, rows)).collect()}
-    assert all(got[2 * i] == got[2 * i + 1] for i in range(40)) and len(set(got.values())) == 40
-
-
-def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PIECE", 4)
-    draw = random.Random(5)
-    passage = [f"p{k}" for k in range(120)]
-    texts = []
-    for i in range(60):
-        own = [f"own{i}x{k}" for k in range(draw.randrange(2, 50))]
-        texts += [passage + own, passage[: draw.randrange(60, 121)] + own]
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    at = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if 5 * len(a & b) >= 4 * len(a | b) and at[i] != at[j]:
-                at = [at[j] if x == at[i] else x for x in at]
-    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
-    assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
-
-
 def test_a_private_key_goes_with_its_body(spark):
     body = "\n".join("MIIEvQ" + c * 58 for c in "abc")
     whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"

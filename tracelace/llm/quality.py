@@ -1,8 +1,9 @@
 """Quality rules with host verdicts.
 
-Rules are columns of one row. Their failures are summed by host; a host's failure rate is shrunk towards the rate of all
-hosts by a beta prior fitted to the hosts' own rates; and the verdict is joined back to the documents. A document stays
-unless it fails the base rule, or its host is rejected and it fails a strict rule: a clean document stays wherever it is.
+Rules are columns of one row. Each rule's failures are summed by host; the host's rate is shrunk by a beta prior that is
+fitted to all hosts' rates of that rule; a host is rejected for a rule if the rate lies above a limit beyond doubt; and the
+verdicts are joined back to the documents. A document stays unless it fails the base rules, or fails a rule for which its
+host is rejected: one that fails no rule stays wherever it is.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelace.llm.common import WORD, let, words_of
+from tracelace.llm.common import let, unused, words_of
 from tracelace.storage import written
 
 
@@ -22,11 +23,15 @@ class Rules:
 
     least_words: int = 10
     repeat_share: int = 20
-    strict_symbol_share: int = 10
-    strict_dup_lines: int = 3
-    strict_repeat_share: int = 10
-    #: A host is rejected above this shrunken failure rate.
-    host_rate: float = 0.5
+    symbol_share: int = 3
+    dup_lines: int = 3
+    #: A host is rejected for a rule if its shrunken rate, less ``doubt`` deviations of the posterior, is above this.
+    host_rate: float = 0.02
+    doubt: float = 1.645
+
+
+#: The rules in the order of their bits; the first two are the base rules, which reject a document anywhere.
+NAMES = ("words", "repeats", "symbols", "lines")
 
 
 def repeat_words(words: Column, window: int = 5) -> Column:
@@ -65,62 +70,84 @@ def features(text: Column) -> Column:
     return let(words_of(text), of)
 
 
-def rated(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
-    """doc_id, host, the features, base_failed and strict_failed."""
-    rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), features(F.col("text")).alias("f")).select("doc_id", "host", "f.*")
-    row = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    return rows.withColumn("base_failed", base_fails(row, rules)).withColumn("strict_failed", strict_fails(row, rules))
+def fails(x, rules: Rules = Rules()) -> dict[str, Column]:
+    """Each rule's failure by name; ``x`` gives the features by name."""
+    return {
+        "words": x["n_words"] < rules.least_words,
+        "repeats": 100 * x["n_repeat_words"] > rules.repeat_share * x["n_words"],
+        "symbols": 100 * x["n_symbols"] > rules.symbol_share * x["word_chars"],
+        "lines": x["n_dup_lines"] > rules.dup_lines,
+    }
 
 
-def base_fails(x, rules: Rules) -> Column:
-    """Too few words or too many repeated ones; ``x`` gives the features by name."""
-    return (x["n_words"] < rules.least_words) | (100 * x["n_repeat_words"] > rules.repeat_share * x["n_words"])
+def failed_bits(x, rules: Rules = Rules()) -> Column:
+    """The failed rules as bits of one whole number."""
+    return sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fails(x, rules).values())), F.lit(0))
 
 
-def strict_fails(x, rules: Rules) -> Column:
-    symbols, lines = 100 * x["n_symbols"] > rules.strict_symbol_share * x["word_chars"], x["n_dup_lines"] > rules.strict_dup_lines
-    return base_fails(x, rules) | symbols | lines | (100 * x["n_repeat_words"] > rules.strict_repeat_share * x["n_words"])
+def rated(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
+    """doc_id, host, the features and ``failed`` (the failed rules' bits) of every row."""
+    rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), features(F.col("text")).alias("f")).select("doc_id", "host", "f.*")
+    return rows.withColumn("failed", failed_bits({c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}, rules))
 
 
 def host_verdicts(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """host, n, failed, rate (shrunken) and rejected for every host; a null host is a host.
+    """host, rule (its bit), n, failed, rate (shrunken) and rejected, for every host and rule; a null host is a host.
 
-    The prior's mean m and variance v are those of the hosts' rates, each host counting once; a + b = m (1 - m) / v - 1
-    where that is positive, else the prior is even (1, 1). One row of sums is joined to the hosts.
+    A rule's prior has the mean m and variance v of the hosts' rates, each host counting once; a + b = m (1 - m) / v - 1
+    where that is positive, else the prior is even (1, 1). ``rows`` has host and failed. The sums by host are partial
+    aggregates, and the priors are one row a rule.
     """
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    bits = [F.count_if(F.col("failed").bitwiseAND(F.lit(1 << i)) != 0).alias(f"_f{i}") for i in range(len(NAMES))]
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *bits)
+    pairs = F.array(*[F.struct(F.lit(1 << i).alias("rule"), F.col(f"_f{i}").alias("failed")) for i in range(len(NAMES))])
+    hosts = hosts.select("host", "n", F.explode(pairs).alias("_p")).select("host", "n", "_p.*")
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(raw).alias("_m"), F.var_pop(raw).alias("_v"))
-    strength = F.when((F.col("_v") > 0) & (F.col("_m") * (1 - F.col("_m")) > F.col("_v")), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1)
-    prior = prior.select(F.coalesce(F.col("_m") * strength, F.lit(1.0)).alias("_a"), F.coalesce((1 - F.col("_m")) * strength, F.lit(1.0)).alias("_b"))
-    rate = (F.col("failed") + F.col("_a")) / (F.col("n") + F.col("_a") + F.col("_b"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", rate.alias("rate"), (rate > rules.host_rate).alias("rejected"))
+    m, v = F.col("_m"), F.col("_v")
+    prior = hosts.groupBy("rule").agg(F.avg(raw).alias("_m"), F.var_pop(raw).alias("_v"))
+    strength = F.when((v > 0) & (m * (1 - m) > v), m * (1 - m) / v - 1)
+    prior = prior.select("rule", F.coalesce(m * strength, F.lit(1.0)).alias("_a"), F.coalesce((1 - m) * strength, F.lit(1.0)).alias("_b"))
+    a, b = F.col("failed") + F.col("_a"), F.col("n") - F.col("failed") + F.col("_b")
+    rate = a / (a + b)
+    sure = rate - F.lit(rules.doubt) * F.sqrt(rate * (1 - rate) / (a + b + 1))
+    return hosts.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", rate.alias("rate"), (sure > rules.host_rate).alias("rejected"))
+
+
+def _rejected(rows: DataFrame, rules: Rules) -> DataFrame:
+    """__host and __rules: the bits of the rules for which a host is rejected, where there are any."""
+    return host_verdicts(rows, rules).filter("rejected").groupBy(F.col("host").alias("__host")).agg(F.bit_or("rule").alias("__rules"))
+
+
+def _kept(failed: Column, host_rules: Column) -> Column:
+    return failed.bitwiseAND(host_rules.bitwiseOR(F.lit(3))) == 0
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
-    """doc_id, host, the features, base_failed, strict_failed, host_rejected and kept for every row of ``docs``.
+    """doc_id, host, the features, failed, base_failed, host_rules (bits of the rules that its host is rejected for) and kept for every row.
 
     The features are computed once and written; the join carries them without the texts, and only rejected hosts are its
-    other side. Null texts have no words and fail; null ids and repeated rows are judged like others; no rows, no verdicts.
+    other side. Null and empty texts have no words and fail; very long ones are read whole; null ids and repeated rows are
+    judged like others; extra columns are left aside; no rows, no verdicts.
     """
     rows = written(rated(docs, rules, host), "quality")
-    rejected = host_verdicts(rows, rules).filter("rejected").select(F.col("host").alias("_h"), F.lit(True).alias("_r"))
-    joined = rows.join(rejected, F.col("host").eqNullSafe(F.col("_h")), "left").withColumn("host_rejected", F.coalesce("_r", F.lit(False))).drop("_h", "_r")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("strict_failed")))
+    joined = rows.join(_rejected(rows, rules), F.col("host").eqNullSafe(F.col("__host")), "left").withColumn("host_rules", F.coalesce("__rules", F.lit(0))).drop("__host", "__rules")
+    return joined.withColumn("base_failed", F.col("failed").bitwiseAND(F.lit(3)) != 0).withColumn("kept", _kept(F.col("failed"), F.col("host_rules")))
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; the rules are computed beside the texts, which aren't shuffled.
+    """The rows of ``docs`` that are kept, with their columns, as ``judge`` has it.
 
-    The hosts' sums come from a first pass that writes none of the texts. A failed document explodes to no row, so its
-    features are computed once. Rejected hosts are few or many: their side is broadcast only if Spark finds it small.
+    The rows are written once with the failed rules' bits, from which the hosts' sums are read without the texts; texts
+    aren't shuffled. Rejected hosts are few or many: their side is broadcast only if Spark finds it small.
     """
-    rejected = written(host_verdicts(rated(docs, rules, host), rules).filter("rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__rejected")), "quality-hosts")
-    judged = docs.select("*", F.explode(let(features(F.col("text")), lambda x: F.when(base_fails(x, rules), F.array().cast("array<boolean>")).otherwise(F.array(strict_fails(x, rules))))).alias("__strict"))
-    joined = judged.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
-    return joined.filter(~(F.coalesce("__rejected", F.lit(False)) & F.col("__strict"))).select(*[judged[c] for c in docs.columns])
+    failed, name, bits = unused(docs, "__failed"), unused(docs, "__host"), unused(docs, "__rules")
+    marked = written(docs.withColumn(failed, let(features(F.col("text")), lambda x: failed_bits(x, rules))), "quality-marked")
+    hosts = written(_rejected(marked.select(F.col(host).cast("string").alias("host"), F.col(failed).alias("failed")), rules), "quality-hosts").toDF(name, bits)
+    joined = marked.join(hosts, F.col(host).cast("string").eqNullSafe(F.col(name)), "left")
+    return joined.filter(_kept(F.col(failed), F.coalesce(bits, F.lit(0)))).select(*[marked[c] for c in docs.columns])
 
 
+R = Rules()
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -131,11 +158,14 @@ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_m
 f AS (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  n_words < 10 OR 100 * n_repeat_words > 10 * n_words OR 100 * n_symbols > 10 * word_chars OR n_dup_lines > 3 AS strict_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM b GROUP BY source),
-m AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
-s AS (SELECT CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (m * (1 - m) / v - 1) ELSE 1 END AS pa, CASE WHEN v > 0 AND m * (1 - m) > v THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1 END AS pb FROM m),
-r AS (SELECT source, (failed + pa) / (n + pa + pb) > {Rules().host_rate} AS rejected FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected AS host_rejected, NOT base_failed AND NOT (rejected AND strict_failed) AS kept
+b AS (SELECT *, n_words < {R.least_words} OR 100 * n_repeat_words > {R.repeat_share} * n_words AS base_failed,
+  [n_words < {R.least_words}, 100 * n_repeat_words > {R.repeat_share} * n_words, 100 * n_symbols > {R.symbol_share} * word_chars, n_dup_lines > {R.dup_lines}] AS fs FROM f),
+u AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest(fs) AS bad FROM b),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS failed FROM u GROUP BY ALL),
+m AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),
+s AS (SELECT rule, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (m * (1 - m) / v - 1) ELSE 1 END AS pa, CASE WHEN v > 0 AND m * (1 - m) > v THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1 END AS pb FROM m),
+q AS (SELECT source, rule, (failed + pa) / (n + pa + pb) AS rate, n + pa + pb AS total FROM h JOIN s USING (rule)),
+r AS (SELECT source, sum(CASE WHEN rate - {R.doubt} * sqrt(rate * (1 - rate) / (total + 1)) > {R.host_rate} THEN 1 << (rule - 1) ELSE 0 END)::INTEGER AS host_rules FROM q GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rules,
+  NOT base_failed AND NOT (fs[3] AND host_rules & 4 <> 0) AND NOT (fs[4] AND host_rules & 8 <> 0) AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source"""
