@@ -51,14 +51,47 @@ def test_substring_dedup(dirty, chunk):
 def test_window_hashes_and_blocks():
     rng = np.random.default_rng(1)
     docs = [[b"%d" % x for x in rng.integers(0, 4, n)] for n in (0, 3, 40, 5, 1)]
-    starts, hashes = substring.window_hashes(docs, 5)
+    starts, hashes, checks = substring.window_hashes(docs, 5)
     flat = [w for d in docs for w in d]
     by = {}
-    for s, h in zip(starts.tolist(), hashes.tolist(), strict=True):
+    for s, h in zip(starts.tolist(), zip(hashes.tolist(), checks.tolist(), strict=True), strict=True):
         assert by.setdefault(h, tuple(flat[s : s + 5])) == tuple(flat[s : s + 5])
     assert len(starts) == 36 + 1 and len(set(by.values())) == len(by)
-    u = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
-    assert (substring.unblock(substring.block(u)) == u).all()
+    u, c = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64)), rng.integers(0, 2**32, 1000).astype(np.uint32)
+    back = substring.unblock(substring.block(u, c))
+    assert (back[0] == u).all() and (back[1] == c).all()
+
+
+@pytest.mark.parametrize("far", ["one far id", "one id", "null ids"])
+def test_chunks_are_bounded_whatever_the_ids(spark, far):
+    draw = random.Random(2)
+    words_of = [f"w{i}" for i in range(50)]
+    texts = [" ".join(draw.choices(words_of, k=20)) for _ in range(300)]
+    ids = {"one far id": [*range(299), 1 << 61], "one id": [7] * 300, "null ids": [None] * 300}[far]
+    rows = [(i, t, "en", "a") for i, t in zip(ids, texts, strict=True)]
+    dealt, chunks, _ = substring.chunked(table(spark, rows), "doc_id", "text", 2000)
+    sizes = dealt.groupBy("_chunk").agg({"_text": "count"}).collect()
+    assert chunks > 5 and max(r[1] for r in sizes) < 60
+    if far == "one far id":
+        got = substring.deduplicated(table(spark, rows), 3, chunk_bytes=2000).selectExpr("doc_id", "n_words", "aggregate(removed, 0L, (a, x) -> a + x.end - x.start) as n", "kept_text")
+        assert sorted((r.doc_id, r.n_words, r.n, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect()) == removed(rows, 3)
+
+
+def test_copies_of_one_row_that_fill_a_chunk_count_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, "en", "a")] * 50 + [(None, "x " * 30, "en", "a")] * 40 + [(9, text + " more", "en", "a")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.digest(table(spark, rows), 5).collect())
+    few = Counter((r.doc_id, r.n_words, sum(x.end - x.start for x in r.removed)) for r in substring.deduplicated(table(spark, rows), 5, chunk_bytes=1000).collect())
+    assert got == few == {(5, 40, 0): 50, (None, 30, 29): 40, (9, 41, 40): 1}
+
+
+def test_text_ids_and_windows_that_share_a_hash(spark, monkeypatch):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "zero one two three")], "doc_id string, text string")
+    got = {r.doc_id: sum(x.end - x.start for x in r.removed) for r in substring.deduplicated(docs, 3).collect()}
+    assert got[None] == 0 and sorted(got.values()) == [0, 3, 4]
+    hashes, checks = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 1], np.uint32)
+    order, again = substring.ordered(hashes, checks)
+    assert order.tolist() == [0, 2, 1, 3] and again.tolist() == [False, True, False, False]
 
 
 def test_quality_features(dirty):

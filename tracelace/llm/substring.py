@@ -1,9 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Documents are dealt to chunks that follow the order of their ids. A chunk sends the distinct hashes of its windows, as
-sorted blocks, to the hash ranges they fall in; there a hash that an earlier chunk has sent too is sent back to every
-later chunk. A chunk then knows which of its windows began earlier, elsewhere or within itself, and merges them into
-maximal removal intervals. Texts are shuffled once, hashes once, and repeated hashes once more.
+Rows are put in one order and cut into chunks of a bounded size along it. A chunk sends the distinct hashes of its
+windows, as sorted blocks, to the hash ranges they fall in; there a hash that an earlier chunk has sent too is sent back
+to every later chunk. A chunk then knows which of its windows began earlier, elsewhere or within itself, and merges them
+into maximal removal intervals. Texts are shuffled once, hashes once, and repeated hashes once more.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The polynomial's base (odd, so that it has an inverse modulo 2 to the 64th).
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A chunk's bytes of text, at least and at most, and the hashes of one range.
+from tracelace.storage import written
+
+#: Two polynomials' bases (odd, so that they have inverses modulo 2 to the 64th).
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: A chunk's bytes of text, at least and at most, and the hashes of one range. A block has fewer hashes as the input
+#: grows (some 100 at 1 TB), so beyond that executors with more memory should take larger ranges.
 LEAST_CHUNK, MOST_CHUNK, RANGE_HASHES = 4 << 20, 32 << 20, 4_000_000
 
 
@@ -40,39 +42,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places (in all words end to end) where a whole window starts within one document, and its hash.
+def _rolled(h: np.ndarray, window: int, base: int) -> np.ndarray:
+    """The sum of h(x_k) * base^(window - 1 - k) modulo 2 to the 64th for every run of ``window`` numbers, from running sums of h(x_i) * base^-i."""
+    powers = np.full(len(h), pow(base, -1, 1 << 64), np.uint64)
+    powers[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(powers), dtype=np.uint64)])
+    powers[1:] = base
+    return (sums[window:] - sums[:-window]) * np.multiply.accumulate(powers)[window - 1 :]
+
+
+def window_hashes(words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places (in all words end to end) where a whole window starts within one document, its hash and its 32-bit check.
 
-    The hash of words x is the sum of h(x_k) * base^(window - 1 - k) modulo 2 to the 64th; all of them come from running
-    sums of h(x_i) * base^-i. Different windows share one with a probability of about 2^-64 (2^-58 for swapped words).
+    The two come from polynomials of two bases over two hashes of the words, so windows that differ share both with a
+    probability of about 2^-96: among the 10^13 windows of 100 TB some 10^-3 pairs are expected.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     n = int(sizes.sum())
     if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
     cache = _Words()
     h = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, n)
-    powers = np.full(n, _INVERSE, np.uint64)
-    powers[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(powers), dtype=np.uint64)])
-    powers[1:] = _BASE
-    powers = np.multiply.accumulate(powers)
-    hashes = (sums[window:] - sums[:-window]) * powers[window - 1 :]
     ends = np.cumsum(sizes)
     ok = np.ones(n, bool)
     for e, s in zip(ends.tolist(), sizes.tolist(), strict=True):
         ok[max(e - s, e - window + 1) : e] = False
     starts = np.flatnonzero(ok)
-    return starts, _mixed(hashes[starts])
+    first = _rolled(h, window, _BASES[0])[starts]
+    second = _rolled(_mixed(h ^ np.uint64(_BASES[1])), window, _BASES[1])[starts]
+    return starts, _mixed(first), (_mixed(second) >> np.uint64(32)).astype(np.uint32)
+
+
+def ordered(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by hash and check, and for each place in it whether the one before is the same window."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+    return order, np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])]) if len(h) else np.empty(0, bool)
 
 
-def block(hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as the eight byte planes of their differences; the upper planes are mostly zeros, for Spark's compression."""
-    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def block(hashes: np.ndarray, checks: np.ndarray) -> bytes:
+    """Sorted windows as the eight byte planes of their hashes' differences, whose upper planes are mostly zeros for Spark's compression, and the checks."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + checks.tobytes()
 
 
-def unblock(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def unblock(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    planes = np.frombuffer(data, np.uint8, 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(data, np.uint32, n, 8 * n)
 
 
 def intervals(covered: np.ndarray) -> np.ndarray:
@@ -81,122 +100,175 @@ def intervals(covered: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
+#: A row's place in the order: nulls first, then the id (a whole number as it is, another kind's 64-bit hash), then the text's hash.
+_ORDER = ("_set", "_key", "_hash")
+_PLACE = np.dtype([("s", "i8"), ("k", "i8"), ("h", "i8")])
+
+
 def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int, int]:
-    """(_id, _text, _chunk) with chunks in the order of ids, their number, and the words' upper bound.
+    """(_id, _text, _times and the order's columns, _chunk), the number of chunks, and the words' upper bound.
 
-    The span of the ids is cut into even cells, the cells' bytes are summed, and neighbouring cells are joined up to a
-    chunk's bytes. Null ids come first.
+    Ids, text hashes and sizes alone are sorted by Spark; walking along them, each task begins a chunk wherever the one at
+    hand is full. So far-off ids don't matter, and rows of one id (null, too) are split by their texts' hashes. Rows alike
+    in id and text that would fill a chunk by themselves are reduced to one with the number of their ``_times``.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(ident).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    low, high, total = rows.agg(F.min("_id"), F.max("_id"), F.sum(F.octet_length("_text"))).first()
+    kind = dict(docs.dtypes)[ident]
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    held = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    key = F.col(ident).cast("long") if whole else F.xxhash64(F.col(ident).cast("string"))
+    rows = docs.select(F.col(ident).alias("_id"), held.alias("_text"), F.col(ident).isNotNull().cast("long").alias("_set"), F.coalesce(key, F.lit(0)).cast("long").alias("_key"), F.xxhash64(held).alias("_hash"))
+    slim = written(rows.select(*_ORDER, F.octet_length("_text").cast("long").alias("_bytes")), "window-sizes")
+    total = slim.agg(F.sum("_bytes")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if low is None or low == high:
-        return rows.withColumn("_chunk", F.lit(0)), 1, (total or 0) // 2 + 1
     size = chunk_bytes or min(max(total // (4 * parts), LEAST_CHUNK), MOST_CHUNK)
-    cells = min(max(1, 32 * math.ceil(total / size)), 1 << 18, high - low + 1)
-    width = (high - low) // cells + 1
-    cell = F.coalesce(F.floor((F.col("_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    sums = {c: b for c, b in rows.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("_text"))).collect()}
-    chunk, filled, of = 0, 0, []
-    for c in range((high - low) // width + 1):
-        more = sums.get(c, 0)
-        if filled and filled + more > size:
-            chunk, filled = chunk + 1, 0
-        filled += more
-        of.append(chunk)
-    return rows.withColumn("_chunk", F.element_at(F.lit(of), cell + 1)), chunk + 1, total // 2 + 1
+    often = written(slim.groupBy(*_ORDER).agg(F.sum("_bytes").alias("_all"), F.count(F.lit(1)).alias("_times")).filter((F.col("_all") > size) & (F.col("_times") > 1)).drop("_all"), "window-often")
+    hot = often.count()
+    if hot:  # at most total / size of them
+        once = rows.join(often, list(_ORDER), "left_semi").dropDuplicates(["_id", "_text"]).join(often, list(_ORDER))
+        rows = rows.join(often, list(_ORDER), "left_anti").withColumn("_times", F.lit(1).cast("long")).unionByName(once)
+        slim = slim.join(often, list(_ORDER), "left_anti").unionByName(slim.join(often, list(_ORDER), "left_semi").dropDuplicates(list(_ORDER)))
+    else:
+        rows = rows.withColumn("_times", F.lit(1).cast("long"))
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, last = None, None
+        for batch in batches:
+            at: list[int] = []
+            places = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            for i, (place, more) in enumerate(zip(places, batch.column(3).to_pylist(), strict=True)):
+                if filled is None or (filled and filled + more > size and place != last):
+                    at.append(i)
+                    filled = 0
+                filled, last = filled + more, place
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int64())) for c in batch.columns[:3]], names=list(_ORDER))
+
+    sorted_rows = slim.repartitionByRange(max(1, min(parts, total // size)), *_ORDER).sortWithinPartitions(*_ORDER)
+    found = sorted_rows.mapInArrow(cuts, "_set long, _key long, _hash long").toArrow()  # a row a chunk
+    bounds = np.sort(np.array(list(zip(*(found.column(c).to_pylist() for c in _ORDER), strict=True)), _PLACE), order=["s", "k", "h"])
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.empty(batch.num_rows, _PLACE)
+            for name, column in zip(_PLACE.names, _ORDER, strict=True):
+                places[name] = batch.column(column).to_numpy(zero_copy_only=False)
+            chunk = np.searchsorted(shared.value, places, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(chunk, 0).astype(np.int32))], names=[*batch.schema.names, "_chunk"])
+
+    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    return rows.mapInArrow(deal, schema + ", _chunk int"), max(1, len(bounds)), total // 2 + 1
 
 
 def deduplicated(docs: DataFrame, window: int = 20, ident: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """The id, n_words, removed (array of struct(start, end), in words, end exclusive) and kept_text of every row.
 
     A word goes if a window that covers it has words that also start earlier: in a smaller id, or earlier in the same
-    document. Null ids come before all others; rows of one id are ordered by text, and rows alike in both are one
-    document, listed as often as it was. A null text has no words. Windows are judged on the input.
+    document. Null ids come before all others, and ids that aren't whole numbers follow a hash of theirs; rows of one id
+    are in the order of their texts' hashes, and rows alike in both are one document, listed as often as it was. A null or
+    empty text has no words, a text of any length is read whole, extra columns are left aside, no rows give none. Windows
+    are judged on the input.
     """
     rows, chunks, most = chunked(docs, ident, text, chunk_bytes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(parts if most < parts * RANGE_HASHES else math.ceil(most / RANGE_HASHES), 4 * chunks + 4))
     bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    id_type = rows.schema["_id"].dataType
 
     def send(table: pa.Table) -> pa.Table:
         words = [t.split() for t in table.column("_text").cast(pa.binary()).to_pylist()]
-        hashes = np.unique(window_hashes(words, window)[1])
+        _, hashes, checks = window_hashes(words, window)
+        order, again = ordered(hashes, checks)
+        hashes, checks = hashes[order][~again], checks[order][~again]
         cuts = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
         full = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
         chunk = table.column("_chunk")[0].as_py()
-        return pa.table({"_range": pa.array(full, pa.int32()), "_from": pa.array([chunk] * len(full), pa.int32()), "_block": pa.array([block(hashes[cuts[r] : cuts[r + 1]]) for r in full], pa.binary())})
+        blocks = [block(hashes[cuts[r] : cuts[r + 1]], checks[cuts[r] : cuts[r + 1]]) for r in full]
+        return pa.table({"_range": pa.array(full, pa.int32()), "_from": pa.array([chunk] * len(full), pa.int32()), "_block": pa.array(blocks, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         sent = sorted(zip(table.column("_from").to_pylist(), table.column("_block").to_pylist(), strict=True))
         parts_of = [unblock(b) for _, b in sent]
-        owner = np.repeat(np.arange(len(sent), dtype=np.int32), [len(p) for p in parts_of])
-        hashes = np.concatenate(parts_of)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        later = np.sort(order[1:][ordered[1:] == ordered[:-1]])
+        owner = np.repeat(np.arange(len(sent), dtype=np.int32), [len(h) for h, _ in parts_of])
+        hashes, checks = np.concatenate([h for h, _ in parts_of]), np.concatenate([c for _, c in parts_of])
+        order, again = ordered(hashes, checks)
+        later = np.sort(order[again])
         cuts = np.searchsorted(owner[later], np.arange(len(sent) + 1))
-        out = [(sent[i][0], block(hashes[later[cuts[i] : cuts[i + 1]]])) for i in range(len(sent)) if cuts[i + 1] > cuts[i]]
+        out = [(sent[i][0], block(hashes[at], checks[at])) for i in range(len(sent)) if len(at := later[cuts[i] : cuts[i + 1]])]
         return pa.table({"_chunk": pa.array([c for c, _ in out], pa.int32()), "_block": pa.array([b for _, b in out], pa.binary())})
 
     def cut(texts: pa.Table, repeats: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, raw = texts.column("_id").to_pylist(), texts.column("_text").cast(pa.binary()).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, raw[i]))
-        same = [k > 0 and ids[order[k - 1]] == ids[i] and raw[order[k - 1]] == raw[i] for k, i in enumerate(order)]
+        raw = texts.column("_text").cast(pa.binary()).to_pylist()
+        ids, times = texts.column("_id").combine_chunks(), texts.column("_times").to_pylist()
+        places = list(zip(*(texts.column(c).to_pylist() for c in _ORDER), raw, strict=True))
+        order = sorted(range(len(raw)), key=places.__getitem__)
+        same = [k > 0 and places[order[k - 1]] == places[i] for k, i in enumerate(order)]
         words = [[] if s else raw[i].split() for i, s in zip(order, same, strict=True)]
-        starts, hashes = window_hashes(words, window)
-        known = np.sort(np.concatenate([np.empty(0, np.uint64), *(unblock(b) for b in repeats.column("_block").to_pylist())]))
+        starts, hashes, checks = window_hashes(words, window)
+        by_hash, again = ordered(hashes, checks)
         gone = np.zeros(len(hashes), bool)
-        if len(known) and len(hashes):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            gone = known[at] == hashes
-        by_hash = np.argsort(hashes, kind="stable")
-        ordered = hashes[by_hash]
-        gone[by_hash[1:][ordered[1:] == ordered[:-1]]] = True
+        gone[by_hash[again]] = True
+        if repeats.num_rows and len(hashes):
+            known = [unblock(b) for b in repeats.column("_block").to_pylist()]
+            both = np.concatenate([*(h for h, _ in known), hashes]), np.concatenate([*(c for _, c in known), checks])
+            n = len(both[0]) - len(hashes)
+            mixed, repeated = ordered(*both)
+            # a window stands after a known one if one of its run comes before all own ones
+            run = np.cumsum(~repeated) - 1
+            from_known = np.zeros(run[-1] + 1, bool)
+            from_known[run[mixed < n]] = True
+            own = mixed >= n
+            gone[mixed[own] - n] |= from_known[run[own]]
         sizes = [len(w) for w in words]
         steps = np.zeros(sum(sizes) + 1, np.int32)
         np.add.at(steps, starts[gone], 1)
         np.add.at(steps, starts[gone] + window, -1)
         covered = np.cumsum(steps[:-1]) > 0
         out: list[tuple] = []
-        at = 0
+        at, held = 0, 0
         for k, i in enumerate(order):
             if same[k]:
-                out.append((ids[i], *out[-1][1:]))
-                continue
-            own = covered[at : at + sizes[k]]
-            at += sizes[k]
-            removed = intervals(own).tolist() if own.any() else []
-            kept, last = [], 0
-            for a, b in removed:
-                kept += words[k][last:a]
-                last = b
-            out.append((ids[i], sizes[k], removed, b" ".join(kept + words[k][last:])))
-        pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        for j in range(0, len(out), 2_000):
-            some = out[j : j + 2_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in some], pa.int64()),
-                    pa.array([x[1] for x in some], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in some], pa.list_(pair)),
-                    pa.array([x[3] for x in some], pa.binary()).cast(pa.string()),
-                ],
-                names=["_id", "n_words", "removed", "kept_text"],
-            )
+                found = last
+            else:
+                own_words = covered[at : at + sizes[k]]
+                at += sizes[k]
+                removed = intervals(own_words).tolist() if own_words.any() else []
+                kept, end = [], 0
+                for a, b in removed:
+                    kept += words[k][end:a]
+                    end = b
+                last = found = (sizes[k], removed, b" ".join(kept + words[k][end:]))
+            out.append((i, times[i], *found))
+            held += len(found[2])
+            if held > 8 << 20:
+                yield batch_of(ids, out)
+                out, held = [], 0
+        yield batch_of(ids, out)
+
+    pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    def batch_of(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [
+            ids.take(pa.array([x[0] for x in rows], pa.int64())),
+            pa.array([x[1] for x in rows], pa.int64()),
+            pa.array([x[2] for x in rows], pa.int64()),
+            pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in rows], pa.list_(pair)),
+            pa.array([x[4] for x in rows], pa.binary()).cast(pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "_times", "n_words", "removed", "kept_text"])
 
     def cut_table(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         return pa.Table.from_batches(cut(texts, repeats))
 
     sent = rows.groupBy("_chunk").applyInArrow(send, "_range int, _from int, _block binary")
     repeats = sent.groupBy("_range").applyInArrow(compare, "_chunk int, _block binary")
-    schema = "_id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
+    schema = f"_id {id_type.simpleString()}, _times long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
     out = rows.groupBy("_chunk").cogroup(repeats.groupBy("_chunk")).applyInArrow(cut_table, schema)
-    return out.withColumnRenamed("_id", ident)
+    out = out.select("_id", "n_words", "removed", "kept_text", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_k"))
+    return out.select(F.col("_id").alias(ident), "n_words", "removed", "kept_text")
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and removed of every row."""
+    """doc_id, n_words, n_removed, kept_sha256 and removed of every row, under the rules of ``deduplicated``."""
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return deduplicated(docs, window).select("doc_id", "n_words", n.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed")
