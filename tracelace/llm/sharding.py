@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracelace.llm.common import hex_bits, let
+from tracelace.storage import written
 
 LEVELS = ("region", "rack", "shard")
 
@@ -91,34 +92,40 @@ def key_of(ident: Column) -> Column:
     return F.coalesce(ident.cast("string"), F.lit("null"))
 
 
+#: Alike rows are listed again in runs of so many.
+_RUN = 1 << 16
+
+
 def place(df: DataFrame, ident: str, tree: Node, grown: Node | None = None, carry: Sequence[str] = (), bucket_rows: int = 100_000) -> DataFrame:
     """Rows of ``df`` with ``shard``, ``slot`` and, given a second tree, ``grown_shard``.
 
-    ``slot`` numbers the rows of a shard from 0 without gaps, in the order of a 52-bit hash of the key. A shard is
-    numbered in hash ranges of about ``bucket_rows`` rows, to whose numbers the counts of earlier ranges are added;
-    no task holds a whole shard. Rows alike in id and carried columns are kept, each with a slot of its own. A null id is
-    a key like any other; rows with equal ids share a shard.
+    ``slot`` numbers the rows of a shard from 0 without gaps, in the order of a 52-bit hash of the key and the carried
+    columns. A shard is numbered in hash ranges of about ``bucket_rows`` rows, to whose numbers the counts of earlier
+    ranges are added; no task holds a whole shard. Rows alike in id and carried columns are one row with a count until
+    they are numbered, so their number doesn't matter, and each gets a slot of its own. A null id is a key like any other;
+    rows with equal ids share a shard. ``_order``, ``_bucket`` and the like may be names of other columns of ``df``.
     """
     n = df.count()
     shards = max(1, sum(1 for _ in _leaves(tree)))
     buckets = max(1, math.ceil(n / bucket_rows / shards))
+    alike = df.groupBy(F.col(ident), *carry).agg(F.count(F.lit(1)).alias("_n"))
     key = key_of(F.col(ident))
-    out = df.select(
-        F.col(ident),
+    placed = alike.select(
+        ident,
         *carry,
+        "_n",
         chosen(key, tree).alias("shard"),
         (chosen(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        hex_bits(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 13).alias("_order"),
-    ).withColumn("_bucket", F.floor(F.col("_order") / F.lit(2.0**52) * F.lit(buckets)).cast("int"))
-    dealt = out.repartition("shard", "_bucket")
-    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("shard", "_bucket").orderBy("_order", ident, *carry)
-    return (
-        dealt.withColumn("_row", F.row_number().over(inside))
-        .join(starts, ["shard", "_bucket"])
-        .select(ident, *carry, "shard", (F.col("_start") + F.col("_row") - 1).cast("long").alias("slot"), "grown_shard")
+        hex_bits(F.md5(F.concat_ws(":", F.lit("slot"), key, *[F.col(c).cast("string") for c in carry]).cast("binary")), 13).alias("_order"),
     )
+    out = written(placed.withColumn("_bucket", F.floor(F.col("_order") / F.lit(2.0**52) * F.lit(buckets)).cast("int")), "shard-rows")
+    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = out.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_all")).select("shard", "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("shard", "_bucket").orderBy("_order", ident, *carry).rowsBetween(W.unboundedPreceding, -1)
+    numbered = out.withColumn("_row", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["shard", "_bucket"])
+    runs = numbered.select(ident, *carry, "shard", "grown_shard", "_n", (F.col("_start") + F.col("_row")).alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_RUN).cast("long"))).alias("_from"))
+    each = F.explode(F.sequence("_from", F.least(F.col("_from") + _RUN, F.col("_n")) - 1))
+    return runs.withColumn("_k", each).select(ident, *carry, "shard", (F.col("_first") + F.col("_k")).cast("long").alias("slot"), "grown_shard")
 
 
 def _leaves(node: Node):
@@ -146,10 +153,10 @@ def _sql_shard(tree: Node, name: str) -> str:
             walk(c)
 
     walk(tree)
-    ctes = [f"{name}_nodes(parent, path, weight, i, shard) AS (VALUES {', '.join(nodes)})", f"{name}_0 AS (SELECT doc_id, k, '' AS path, NULL AS shard FROM d)"]
+    ctes = [f"{name}_nodes(parent, path, weight, i, shard) AS (VALUES {', '.join(nodes)})", f"{name}_0 AS (SELECT r, k, '' AS path, NULL AS shard FROM d)"]
     for level in range(len(LEVELS)):
         u = f"ln((('0x' || substr(md5(k || ':' || n.path), 1, 13))::BIGINT::DOUBLE + 0.5) / {2.0**52!r}) / n.weight"
-        ctes.append(f"{name}_{level + 1} AS (SELECT doc_id, k, arg_max(n.path, {u}) AS path, arg_max(n.shard, {u}) AS shard FROM {name}_{level} p JOIN {name}_nodes n ON n.parent = p.path GROUP BY doc_id, k)")
+        ctes.append(f"{name}_{level + 1} AS (SELECT r, k, arg_max(n.path, {u}) AS path, arg_max(n.shard, {u}) AS shard FROM {name}_{level} p JOIN {name}_nodes n ON n.parent = p.path GROUP BY r, k)")
     return ", ".join(ctes)
 
 
@@ -160,14 +167,14 @@ WITH RECURSIVE bits(b, c, k) AS (
   SELECT range, range::UBIGINT, 0 FROM range(256)
   UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
 ), tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
-d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
 summed AS (
-  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 1 + 2 * i, 2))::UBIGINT)),
+  SELECT r, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 1 + 2 * i, 2))::UBIGINT)),
     lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc
-  FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM d), tab
+  FROM (SELECT r, text, hex(encode(text)) AS h FROM d), tab
 ),
 {_sql_shard(topology(shards), 'a')}, {_sql_shard(topology(shards + 1), 'b')}
 SELECT d.doc_id, (strlen(d.text) + 1)::BIGINT AS size, summed.crc AS text_crc32, 'key' AS law, a_3.shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY a_3.shard ORDER BY ('0x' || substr(md5('slot:' || d.k), 1, 13))::BIGINT, d.doc_id) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY a_3.shard ORDER BY ('0x' || substr(md5('slot:' || d.k || ':' || (strlen(d.text) + 1) || ':' || summed.crc), 1, 13))::BIGINT, d.doc_id NULLS FIRST, strlen(d.text), summed.crc) - 1)::BIGINT AS slot,
   b_3.shard::INTEGER AS grown_shard
-FROM d JOIN summed USING (doc_id) JOIN a_3 USING (doc_id) JOIN b_3 USING (doc_id)"""
+FROM d JOIN summed USING (r) JOIN a_3 USING (r) JOIN b_3 USING (r)"""
