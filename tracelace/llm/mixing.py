@@ -13,24 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracelace.llm.common import WORD, hex_bits
+from tracelace.llm.common import WORD, hex_bits, unused
 from tracelace.storage import written
 
-#: Bits of the hash that one histogram level reads, and the number of levels.
-BITS, DEPTH = 12, 3
+#: Bits of the hash that one histogram level reads, the levels of a row's id and text, and those of its place in the table.
+BITS, DEPTH, TIES = 12, 3, 2
 
 
 def _hash(seed: str) -> Column:
-    """36 bits of a hash of a row's id and text."""
+    """36 bits of a hash of a row's id and text, and 24 bits of one of its place in the table, which only rows alike in both need."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
-    return hex_bits(F.md5(key.cast("binary")), BITS * DEPTH // 4)
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << BITS * TIES) - 1))
+    return F.shiftleft(hex_bits(F.md5(key.cast("binary")), BITS * DEPTH // 4), BITS * TIES).bitwiseOR(place)
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size (words) and hash h of every row; null texts have size 0.
-
-    Rows alike in id and text share a hash and are taken together. Written once, as each histogram level reads it.
-    """
+    """doc_id, source, size (words) and hash h of every row; null texts have size 0. Written once, as each histogram level reads it."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _hash(seed).alias("h"))
 
@@ -61,52 +59,62 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with ``full`` (how often each row is taken whole) and ``below``: rows with h < below are taken once more.
 
     The last, finest bucket is taken if that comes nearer to the budget. Each level's table has a row for a source and
-    bucket; the hot source's rows meet no more than its bucket sums.
+    bucket, and is written before the next one reads it; the hot source's rows meet no more than its bucket sums. Levels
+    end when no source's boundary bucket has two rows.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     at = wanted.withColumn("full", whole).withColumn("_left", F.col("target") - F.col("full") * F.col("source_size"))
-    at = at.withColumn("_prefix", F.lit(0).cast("long"))
-    for depth in range(1, DEPTH + 1):
-        width = BITS * (DEPTH - depth)
-        bucket = F.shiftright("h", width)
-        level = rows.withColumn("_b", bucket)
+    at = written(at.withColumn("_prefix", F.lit(0).cast("long")), "mix-level")
+    last = DEPTH + TIES
+    for depth in range(1, last + 1):
+        width = BITS * (last - depth)
+        level = rows.withColumn("_b", F.shiftright("h", width))
         if depth > 1:
             level = level.join(at.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p")), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_b", BITS) == F.col("_p")), "left_semi")
-        sums = level.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
+        sums = level.groupBy("source", "_b").agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"))
         run = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-        sums = sums.withColumn("_upto", F.sum("_sum").over(run)).select(F.col("source").alias("_s"), "_b", "_sum", "_upto")
+        sums = sums.withColumn("_upto", F.sum("_sum").over(run)).select(F.col("source").alias("_s"), "_b", "_sum", "_upto", "_n")
         met = at.select("source", "_left").join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
         over = F.col("_upto") > F.col("_left")
-        ends = met.groupBy("source").agg(F.min_by("_b", F.when(over, F.col("_b"))).alias("_new"), F.min(F.when(over, F.col("_upto") - F.col("_sum"))).alias("_before"), F.min(F.when(over, F.col("_upto"))).alias("_after"))
-        ends = ends.withColumnRenamed("source", "_s")
-        at = at.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_stop", F.coalesce("_new", F.shiftleft(F.col("_prefix") + (0 if depth > 1 else 1), BITS)))
-        if depth == DEPTH:
-            nearer = F.col("_new").isNotNull() & (F.col("_after") - F.col("_left") < F.col("_left") - F.col("_before"))
-            return at.select("source", "source_size", "target", "full", (F.col("_stop") + nearer.cast("long")).alias("below"))
-        at = at.select("source", "source_size", "target", "full", (F.col("_left") - F.coalesce(F.col("_before"), F.lit(0))).alias("_left"), F.col("_stop").alias("_prefix"))
-    raise AssertionError
+        ends = met.groupBy(F.col("source").alias("_s")).agg(F.min(F.when(over, F.struct("_b", (F.col("_upto") - F.col("_sum")).alias("before"), F.col("_upto").alias("after"), "_n"))).alias("_e"))
+        at = at.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left")
+        at = at.withColumn("_stop", F.coalesce("_e._b", F.shiftleft(F.col("_prefix") + (0 if depth > 1 else 1), BITS)))
+        nearer = F.col("_e").isNotNull() & (F.col("_e.after") - F.col("_left") < F.col("_left") - F.col("_e.before"))
+        below = F.shiftleft(F.col("_stop") + nearer.cast("long"), width)
+        left = F.col("_left") - F.coalesce(F.col("_e.before"), F.lit(0))
+        at = written(at.select("source", "source_size", "target", "full", left.alias("_left"), F.col("_stop").alias("_prefix"), below.alias("below"), F.coalesce("_e._n", F.lit(0)).alias("_n")), "mix-level")
+        if depth == last or (depth >= DEPTH and at.filter("_n > 1").isEmpty()):
+            break
+        at = at.drop("below", "_n")
+    return at.select("source", "source_size", "target", "full", "below")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row: taken is size times the number of times the mix takes it.
 
-    A null source is a source of its own. Empty or null texts have size 0 and add nothing. An empty table gives none.
+    A null source is a source of its own. Empty or null texts have size 0 and add nothing; long ones count whole. Of rows
+    alike in id and text as many are taken as the target asks, in the order of a hash of their places. Extra columns are
+    left aside. An empty table gives none.
     """
     rows = written(sized(docs), "mix-sizes")
-    cut = written(thresholds(rows, targets(rows, weights, most)), "mix-thresholds")
-    cut = cut.withColumnRenamed("source", "_s")
+    cut = thresholds(rows, written(targets(rows, weights, most), "mix-targets")).withColumnRenamed("source", "_s")
     joined = rows.join(cut, F.col("source").eqNullSafe(F.col("_s")))
     times = F.least(F.col("full") + (F.col("h") < F.col("below")).cast("long"), F.lit(int(most)))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """``docs`` as the mix has it: each row as often as it is taken, none to ``most`` times. Texts aren't shuffled by source."""
+    """``docs`` as the mix has it: each row as often as it is taken, none to ``most`` times. Texts aren't shuffled by source.
+
+    Rows of every kind count as in ``mix``; columns of any name pass. ``docs`` should be a table as it is stored: of rows
+    alike in id and text, those taken are told by their places there.
+    """
+    source, full, below, h, copy = (unused(docs, f"__{c}") for c in ("source", "full", "below", "h", "copy"))
     rows = written(sized(docs), "mix-sizes")
-    cut = written(thresholds(rows, targets(rows, weights, most)), "mix-thresholds").select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("below").alias("__below"))
-    joined = docs.withColumn("__h", _hash("mix")).join(cut, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    times = F.least(F.col("__full") + (F.col("__h") < F.col("__below")).cast("long"), F.lit(int(most))).cast("int")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")
+    cut = thresholds(rows, written(targets(rows, weights, most), "mix-targets")).select("source", "full", "below").toDF(source, full, below)
+    joined = docs.withColumn(h, _hash("mix")).join(cut, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    times = F.least(F.col(full) + (F.col(h) < F.col(below)).cast("long"), F.lit(int(most))).cast("int")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)
 
 
 SQL = f"""
@@ -122,7 +130,7 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OV
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT lv FROM l WHERE lv * w <= cap ORDER BY cap / w, rk LIMIT 1) * w), cap) AS target FROM l),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS ful FROM t),
 g AS (SELECT d.*, f.source_size, f.target, f.ful, f.target - f.ful * f.source_size AS lef,
-  sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+  sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto, size AS own
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
 x AS (SELECT *, CASE WHEN upto <= lef THEN 1 WHEN upto - own > lef THEN 0 WHEN upto - lef < lef - (upto - own) THEN 1 ELSE 0 END AS more FROM g)
 SELECT doc_id, size, source_size, target, (size * least(ful::BIGINT + more, 3))::BIGINT AS taken, least(ful::BIGINT + more, 3)::BIGINT AS times FROM x"""
