@@ -246,6 +246,20 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(taken[s] - target[s]) <= 30
 
 
+def test_a_source_of_repeated_rows_comes_near_its_target(spark):
+    rows = [(1, "a b c d e", "en", "a")] * 400 + [(i, "x y z", "en", "b") for i in range(2, 300)]
+    got = mixing.mix(table(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(got) == len(rows) and all(abs(taken[k] - t) <= 5 for k, t in target.items())
+    docs = table(spark, rows).repartition(3)
+    docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/alike")
+    out = Counter(r.source for r in mixing.mixed(spark.read.parquet(path)).collect())
+    assert abs(5 * out["a"] - target[2000]) <= 5 and abs(3 * out["b"] - target[894]) <= 3
+
+
 def test_mix_of_dirty_rows(dirty):
     got = mixing.mix(dirty)
     assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in ROWS)
@@ -404,14 +418,37 @@ def test_tiff_of_broken_files(spark):
             pass
 
 
-def test_tiff_digest(dirty):
-    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in tiff.digest(dirty).collect())
+def plain_feature(payload):
+    rows = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    out = []
+    for k in range(0, len(rows), tiff.PAGE_ROWS):
+        page = rows[k : k + tiff.PAGE_ROWS]
+        across = sum(abs(b - a) for r in page for a, b in zip(r, r[1:], strict=False))
+        down = sum(abs(b - a) for r, q in zip(page, page[1:], strict=False) for a, b in zip(r, q, strict=True))
+        every = b"".join(page)
+        out.append(f"{len(page)}x192x1:{sum(every)}:{sum(x * x for x in every)}:{across}:{down}:{len(set(every))}")
+    return "|".join(out)
+
+
+def test_tiff_digest(spark, dirty):
+    rows = [*ROWS, *[(100 + i, f"text {i} " * (i * 37), "en", "a") for i in range(24)], (200, "page " * 40_000, "en", "a")]
+    docs = table(spark, rows)
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature, r.compression, r.pages) for r in tiff.digest(docs).collect())
     want = Counter()
-    for doc, text, *_ in ROWS:
+    for doc, text, *_ in rows:
         b = (text or "").encode()
         p = b + b" " * (-len(b) % 192 if b else 192)
-        want[doc, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
-    assert got == want
+        form = tiff.NAMES[tiff.FORMS[zlib.crc32(p) & 15][0]]
+        want[doc, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), plain_feature(p), form, -(-len(p) // 192 // tiff.PAGE_ROWS)] += 1
+    assert got == want and {k[6] for k in got} == {"none", "lzw", "deflate", "packbits"}
+    files = tiff.text_files(docs.filter("doc_id = 200"))
+    assert [r.page for r in tiff.page_rows(files, "media", ("doc_id",)).collect()] == list(range(5))
+
+
+@pytest.mark.parametrize("compression", [tiff.LZW, tiff.PACKBITS, tiff.DEFLATE])
+def test_pages_that_pack_well_are_read(compression):
+    image = np.zeros((2048, 3600, 1), np.uint8)
+    assert [p.pixels for p in tiff.pages(tiff.write([image], compression, 1, rows=2048))] == [image.tobytes()]
 
 
 def test_shards(spark, dirty):
@@ -423,11 +460,25 @@ def test_shards(spark, dirty):
     for s in range(16):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
     few = sharding.place(table(spark, rows, extra=False), "doc_id", sharding.topology(16), bucket_rows=50).collect()
-    assert {(r.doc_id, r.shard, r.slot) for r in few} == {(r.doc_id, r.shard, r.slot) for r in got}
+    assert {(r.doc_id, r.shard) for r in few} == {(r.doc_id, r.shard) for r in got}
+    assert {(r.shard, r.slot) for r in few} == {(r.shard, r.slot) for r in got}
     own = sharding.shard_documents(dirty).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in own) == Counter((x[0], len((x[1] or "").encode()) + 1, zlib.crc32((x[1] or "").encode())) for x in ROWS)
 
 
+def test_slots_of_alike_rows_have_no_gaps(spark):
+    import duckdb
+
+    rows = [(1, "same", "en", "a")] * 70 + [(None, None, "en", "a")] * 30 + [(None, f"t{i}", "en", "a") for i in range(40)] + [(i, "x", "en", "a") for i in range(2, 60)]
+    docs = table(spark, rows, extra=False)
+    got = sharding.shard_documents(docs).collect()
+    for s in {r.shard for r in got}:
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    documents = docs.toArrow()  # noqa: F841
+    assert Counter(tuple(r) for r in got) == Counter(duckdb.sql(sharding.sql()).fetchall())
+
+
 def test_a_changed_weight_moves_rows_only_to_its_subtree(spark):
     rows = table(spark, [(i, "", "", "") for i in range(3000)], extra=False)
     before = {r.doc_id: r.shard for r in sharding.place(rows, "doc_id", sharding.topology(16)).collect()}

@@ -23,6 +23,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRI
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
+#: How many bytes a byte can stand for at most (LZW: a table's entries grow by one byte a code, up to 12 bits).
+_MOST = {NONE: 1, PACKBITS: 64, LZW: 1500, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 
 class Broken(ValueError):
@@ -221,7 +223,7 @@ def pages(data: bytes) -> Iterator[Page]:
         planes, depth = (samples, 1) if planar == 2 else (1, samples)
         if len(offsets) < across * down * planes or len(sizes) < len(offsets):
             raise Broken("a page lacks blocks")
-        if width * height * samples * bits // 8 > max(1 << 16, 1032 * len(data)):
+        if width * height * samples * bits // 8 > (1 << 16) + _MOST.get(compression, 0) * sum(sizes):
             raise Broken("a page is larger than its file can hold")
         kind = np.dtype(f"{order}u{bits // 8}")
         image = np.zeros((height, width, samples), kind.newbyteorder("="))
@@ -337,19 +339,29 @@ def page_rows(files: DataFrame, media: str, carry: tuple[str, ...]) -> DataFrame
     return files.select(*carry, F.col(media).cast("binary").alias("_media")).mapInArrow(read, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + SCHEMA)
 
 
+#: The forms in which texts are stored, by the lowest bits of the payload's crc32: compression, predictor, tile. LZW is one
+#: in sixteen, since its codec is the dearest.
+FORMS = (
+    (LZW, 1, None), (PACKBITS, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (64, 64)), (PACKBITS, 1, (64, 64)), (DEFLATE, 1, None), (PACKBITS, 2, None), (DEFLATE, 1, (32, 192)),
+    (DEFLATE, 2, (16, 96)), (PACKBITS, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (64, 64)), (PACKBITS, 1, (64, 64)), (DEFLATE, 1, None), (NONE, 2, None), (DEFLATE, 1, (32, 192)),
+)
+#: Rows of one page.
+PAGE_ROWS = 256
+
+
 def stored(payload: bytes, width: int = 192) -> bytes:
-    """Bytes as a page of 8-bit samples: PackBits up to 4 rows, LZW up to 8, deflate beyond, in tiles from 128 rows on."""
+    """Bytes as pages of 8-bit samples, PAGE_ROWS rows each; the form follows the payload's crc32, so every size meets every form."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, width, 1)
-    height = len(image)
-    if height <= 4:
-        return write([image], PACKBITS, 1)
-    if height <= 8:
-        return write([image], LZW, 1)
-    return write([image], DEFLATE, 2, tile=(64, 64) if height >= 128 else None)
+    compression, predictor, tile = FORMS[zlib.crc32(payload) & 15]
+    return write([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
 def text_files(docs: DataFrame, width: int = 192) -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 with spaces up to a positive multiple of ``width``, stored as a page; a null text is empty."""
+    """doc_id, n_bytes and media: each text's UTF-8 with spaces up to a positive multiple of ``width``, stored as pages.
+
+    Null and empty texts are one row of spaces; long ones have more pages. Null ids, repeated rows and extra columns
+    change nothing; no rows give none.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,8 +375,49 @@ def text_files(docs: DataFrame, width: int = 192) -> DataFrame:
     return rows.mapInArrow(make, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
+def file_rows(files: DataFrame, media: str, carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns and one row for each file: its pages' number, joined features and pixels, and its first fault, if any.
+
+    A file's pages are read one after the other in the task that has the file; files aren't shuffled. Null files have no row.
+    """
+    kinds = dict(files.dtypes)
+    names = ["pages", "compression", "layout", "feature", "pixels", "error"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            held = 0
+            for i, value in enumerate(batch.column(len(carry))):
+                if (data := value.as_py()) is None:
+                    continue
+                found: list[Page] = []
+                error = None
+                try:
+                    found.extend(pages(data))
+                except Broken as e:
+                    error = str(e)
+                first = found[0] if found else None
+                at.append(i)
+                rows.append((len(found), first and first.compression, first and first.layout, "|".join(map(feature, found)), b"".join(p.pixels for p in found), error))
+                held += len(rows[-1][4])
+                if held > _SENT:
+                    yield sent(batch, at, rows)
+                    at, rows, held = [], [], 0
+            if rows:
+                yield sent(batch, at, rows)
+
+    def sent(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[: len(carry)]), *columns], names=[*carry, *names])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "pages int", "compression string", "layout string", "feature string", "pixels binary", "error string"])
+    return files.select(*carry, F.col(media).cast("binary").alias("_media")).mapInArrow(read, schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """One row for each text: its stored form's and its payload's digests, the payload being what is read back from that form."""
     files = text_files(docs).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    read = page_rows(files, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    return read.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "compression", "layout")
+    read = file_rows(files, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    return read.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "pages", "compression", "layout")
