@@ -173,13 +173,29 @@ def test_trigram_queries_hold_for_matches(rule):
 
 
 def test_language_from_labelled_rows(dirty, spark):
-    tree = language.learn(dirty)
-    got = language.predict(dirty, tree).collect()
+    got = language.predict(dirty, language.learn(dirty)).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     by = Counter((r.doc_id, r.lang_pred == "und") for r in got)
     assert by[3, True] == by[4, True] == by[11, True] == 1 and by[1, False] == 1
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert {r.lang_pred for r in language.predict(dirty, language.learn(dirty.filter("false"))).collect()} == {"und"}
+    apart = language.predict(dirty, language.learn(dirty, block_bytes=1)).collect()  # a language a block
+    plain = lambda rows: sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in rows)
+    assert plain(apart) == plain(got)
+
+
+def test_every_language_is_learned_and_large_ones_are_sampled(spark):
+    draw = random.Random(1)
+    rows = []
+    for k in range(90):
+        own = ["".join(draw.choices("abcdefghijklmnop", k=5)) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(draw.choices(own, k=30)), f"l{k:02}", "a") for i in range(4)]
+    docs = table(spark, rows)
+    got = language.predict(docs, language.learn(docs, block_bytes=200_000)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.98 * len(rows) and len({r.lang_pred for r in got}) == 90
+    whole, part = (language.counted(docs.filter("lang in ('l00', 'l01')"), sample_bytes=n).agg({"n": "sum"}).first()[0] for n in (1 << 20, 400))
+    assert 0 <= (part or 0) < whole == sum(len(r[1]) for r in rows if r[2] in ("l00", "l01"))
 
 
 def test_code_lengths_are_exact():

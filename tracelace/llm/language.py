@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelace.storage import written
+
 #: Bytes before a text's first are taken to be these; contexts are up to three bytes long.
 _START = b"\n\n\n"
 ORDER = len(_START)
@@ -104,12 +106,18 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", least_share: float = 5e-6, most_languages: int = 64) -> Tree:
-    """The tree of all rows with a text and a language.
+#: Bytes of text a language is learned from: all it has, or else a sample of its rows by a hash, of about so many.
+SAMPLE_BYTES = 256 << 20
+#: Bytes of one block of trees, which is what is broadcast at once: a language alone is a block, however large its tree.
+BLOCK_BYTES = 64 << 20
+
+
+def counted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(l, g, n): how often each language has each gram of four bytes, over the rows with a text and a language.
 
-    Every text is counted whole: each task counts the grams of what it reads, and the tasks' counts are summed by language
-    and gram. Kept are the grams that are ``least_share`` of their language's bytes, which are at most 1 / least_share a
-    language, and the ``most_languages`` languages with the most bytes: so the tree's size is bounded, whatever is read.
+    Every text read is counted whole and no gram or language is left out. ``sample_bytes`` bounds what a language is
+    learned from; a language that has more is sampled by a hash of the text at the rate that gives about so many. Each
+    task counts the grams of what it reads, and the tasks' counts are summed by language and gram.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,33 +148,77 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", least_sha
             codes, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
-    rows = labelled.filter(F.col(text).isNotNull() & (F.octet_length(text) > 0) & F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("string"))
-    counted = rows.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    whole = counted.groupBy("l").agg(F.sum("n").alias("_bytes")).orderBy(F.desc("_bytes"), "l").limit(most_languages)
-    kept = counted.join(F.broadcast(whole), "l").filter(F.col("n") >= F.col("_bytes") * least_share).select("l", "g", "n").toArrow()
-    languages = sorted(set(kept.column("l").to_pylist()))
+    rows = labelled.filter(F.col(text).isNotNull() & (F.octet_length(text) > 0) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("_l"), F.col(text).cast("string").alias("_t"))
+    large = written(rows.groupBy("_l").agg(F.sum(F.octet_length("_t").cast("long")).alias("_all")).filter(F.col("_all") > sample_bytes), "languages-sampled")
+    if not large.isEmpty():
+        rate = F.lit(float(sample_bytes)) / F.col("_all")
+        drawn = F.pmod(F.xxhash64("_t", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)
+        rows = rows.join(large.withColumnRenamed("_l", "_sampled"), F.col("_l") == F.col("_sampled"), "left").filter(F.col("_all").isNull() | drawn).select("_l", "_t")
+    return rows.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+
+
+def blocks_of(sizes: dict[str, int], block_bytes: int = BLOCK_BYTES) -> list[list[str]]:
+    """Languages by name in blocks whose tree (a float for each of their grams and languages) keeps to the bound."""
+    out: list[list[str]] = []
+    held = 0
+    for name in sorted(sizes):
+        if out and (held + sizes[name]) * (len(out[-1]) + 1) * 8 <= block_bytes:
+            out[-1].append(name)
+            held += sizes[name]
+        else:
+            out.append([name])
+            held = sizes[name]
+    return out
+
+
+def tree_of(counts: DataFrame, languages: list[str]) -> Tree:
+    """The languages' tree from their counts."""
+    kept = counts.filter(F.col("l").isin(languages)).toArrow()
     codes, inverse = np.unique(kept.column("g").to_numpy().astype(np.uint32), return_inverse=True)
-    counts = np.zeros((len(codes), len(languages)))
+    held = np.zeros((len(codes), len(languages)))
     at = {x: i for i, x in enumerate(languages)}
-    counts[inverse, np.array([at[x] for x in kept.column("l").to_pylist()], np.int64)] = kept.column("n").to_numpy()
-    return Tree.of(languages, codes, counts) if languages else Tree([], [])
+    held[inverse, np.array([at[x] for x in kept.column("l").to_pylist()], np.int64)] = kept.column("n").to_numpy()
+    return Tree.of(languages, codes, held)
 
 
-def predict(docs: DataFrame, tree: Tree, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES, block_bytes: int = BLOCK_BYTES) -> Iterator[Tree]:
+    """The trees of all languages, a block of them at a time; none where no row has a text and a language.
+
+    Null and empty texts and null languages teach nothing, repeated rows count as often as they are there, extra columns
+    are left aside. See ``counted`` for the bound on what is read.
+    """
+    counts = written(counted(labelled, text, lang, sample_bytes), "language-grams")
+    sizes = {r.l: r.n for r in counts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    for languages in blocks_of(sizes, block_bytes):
+        yield tree_of(counts, languages)
+
+
+def predict(docs: DataFrame, trees: Iterator[Tree], ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, held_out, lang_pred and score of every row.
 
     ``score`` is the language's share of the probability that all languages give the text, each counting alike; equal
     code lengths go to the first language by name. A null text, one without a letter, and every text where nothing was
-    learned are 'und' with score 0.
+    learned are 'und' with score 0. Long texts are scored whole; null ids, repeated rows and columns of any name pass.
+    Each block of trees is one pass, which carries the shortest length so far, its language and the sum of the shares;
+    between passes the rows are written.
     """
+    kind = dict(docs.dtypes)[ident]
+    schema = f"_id {kind}, _text string, _best double, _name string, _sum double"
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text"), F.lit(None).cast("double").alias("_best"), F.lit(None).cast("string").alias("_name"), F.lit(0.0).alias("_sum"))
+    for k, tree in enumerate(trees):
+        rows = (written(rows, "languages-scored") if k else rows).mapInArrow(_pass(docs, tree), schema)
+    known = F.col("_name").isNotNull()
+    return rows.select(F.col("_id").alias(ident), held_out(F.col("_id")).alias("held_out"), F.coalesce("_name", F.lit("und")).alias("lang_pred"), F.when(known, 1 / F.col("_sum")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def _pass(docs: DataFrame, tree: Tree):
     shared = docs.sparkSession.sparkContext.broadcast((tree.languages, tree.levels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(*shared.value)
         for batch in batches:
-            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            texts = batch.column(2).to_pylist()
-            known = [i for i, t in enumerate(texts) if t and tree.languages and any(map(str.isalpha, t))]
+            texts, best, names, sums = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+            known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             some: list[int] = []
             size = 0
             for k, i in enumerate(known):
@@ -174,18 +226,19 @@ def predict(docs: DataFrame, tree: Tree, ident: str = "doc_id", text: str = "tex
                 size += len(texts[i])
                 if size > 4 << 20 or k + 1 == len(known):
                     bits = tree.lengths([texts[j].encode("utf-8", "replace") for j in some])
-                    best = bits.argmin(axis=1)
-                    share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                    for j, b, s in zip(some, best, share, strict=True):
-                        names[j], scores[j] = tree.languages[b], s
+                    for j, own in zip(some, bits, strict=True):
+                        b = int(own.argmin())
+                        least = own[b] if best[j] is None or own[b] < best[j] else best[j]
+                        old = 0.0 if best[j] is None else sums[j] * 2.0 ** max(least - best[j], -1000)
+                        sums[j] = float(old + np.exp2(np.maximum(least - own, -1000)).sum())
+                        if best[j] is None or own[b] < best[j]:
+                            best[j], names[j] = float(own[b]), tree.languages[b]
                     some, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(names, pa.string()), pa.array(sums, pa.float64())], names=["_id", "_text", "_best", "_name", "_sum"])
 
-    out = [ident, "held_out", "lang_pred", "score"]
-    rows = docs.select(F.col(ident), held_out(F.col(ident)).alias("held_out"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(score, f"`{ident}` {dict(rows.dtypes)[ident]}, held_out boolean, lang_pred string, score double")
+    return score
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Learned from what isn't held out (rows with a null id aren't learned from), predicted for every row."""
+    """Learned from what isn't held out (rows with a null id aren't learned from), predicted for every row; see ``predict``."""
     return predict(docs, learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
