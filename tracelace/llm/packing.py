@@ -82,7 +82,8 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32: each document's ids and ``end_id``, cut only where longer than ``capacity``.
 
-    A null or empty text is the end id alone, so every row gives one piece at least.
+    A null or empty text is the end id alone, so every row gives one piece at least; null ids and repeated rows have pieces
+    of their own; long texts are encoded whole; extra columns are left aside; no rows give none.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -153,12 +154,13 @@ def lower_bound(sizes: np.ndarray, capacity: int, ks: int = 64) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), part_items: int = 50_000, rounds: int = 2) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), part_items: int = 50_000) -> DataFrame:
     """``items`` with sequence_id and offset: no sequence holds more than ``capacity``.
 
-    ``items`` is read more than once and must be written. A partition has about ``part_items`` items, whatever the input,
-    since items are dealt by a hash of ``order``; items alike in that may crowd one partition but still take rows of their
-    own. ``rounds``: how often partitions with a gap exchange items. No items, no rows.
+    ``items`` is read more than once and must be a written table. A partition has about ``part_items`` items, whatever the
+    input: they are dealt by a hash of ``order`` and of their places in the table, so that items alike are spread.
+    Partitions with a gap between their packing and its bound exchange items and are packed anew, again and again, until
+    that saves no sequence. No items, no rows.
     """
     n = items.count()
     columns = items.columns
@@ -170,20 +172,22 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
             sizes = pdf[size].to_numpy(np.int64)
             bins, offsets, used = best_fit(sizes, capacity)
             part = int(pdf["_part"].iloc[0])
-            pdf["sequence_id"] = (number << 58) + (part << 26) + bins
+            pdf["sequence_id"] = (number << 52) + (part << 26) + bins
             pdf["offset"] = offsets
             pdf["_gap"] = used > lower_bound(sizes, capacity)
             return pdf[[*columns, "sequence_id", "offset", "_gap"]]
 
-        dealt = rows.select(*columns, F.pmod(F.xxhash64(F.lit(number), *order), F.lit(parts)).alias("_part"))
+        dealt = rows.select(*columns, F.pmod(F.xxhash64(F.lit(number), F.monotonically_increasing_id(), *order), F.lit(parts)).alias("_part"))
         return dealt.groupBy("_part").applyInPandas(fit, f"{schema}, sequence_id long, offset long, _gap boolean")
 
     done = written(run(items, 0, max(1, math.ceil(n / part_items))), "packed")
-    for number in range(1, rounds + 1):
+    number = 0
+    while True:
         open_rows = done.filter("_gap")
         left = open_rows.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if left is None or left[0] == 0:
             break
+        number += 1
         again = written(run(open_rows, number, max(1, math.ceil(left[0] / part_items))), "packed-again")
         fewer = again.agg(F.countDistinct("sequence_id")).first()
         if fewer is None or fewer[0] >= left[1]:
@@ -193,5 +197,5 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document, under the rules of ``pieces`` and ``pack``."""
     return pack(written(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
