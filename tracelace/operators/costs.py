@@ -54,7 +54,7 @@ def boundary_factor(nodes: DataFrame, margin: float) -> DataFrame:
     """Nodes with ``factor``: 0 within the margin of a face of the points' box or in the first or last frame, else 1."""
     axes = ("uz", "uy", "ux")
     box = nodes.groupBy("dataset").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), *[f(a).alias(f"_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
-    j = nodes.join(F.broadcast(box), "dataset")
+    j = nodes.join(box, "dataset")
     face = F.lit(False)
     for a in axes:
         face = face | (F.least(F.col(a) - F.col(f"_lo{a}"), F.col(f"_hi{a}") - F.col(a)) <= margin)

@@ -155,3 +155,21 @@ def component_prune_price(labels: DataFrame, match: DataFrame, cuts: tuple[int,
     both = size.join(per, ["dataset", "component"]).withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
     below = F.col("size") < F.col("cut")
     return both.groupBy("cut").agg(F.sum(F.when(below, F.col("size") - F.col("n_matched")).otherwise(0)).alias("false_nodes"), F.sum(F.when(below, F.col("n_matched")).otherwise(0)).alias("true_nodes"))
+
+
+def broken_shapes(fates: DataFrame, truth: DataFrame, truth_edges: DataFrame, links: DataFrame) -> DataFrame:
+    """What the tracker did instead of each true edge that it lost: dataset, source_id, target_id, shape, by the first rule that holds.
+
+    Ends that weren't detected; a dividing parent; a frame gap other than one; ends linked elsewhere; or both free.
+    """
+    lost = fates.filter("fate != 'CORRECT'")
+    at = lambda c: truth.select("dataset", F.col("node_id").alias(c), F.col("t").alias(f"_t_{c}"))
+    forks = truth_edges.groupBy("dataset", "source_id").agg((F.count(F.lit(1)) > 1).alias("_fork"))
+    so = links.select("dataset", F.col("source_id").alias("pred_source")).distinct().withColumn("_so", F.lit(True))
+    ti = links.select("dataset", F.col("target_id").alias("pred_target")).distinct().withColumn("_ti", F.lit(True))
+    j = lost.join(forks, ["dataset", "source_id"], "left").join(at("source_id"), ["dataset", "source_id"]).join(at("target_id"), ["dataset", "target_id"])
+    j = j.join(so, ["dataset", "pred_source"], "left").join(ti, ["dataset", "pred_target"], "left")
+    s, t = F.col("pred_source").isNull(), F.col("pred_target").isNull()
+    shape = F.when(s & t, "both_missing").when(s, "source_missing").when(t, "target_missing").when(F.col("_fork"), "division_parent").when(F.col("_t_target_id") - F.col("_t_source_id") != 1, "frame_gap")
+    shape = shape.when(F.col("_so") & F.col("_ti"), "swapped").when(F.col("_so"), "source_taken").when(F.col("_ti"), "target_taken").otherwise("unlinked")
+    return j.select("dataset", "source_id", "target_id", shape.alias("shape"))

@@ -24,7 +24,7 @@ def of_pairs(nodes: DataFrame, affinity: DataFrame, radius: float) -> DataFrame:
     last = nodes.groupBy("dataset").agg(F.max("t").alias("_last"))
     s = at.select("dataset", F.col("node_id").alias("source_id"), *[F.col(c).alias(f"s_{c}") for c in XYZ], F.col("n_near").alias("near_source"))
     t = at.select("dataset", F.col("node_id").alias("target_id"), *[F.col(c).alias(f"t_{c}") for c in XYZ], F.col("n_near").alias("near_target"))
-    j = affinity.join(s, ["dataset", "source_id"]).join(t, ["dataset", "target_id"]).join(F.broadcast(last), "dataset")
+    j = affinity.join(s, ["dataset", "source_id"]).join(t, ["dataset", "target_id"]).join(last, "dataset")
     j = j.withColumns({f"d{a[1]}": F.col(f"t_{a}") - F.col(f"s_{a}") for a in XYZ})
     out, into = W.partitionBy("dataset", "source_id"), W.partitionBy("dataset", "target_id")
     j = j.withColumns(
@@ -54,7 +54,7 @@ def moments(features: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
 def drift(live: DataFrame, training: DataFrame, far: float = 1.0) -> DataFrame:
     """How far each feature's mean has moved in training deviations, the ratio of deviations, and whether it is far."""
     t = training.select("feature", F.col("mean").alias("_m"), F.greatest("std", F.lit(1e-6)).alias("_s"))
-    j = live.join(F.broadcast(t), "feature").withColumn("shift", F.abs(F.col("mean") - F.col("_m")) / F.col("_s")).withColumn("spread", F.col("std") / F.col("_s"))
+    j = live.join(t, "feature").withColumn("shift", F.abs(F.col("mean") - F.col("_m")) / F.col("_s")).withColumn("spread", F.col("std") / F.col("_s"))
     return j.select("feature", "shift", "spread", (F.col("shift") > far).alias("drifted"))
 
 
@@ -81,17 +81,18 @@ def scored(features: DataFrame, score, names: tuple[str, ...] = NAMES) -> DataFr
     return features.mapInPandas(run, "dataset string, source_id long, target_id long, ranker double")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, hops): what the starts reach along edges and in how many steps at least; a written frontier a round."""
+def reachable(edges: DataFrame, starts: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
+    """(node, hops): what the starts reach along edges and in how many steps at least, ``most`` steps where given; a written frontier a round."""
     from tracelace.storage import written
 
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
-    seen = written(starts.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
-    front, k = seen, 0
-    while True:
+    step = written(edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct(), "reach-steps")
+    front = written(starts.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
+    seen, k = front, 0
+    while most is None or k < most:
         k += 1
         found = front.join(step, "node").select(F.col("_next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k))
         front = written(found, "reached-front")
         if front.isEmpty():
-            return seen
-        seen = written(seen.unionByName(front), "reached")
+            break
+        seen = seen.unionByName(front)
+    return seen

@@ -115,3 +115,15 @@ def drift_peak(votes: DataFrame, width: float) -> DataFrame:
     """The commonest displacement of each gap (equal counts to the lowest bin) and its sharpness, its share of the votes."""
     top = votes.groupBy("dataset", "t").agg(F.max(F.struct("n", (-F.col("bz")).alias("z"), (-F.col("by")).alias("y"), (-F.col("bx")).alias("x"))).alias("m"), F.sum("n").alias("total"))
     return top.select("dataset", "t", *[(-F.col(f"m.{a}") * width).alias(f"v{a}") for a in "zyx"], (F.col("m.n") / F.col("total")).alias("sharpness"))
+
+
+def walk_back(nodes: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
+    """dataset, node_id, span and vz, vy, vx: the mean velocity over up to ``most`` steps back, as long as a node has one predecessor; 0 without one."""
+    single = edges.groupBy("dataset", F.col("target_id").alias("_at")).agg(F.min("source_id").alias("_prev"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    at = nodes.select("dataset", F.col("node_id").alias("_at"), F.col("t").alias("_t"), *[F.col(f"u{a}").alias(f"_u{a}") for a in "zyx"])
+    out = nodes.select("dataset", "node_id", "t", "uz", "uy", "ux", F.col("node_id").alias("_at"))
+    for _ in range(most):
+        out = out.join(single, ["dataset", "_at"], "left").withColumn("_at", F.coalesce("_prev", "_at")).drop("_prev")
+    span = F.col("t") - F.col("_t")
+    mean = lambda a: F.when(span > 0, (F.col(f"u{a}") - F.col(f"_u{a}")) / span).otherwise(F.lit(0.0))
+    return out.join(at, ["dataset", "_at"]).select("dataset", "node_id", span.alias("span"), *[mean(a).alias(f"v{a}") for a in "zyx"])

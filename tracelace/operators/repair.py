@@ -58,7 +58,7 @@ def short_tracks(nodes: DataFrame, edges: DataFrame, labels: DataFrame, least: i
     """
     info = tracks_summary(nodes, edges, labels)
     frame = nodes.groupBy("dataset").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.count(F.lit(1)).alias("_n"))
-    info = info.join(F.broadcast(frame), "dataset")
+    info = info.join(frame, "dataset")
     keep = (F.col("size") >= least) | (F.col("forks") > 0)
     if spare_boundary:
         keep = keep | (F.col("t_first") == F.col("_t0")) | (F.col("t_last") == F.col("_t1"))

@@ -68,7 +68,7 @@ def node_counts(nodes: DataFrame, truth: DataFrame, match: DataFrame) -> DataFra
 
 def video_metrics(edges: DataFrame, n_pred: DataFrame, video: DataFrame, division_counts: DataFrame | None = None) -> DataFrame:
     """A row for each dataset: counts, node_ratio ((n - estimated) / estimated), adjusted and clamped Jaccard, division Jaccard and weight."""
-    out = edges.join(n_pred.select("dataset", "n_pred"), "dataset").join(F.broadcast(video), "dataset")
+    out = edges.join(n_pred.select("dataset", "n_pred"), "dataset").join(video, "dataset")
     out = out.withColumn("node_ratio", F.try_divide((F.col("n_pred") - F.col("estimated_nodes")).cast("double"), F.col("estimated_nodes")))
     out = out.withColumn("adjusted", F.when(F.col("jaccard").isNotNull(), scaled_jaccard(F.col("jaccard"), F.col("node_ratio"))))
     out = out.withColumn("clamped", F.when(F.col("jaccard").isNotNull(), scaled_jaccard(F.col("jaccard"), F.col("node_ratio"), True))).withColumn("weight", F.col("tp") + F.col("fp") + F.col("fn"))

@@ -38,7 +38,7 @@ def bridge_proposals(nodes: DataFrame, edges: DataFrame, reach: float, max_gap:
     ends, starts = joins.ends_and_starts(slim, edges)
     apart = joins.neighbours(nodes, 2 * reach).filter("d > 0").groupBy("dataset", "node_id").agg(F.min("d").alias("_near"))
     last = nodes.groupBy("dataset").agg(F.max("t").alias("_last"))
-    ends = ends.join(apart, ["dataset", "node_id"], "left").join(F.broadcast(last), "dataset").withColumn("_r", F.least(F.lit(float(reach)), F.coalesce(F.col("_near") / 2, F.lit(float(reach)))))
+    ends = ends.join(apart, ["dataset", "node_id"], "left").join(last, "dataset").withColumn("_r", F.least(F.lit(float(reach)), F.coalesce(F.col("_near") / 2, F.lit(float(reach)))))
     out = None
     for missing in range(1, max_gap + 1):
         moved = ends.filter(F.col("t") < F.col("_last") - missing).withColumns({a: F.col(a) + (missing + 1) * F.col(f"v{a[1]}") for a in XYZ})
@@ -78,7 +78,7 @@ def density_gap_bridge(nodes: DataFrame, edges: DataFrame, reach: float, most_ad
     bounds = nodes.groupBy("dataset").agg(F.max("node_id").alias("_top"), *[F.max(a).alias(f"_max_{a}") for a in AXES])
     at = velocities(nodes.select("dataset", "node_id", "t", *XYZ), edges).withColumnRenamed("node_id", "end_id")
     before = F.coalesce(F.sum("missing").over(W.partitionBy("dataset").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = got.withColumn("_base", before).join(F.broadcast(bounds), "dataset").join(at, ["dataset", "end_id"])
+    placed = got.withColumn("_base", before).join(bounds, "dataset").join(at, ["dataset", "end_id"])
     chain = placed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("missing"))))
     voxel = [F.least(F.greatest(F.rint((F.col(f"u{a}") + F.col("_k") * F.col(f"v{a}")) / getattr(spacing, a)), F.lit(0.0)), F.col(f"_max_{a}")).cast("int").alias(a) for a in AXES]
     new = chain.select("dataset", (F.col("_top") + F.col("_base") + F.col("_k")).cast("long").alias("node_id"), (F.col("t") + F.col("_k")).cast("int").alias("t"), *voxel)
@@ -97,7 +97,7 @@ def close_gaps(nodes: DataFrame, edges: DataFrame, reach: float, reuse: float, m
     one = assign.gated_hungarian(pairs).withColumnsRenamed({"source_id": "end_id", "target_id": "start_id"}).join(p, ["dataset", "end_id", "start_id"])
     cap = edges.groupBy("dataset").agg(F.floor(F.count(F.lit(1)) * most_edges).alias("_cap"))
     rank = F.row_number().over(W.partitionBy("dataset").orderBy("d", "end_id"))
-    kept = one.join(F.broadcast(cap), "dataset").withColumn("rank", rank).filter("rank * 2 <= _cap")
+    kept = one.join(cap, "dataset").withColumn("rank", rank).filter("rank * 2 <= _cap")
     s = nodes.select("dataset", F.col("node_id").alias("start_id"), *[F.col(a).alias(f"_s{a}") for a in XYZ])
     middle = kept.select("dataset", "end_id", "start_id", "rank").join(t, ["dataset", "end_id"]).join(s, ["dataset", "start_id"])
     middle = middle.select("dataset", "end_id", "start_id", "rank", (F.col("t") + 1).alias("t"), *[((F.col(f"_e{a}") + F.col(f"_s{a}")) / 2).alias(a) for a in XYZ])
@@ -107,7 +107,7 @@ def close_gaps(nodes: DataFrame, edges: DataFrame, reach: float, reuse: float, m
     free = found.groupBy(F.col("a_dataset").alias("dataset"), F.col("a_end_id").alias("end_id")).agg(F.min(F.struct("d", F.col("b_node_id").alias("id"))).alias("m"))
     once = free.withColumn("_r", F.row_number().over(W.partitionBy("dataset", "m.id").orderBy("m.d", "end_id"))).filter("_r = 1").select("dataset", "end_id", F.col("m.id").alias("_reused"))
     top = nodes.groupBy("dataset").agg(F.max("node_id").alias("_top"))
-    via = middle.join(once, ["dataset", "end_id"], "left").join(F.broadcast(top), "dataset").withColumn("_via", F.coalesce(F.col("_reused"), F.col("_top") + F.col("rank")))
+    via = middle.join(once, ["dataset", "end_id"], "left").join(top, "dataset").withColumn("_via", F.coalesce(F.col("_reused"), F.col("_top") + F.col("rank")))
     new = via.filter("_reused is null").select("dataset", F.col("_via").alias("node_id"), F.col("t").cast("int").alias("t"), *[F.greatest(F.rint(F.col(f"u{a}") / getattr(spacing, a)), F.lit(0.0)).cast("int").alias(a) for a in AXES])
     links = via.select("dataset", F.explode(F.array(F.struct(F.col("end_id").alias("s"), F.col("_via").alias("e")), F.struct(F.col("_via").alias("s"), F.col("start_id").alias("e")))).alias("l"))
     links = links.select("dataset", F.col("l.s").alias("source_id"), F.col("l.e").alias("target_id")).withColumn("edge_seq", F.col("target_id"))
@@ -156,7 +156,7 @@ def capped(found: DataFrame, edges: DataFrame, frame_share: float, most_added: f
     cap = edges.groupBy("dataset").agg(F.floor(F.count(F.lit(1)) * most_added).alias("_cap"))
     order = ["score", "parent_id", "child_id"]
     r = found.withColumn("_r", F.row_number().over(W.partitionBy("dataset", "t").orderBy(*order)))
-    r = r.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("n_parents") * frame_share))).join(F.broadcast(cap), "dataset")
+    r = r.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("n_parents") * frame_share))).join(cap, "dataset")
     r = r.withColumn("_g", F.row_number().over(W.partitionBy("dataset").orderBy("t", *order))).filter("_g <= _cap")
     return r.select("dataset", F.col("parent_id").alias("source_id"), F.col("child_id").alias("target_id"), F.col("child_id").alias("edge_seq"))
 
@@ -179,7 +179,7 @@ def affinity_divisions(nodes: DataFrame, edges: DataFrame, affinity: DataFrame,
     one = c.withColumn("_r", F.row_number().over(W.partitionBy("dataset", "child_id").orderBy("cost", "parent_id"))).filter("_r = 1")
     per_parent = one.withColumn("_r", F.row_number().over(W.partitionBy("dataset", "parent_id").orderBy("cost", "child_id"))).filter("_r = 1")
     budget = nodes.groupBy("dataset").agg(F.bround(F.count(F.lit(1)) * budget_share).alias("_cap"))
-    r = per_parent.join(F.broadcast(budget), "dataset").withColumn("_g", F.row_number().over(W.partitionBy("dataset").orderBy("cost", "parent_id", "child_id"))).filter("_g <= _cap")
+    r = per_parent.join(budget, "dataset").withColumn("_g", F.row_number().over(W.partitionBy("dataset").orderBy("cost", "parent_id", "child_id"))).filter("_g <= _cap")
     return r.select("dataset", F.col("parent_id").alias("source_id"), F.col("child_id").alias("target_id"), F.col("child_id").alias("edge_seq"))
 
 

@@ -65,10 +65,10 @@ def q33_rank_of_truth(k: Tracks) -> DataFrame:
     return r.groupBy(F.least("rank", F.lit(3)).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f", a0 AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM tn a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL), s AS (SELECT * REPLACE ((t + 20) % 40 AS t) FROM tn), b0 AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM s a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL) SELECT tn.dataset, count(*) AS n, count(*) FILTER (WHERE a0.d <= 2.0) AS found, count(*) FILTER (WHERE b0.d <= 2.0) AS by_chance FROM tn LEFT JOIN a0 USING (dataset, node_id) LEFT JOIN b0 USING (dataset, node_id) GROUP BY tn.dataset")
+@query(f", a0 AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM tn a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL), s AS (SELECT * REPLACE ((t + 20) % (SELECT max(t) + 1 FROM tn) AS t) FROM tn), b0 AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM s a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL) SELECT tn.dataset, count(*) AS n, count(*) FILTER (WHERE a0.d <= 2.0) AS found, count(*) FILTER (WHERE b0.d <= 2.0) AS by_chance FROM tn LEFT JOIN a0 USING (dataset, node_id) LEFT JOIN b0 USING (dataset, node_id) GROUP BY tn.dataset")
 def m24_detection_against_chance(k: Tracks) -> DataFrame:
     real = joins.nearest(k.truth, k.nodes, within=2.0).select("dataset", "node_id", F.col("d").alias("_r"))
-    null = joins.shifted_null(k.truth, k.nodes, 20, 40, 2.0).select("dataset", "node_id", F.col("d").alias("_n"))
+    null = joins.shifted_null(k.truth, k.nodes, 20, k.frames, 2.0).select("dataset", "node_id", F.col("d").alias("_n"))
     return real.join(null, ["dataset", "node_id"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("_r").alias("found"), F.count("_n").alias("by_chance"))
 
 
@@ -79,26 +79,33 @@ def q26_offset_strata(k: Tracks) -> DataFrame:
     return j.withColumn("stratum", motion.banded(F.col("n_near"), (2, 4))).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(g.distance("a_", "b_"))).alias("mean_offset"))
 
 
-@query(_FT + ", x AS (SELECT *, EXISTS (SELECT 1 FROM pe WHERE pe.dataset = ft.dataset AND pe.source_id = pred_source) AS so, EXISTS (SELECT 1 FROM pe WHERE pe.dataset = ft.dataset AND pe.target_id = pred_target) AS ti FROM ft WHERE fate <> 'CORRECT') SELECT CASE WHEN pred_source IS NULL AND pred_target IS NULL THEN 'both_missing' WHEN pred_source IS NULL THEN 'source_missing' WHEN pred_target IS NULL THEN 'target_missing' WHEN so AND ti THEN 'swapped' WHEN so THEN 'source_taken' WHEN ti THEN 'target_taken' ELSE 'unlinked' END AS shape, count(*) AS n FROM x GROUP BY ALL")
+@query(
+    _FT
+    + """, x AS (SELECT ft.*, (SELECT count(*) FROM te WHERE te.dataset = ft.dataset AND te.source_id = ft.source_id) > 1 AS fork, b.t - a.t AS dt,
+  EXISTS (SELECT 1 FROM pe WHERE pe.dataset = ft.dataset AND pe.source_id = pred_source) AS so, EXISTS (SELECT 1 FROM pe WHERE pe.dataset = ft.dataset AND pe.target_id = pred_target) AS ti
+  FROM ft JOIN tn a ON a.dataset = ft.dataset AND a.node_id = ft.source_id JOIN tn b ON b.dataset = ft.dataset AND b.node_id = ft.target_id WHERE fate <> 'CORRECT')
+SELECT CASE WHEN pred_source IS NULL AND pred_target IS NULL THEN 'both_missing' WHEN pred_source IS NULL THEN 'source_missing' WHEN pred_target IS NULL THEN 'target_missing'
+  WHEN fork THEN 'division_parent' WHEN dt <> 1 THEN 'frame_gap' WHEN so AND ti THEN 'swapped' WHEN so THEN 'source_taken' WHEN ti THEN 'target_taken' ELSE 'unlinked' END AS shape, count(*) AS n FROM x GROUP BY ALL"""
+)
 def m14_broken_edge_shapes(k: Tracks) -> DataFrame:
-    f = diagnose.fates(k.truth_edges, k.match, k.links).filter("fate != 'CORRECT'")
-    so = k.links.select("dataset", F.col("source_id").alias("pred_source")).distinct().withColumn("_so", F.lit(True))
-    ti = k.links.select("dataset", F.col("target_id").alias("pred_target")).distinct().withColumn("_ti", F.lit(True))
-    j = f.join(so, ["dataset", "pred_source"], "left").join(ti, ["dataset", "pred_target"], "left")
-    s, t = F.col("pred_source").isNull(), F.col("pred_target").isNull()
-    shape = F.when(s & t, "both_missing").when(s, "source_missing").when(t, "target_missing").when(F.col("_so") & F.col("_ti"), "swapped").when(F.col("_so"), "source_taken").when(F.col("_ti"), "target_taken").otherwise("unlinked")
-    return j.groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    return diagnose.broken_shapes(diagnose.fates(k.truth_edges, k.match, k.links), k.truth, k.truth_edges, k.links).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_ROOT + ", u AS (SELECT co.dataset, co.component, avg((node_id % 3 = 0)::INTEGER::DOUBLE) AS share FROM co GROUP BY ALL) SELECT dataset, CASE WHEN share >= 0.999 THEN 'all' WHEN share >= 0.5 THEN 'most' ELSE 'few' END AS band, count(*) AS n FROM u GROUP BY ALL")
+@query(
+    _ROOT
+    + f""", tt AS (SELECT * FROM tn WHERE node_id % 3 <> 0), un AS (SELECT co.dataset, co.component, co.node_id,
+  NOT EXISTS (SELECT 1 FROM tt JOIN pn q ON q.dataset = co.dataset AND q.node_id = co.node_id WHERE tt.dataset = co.dataset AND tt.t = q.t AND {_NEAR.replace("a.", "tt.").replace("b.", "q.")} <= 1.0) AS far FROM co),
+u AS (SELECT dataset, component, avg(far::INTEGER::DOUBLE) AS share FROM un GROUP BY ALL)
+SELECT dataset, CASE WHEN share >= 0.999 THEN 'all' WHEN share >= 0.5 THEN 'most' ELSE 'few' END AS band, count(*) AS n FROM u GROUP BY ALL"""
+)
 def m22_fork_unique_tracks(k: Tracks) -> DataFrame:
-    u = repair.labelled(k.nodes, k.links).groupBy("dataset", "component").agg(F.avg((F.col("node_id") % 3 == 0).cast("int")).alias("_s"))
+    """Tracks of which all, most or few detections lie further than the ruler from a sparser annotation."""
+    near = joins.nearest(k.nodes, k.truth.filter("node_id % 3 != 0"), within=1.0).select("dataset", "node_id", F.col("d").isNull().alias("_far"))
+    u = repair.labelled(k.nodes, k.links).join(near, ["dataset", "node_id"]).groupBy("dataset", "component").agg(F.avg(F.col("_far").cast("int")).alias("_s"))
     band = F.when(F.col("_s") >= 0.999, "all").when(F.col("_s") >= 0.5, "most").otherwise("few")
     return u.groupBy("dataset", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-
-
 @query(f", ms AS (SELECT a.dataset, a.node_id AS gt, b.node_id AS pr FROM tn a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t WHERE {_NEAR} <= 3.0) SELECT te.dataset, count(DISTINCT te.source_id * 100000000 + te.target_id) AS n_edges FROM te JOIN ms s ON s.dataset = te.dataset AND s.gt = te.source_id JOIN ms e ON e.dataset = te.dataset AND e.gt = te.target_id JOIN pe ON pe.dataset = te.dataset AND pe.source_id = s.pr AND pe.target_id = e.pr GROUP BY te.dataset")
 def m26_representative_alternates(k: Tracks) -> DataFrame:
     slim = ("dataset", "node_id", "t", *_XYZ)
@@ -122,15 +129,26 @@ def w7_frames_ahead(k: Tracks) -> DataFrame:
     return _chains(k).select("dataset", "node_id", F.count(F.lit(1)).over(w).alias("frames_ahead"))
 
 
-@query(_CHN + " SELECT dataset, node_id, round((uz - lag(uz, 3) OVER w) / 3, 6) AS vz, round((uy - lag(uy, 3) OVER w) / 3, 6) AS vy, round((ux - lag(ux, 3) OVER w) / 3, 6) AS vx FROM cn WINDOW w AS (PARTITION BY dataset, chain_id ORDER BY pos) QUALIFY lag(uz, 3) OVER w IS NOT NULL")
+@query(
+    """, pr AS (SELECT dataset, target_id AS node_id, min(source_id) AS prev FROM pe GROUP BY ALL HAVING count(*) = 1),
+w0 AS (SELECT dataset, node_id AS start, node_id, 0 AS steps FROM pn UNION ALL SELECT w0.dataset, start, prev, steps + 1 FROM w0 JOIN pr ON pr.dataset = w0.dataset AND pr.node_id = w0.node_id WHERE steps < 3),
+w1 AS (SELECT dataset, start, arg_max(node_id, steps) AS last FROM w0 GROUP BY ALL)
+SELECT a.dataset, a.node_id, a.t - b.t AS span, CASE WHEN a.t > b.t THEN round((a.uz - b.uz) / (a.t - b.t), 6) ELSE 0 END AS vz, CASE WHEN a.t > b.t THEN round((a.uy - b.uy) / (a.t - b.t), 6) ELSE 0 END AS vy,
+  CASE WHEN a.t > b.t THEN round((a.ux - b.ux) / (a.t - b.t), 6) ELSE 0 END AS vx FROM w1 JOIN pn a ON a.dataset = w1.dataset AND a.node_id = start JOIN pn b ON b.dataset = w1.dataset AND b.node_id = last"""
+)
 def g19_walk_back_velocity(k: Tracks) -> DataFrame:
-    w = W.partitionBy("dataset", "chain_id").orderBy("pos")
-    v = _chains(k).withColumns({f"v{a}": (F.col(f"u{a}") - F.lag(f"u{a}", 3).over(w)) / 3 for a in "zyx"}).filter("vz is not null")
-    return v.select("dataset", "node_id", *[r6(f"v{a}").alias(f"v{a}") for a in "zyx"])
+    v = motion.walk_back(k.nodes, k.links, 3)
+    return v.select("dataset", "node_id", "span", *[r6(f"v{a}").alias(f"v{a}") for a in "zyx"])
 
 
-@query(", r AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey < 40), ed AS (SELECT a, 1000000 + b AS b FROM r UNION SELECT 1000000 + b, a FROM r), re AS (SELECT (SELECT min(a) FROM r) AS node, 0 AS hops UNION SELECT ed.b, hops + 1 FROM re JOIN ed ON ed.a = re.node WHERE hops < 12) SELECT node, min(hops)::INTEGER AS hops FROM re GROUP BY node")
+@query(
+    """, ed AS (SELECT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem UNION SELECT 1000000000 + l_partkey, l_orderkey FROM lineitem),
+f1 AS (SELECT DISTINCT b AS node FROM ed WHERE a = (SELECT min(l_orderkey) FROM lineitem)), f2 AS (SELECT DISTINCT b AS node FROM f1 JOIN ed ON a = node),
+f3 AS (SELECT DISTINCT b AS node FROM f2 JOIN ed ON a = node), f4 AS (SELECT DISTINCT b AS node FROM f3 JOIN ed ON a = node),
+re AS (SELECT min(l_orderkey) AS node, 0 AS hops FROM lineitem UNION ALL SELECT node, 1 FROM f1 UNION ALL SELECT node, 2 FROM f2 UNION ALL SELECT node, 3 FROM f3 UNION ALL SELECT node, 4 FROM f4)
+SELECT node, min(hops)::INTEGER AS hops FROM re GROUP BY node""",
+)
 def q35_reachability(k: Tracks) -> DataFrame:
-    r = k.table("lineitem").filter("l_orderkey < 40").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"))
-    both = r.union(r.select("b", "a"))
-    return features.reachable(both, r.agg(F.min("a").alias("node")), "a", "b").filter("hops <= 12")
+    """Orders and parts within four steps of the first order, over the whole lineitem table."""
+    r = k.table("lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
+    return features.reachable(r.union(r.select("b", "a")), r.agg(F.min("a").alias("node")), "a", "b", most=4)

@@ -181,7 +181,7 @@ def q8_localisation_offsets(k: Tracks) -> DataFrame:
 def q14_boundary_census(k: Tracks) -> DataFrame:
     d = scoring.degrees(k.nodes, k.links).join(k.nodes.select("dataset", "node_id", "t"), ["dataset", "node_id"])
     frame = k.nodes.groupBy("dataset").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    j = d.join(F.broadcast(frame), "dataset")
+    j = d.join(frame, "dataset")
     return j.groupBy("dataset").agg(F.count_if((F.col("in_degree") == 0) & (F.col("t") > F.col("_t0"))).alias("births"), F.count_if((F.col("out_degree") == 0) & (F.col("t") < F.col("_t1"))).alias("deaths"))
 
 

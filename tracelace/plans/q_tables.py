@@ -44,9 +44,9 @@ def j6_support_before_after(k: Tracks) -> DataFrame:
     return b.join(f, ["dataset", "node_id"])
 
 
-@query(f", s AS (SELECT * REPLACE ((t + 20) % 40 AS t) FROM tn), r AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM s a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL HAVING min({_NEAR}) <= 7.0) SELECT tn.dataset, count(*) AS n, count(r.d) AS found FROM tn LEFT JOIN r USING (dataset, node_id) GROUP BY tn.dataset")
+@query(f", s AS (SELECT * REPLACE ((t + 20) % (SELECT max(t) + 1 FROM tn) AS t) FROM tn), r AS (SELECT a.dataset, a.node_id, min({_NEAR}) AS d FROM s a JOIN pn b ON a.dataset = b.dataset AND a.t = b.t GROUP BY ALL HAVING min({_NEAR}) <= 7.0) SELECT tn.dataset, count(*) AS n, count(r.d) AS found FROM tn LEFT JOIN r USING (dataset, node_id) GROUP BY tn.dataset")
 def j7_shifted_frame_null(k: Tracks) -> DataFrame:
-    return joins.shifted_null(k.truth, k.nodes, 20, 40, RULER).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("found"))
+    return joins.shifted_null(k.truth, k.nodes, 20, k.frames, RULER).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("found"))
 
 
 @query(" SELECT pe.dataset, pe.source_id, pe.target_id, a.gt_id AS gt_source, b.gt_id AS gt_target, EXISTS (SELECT 1 FROM te WHERE te.dataset = pe.dataset AND te.source_id = a.gt_id AND te.target_id = b.gt_id) AS is_true FROM pe LEFT JOIN mt a ON a.dataset = pe.dataset AND a.pred_id = pe.source_id LEFT JOIN mt b ON b.dataset = pe.dataset AND b.pred_id = pe.target_id")
@@ -91,7 +91,7 @@ def a9_video_summary(k: Tracks) -> DataFrame:
     s = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_steps"), r6(F.median(d)).alias("step_median"), r6(F.percentile(d, F.lit(0.95))).alias("step_tail"), r6(F.avg((d > 7.0).cast("int"))).alias("beyond"))
     f = scoring.divisions(k.truth_edges).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_forks"))
     n = k.truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(F.broadcast(k.video), "dataset").join(s, "dataset").join(f, "dataset", "left").fillna(0, ["n_forks"]).select("dataset", "n_nodes", "estimated_nodes", r6(F.col("n_nodes") / F.col("estimated_nodes")).alias("annotated"), "n_forks", "n_steps", "step_median", "step_tail", "beyond")
+    return n.join(k.video, "dataset").join(s, "dataset").join(f, "dataset", "left").fillna(0, ["n_forks"]).select("dataset", "n_nodes", "estimated_nodes", r6(F.col("n_nodes") / F.col("estimated_nodes")).alias("annotated"), "n_forks", "n_steps", "step_median", "step_tail", "beyond")
 
 
 @query(" SELECT dataset, count(*) AS n, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.25), 6) AS p25, round(median(d), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std_pop, round(stddev_samp(d), 6) AS std_samp FROM ca GROUP BY dataset")

@@ -23,7 +23,7 @@ def combined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = n.unionByName(e).withColumn("_k", (F.col("row_type") == "edge").cast("int"))
     sizes = both.groupBy("dataset", "_k").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("dataset", "_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = both.join(F.broadcast(sizes.select("dataset", "_k", before.alias("_before"))), ["dataset", "_k"])
+    numbered = both.join(sizes.select("dataset", "_k", before.alias("_before")), ["dataset", "_k"])
     ident = F.col("_before") + F.row_number().over(W.partitionBy("dataset", "_k").orderBy("node_id", "source_id", "target_id")) - 1
     return numbered.select(ident.cast("long").alias("id"), "dataset", "row_type", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in _FILLED])
 
