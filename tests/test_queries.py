@@ -12,6 +12,8 @@ SOME = (
     "j1_gated_frame_gap", "j6_support_before_after", "j14_gap_proposals", "a9_video_summary", "w5_distance_rank", "t5_best_and_runner_up", "u3_agreement",
     "m4_edge_confusion", "m9_edge_auc", "m10_edge_fates", "l4_admissible_affinity", "e4_calibrated_fusion", "g11_components", "q6_drift_field_peak", "n2_detected_pairs",
     "r6_bridge_proposals", "r8_affinity_division_recovery", "s7_submission_round_trip", "z4_windowed_stream", "q22_run_states", "m20_prune_price", "m31_score_ceiling", "m32_operating_points", "q25_corpus_audit",
+    "q6_drift_field", "q7_residual_explained", "r9_fork_rankings", "r12_safe_divisions", "w22_line_fitted", "m13_simplified_counts", "m30_resolved_after_shrinking", "p21_confirmed_centres",
+    "n13_offset_target_and_loss", "q14_boundaries_explained", "loss_centre_contrastive", "loss_slack_row", "loss_sigreg", "z5_sessions", "z4_sliding_windows", "t6_hardest_unmatched",
 )
 
 

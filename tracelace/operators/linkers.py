@@ -125,7 +125,8 @@ def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disapp
     """Links of least total cost over a whole dataset: node-disjoint tracks that each pay for their ends.
 
     Unit flows from a source through nodes to a sink, by successive shortest paths with potentials (the first ones from one
-    sweep over the nodes in topological order, since link costs may be negative); flow is added while that lowers the cost.
+    sweep over the nodes in topological order, since link costs may be negative); each search ends at the sink, and flow is
+    added while that lowers the cost.
     ``arcs`` are (source, target, whole cost); ``divide``: the price of a second child, whose flow enters at the link's source.
     """
     index = {x: i for i, x in enumerate(nodes)}
@@ -172,6 +173,8 @@ def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disapp
         heap: list[tuple[float, int]] = [(0, start)]
         while heap:
             d, x = heapq.heappop(heap)
+            if x == end:
+                break
             if d > dist[x]:
                 continue
             for k in graph[x]:
@@ -182,7 +185,8 @@ def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disapp
                     heapq.heappush(heap, (dist[y], y))
         if dist[end] == far or dist[end] + h[end] - h[start] >= 0:
             break
-        h = [a + b if b < far else a for a, b in zip(h, dist, strict=True)]
+        reach = dist[end]  # nodes further than the sink keep their potential's distance to it
+        h = [a + min(b, reach) for a, b in zip(h, dist, strict=True)]
         x = end
         while x != start:
             cap[back[x]] -= 1
