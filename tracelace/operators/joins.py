@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracelace.functions.geometry import AXES, distance
+from tracelace.storage import written
 
 
 def _prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -60,24 +61,39 @@ def crowding(nodes: DataFrame, radius: float) -> DataFrame:
     return nodes.select("dataset", "node_id").join(n, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def nearest(left: DataFrame, right: DataFrame, dt: int = 0, within: float | None = None, others: bool = False) -> DataFrame:
+def _least(pairs: DataFrame) -> DataFrame:
+    best = pairs.groupBy(F.col("a_dataset").alias("dataset"), F.col("a_node_id").alias("node_id")).agg(F.min(F.struct("d", F.col("b_node_id").alias("id"))).alias("m"))
+    return best.select("dataset", "node_id", F.col("m.id").alias("nearest_id"), F.col("m.d").alias("d"))
+
+
+def nearest(left: DataFrame, right: DataFrame, dt: int = 0, within: float | None = None, others: bool = False, start: float = 8.0) -> DataFrame:
     """For each point of ``left`` the nearest of ``right`` in frame t + dt: dataset, node_id, nearest_id, d; null without one.
 
-    Equal distances go to the smaller id. ``others``: a point isn't its own neighbour. With ``within`` the gated join is
-    used; without, all of a frame is compared, which is how far a nearest point without a gate may lie; the minimum is a
-    partial aggregate, so no frame is gathered.
+    Equal distances go to the smaller id. ``others``: a point isn't its own neighbour. Without ``within`` the gate widens:
+    what is found within it is the nearest, and only points that found none are looked for in twice the gate, until it
+    spans the volume. So no frame is compared with all of another unless its points lie that far apart.
     """
-    a = left.select("dataset", "node_id", "t", "uz", "uy", "ux")
-    b = right.select("dataset", "node_id", "t", "uz", "uy", "ux")
+    slim = ["dataset", "node_id", "t", "uz", "uy", "ux"]
+    a, b = left.select(*slim), right.select(*slim)
+
+    def met(points: DataFrame, gate: float) -> DataFrame:
+        pairs = gated(points, b, gate, dt)
+        return _least(pairs.filter("a_node_id != b_node_id") if others else pairs)
+
     if within is not None:
-        pairs = gated(a, b, within, dt)
+        best = met(a, within)
     else:
-        x, y = _prefixed(a, "a_", a.columns), _prefixed(b, "b_", b.columns)
-        pairs = x.join(y, (F.col("a_dataset") == F.col("b_dataset")) & (F.col("a_t") + dt == F.col("b_t"))).withColumn("d", distance("a_", "b_"))
-    if others:
-        pairs = pairs.filter("a_node_id != b_node_id")
-    best = pairs.groupBy(F.col("a_dataset").alias("dataset"), F.col("a_node_id").alias("node_id")).agg(F.min(F.struct("d", F.col("b_node_id").alias("id"))).alias("m"))
-    return left.select("dataset", "node_id").join(best, ["dataset", "node_id"], "left").select("dataset", "node_id", F.col("m.id").alias("nearest_id"), F.col("m.d").alias("d"))
+        ends = a.unionByName(b).agg(*[f(c) for c in slim[3:] for f in (F.min, F.max)]).first()
+        span = sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3)) ** 0.5 if ends[0] is not None else 0.0
+        gate = start
+        best = written(met(a, gate), "nearest")
+        while gate < span:
+            gate *= 2
+            open_points = written(a.join(best.select("dataset", "node_id"), ["dataset", "node_id"], "left_anti"), "nearest-open")
+            if open_points.isEmpty():
+                break
+            best = best.unionByName(written(met(open_points, gate), "nearest"))
+    return left.select("dataset", "node_id").join(best, ["dataset", "node_id"], "left")
 
 
 def shifted_null(left: DataFrame, right: DataFrame, shift: int, frames: int, within: float) -> DataFrame:

@@ -70,17 +70,23 @@ def furth_fit(curve: list[tuple[int, float]], rounds: int = 200) -> tuple[float,
         s2, tau, noise = np.exp(q)
         return 2 * s2 * tau * (t - tau * (1 - np.exp(-t / tau))) + noise
 
-    q, lam = np.log(np.maximum([y[0], 1.0, max(y[0] / 4, 1e-3)], 1e-6)), 1e-2
-    for _ in range(rounds):
-        r = y - model(q)
-        jac = np.stack([(model(q + 1e-5 * e) - model(q - 1e-5 * e)) / 2e-5 for e in np.eye(3)], axis=1)
-        step = np.linalg.solve(jac.T @ jac + lam * np.diag(np.diag(jac.T @ jac) + 1e-12), jac.T @ r)
-        if ((y - model(q + step)) ** 2).sum() < (r**2).sum():
-            q, lam = q + step, lam / 3
-        else:
-            lam *= 3
-        if np.abs(step).max() < 1e-10:
-            break
+    def descend(q):
+        lam = 1e-2
+        for _ in range(rounds):
+            r = y - model(q)
+            jac = np.stack([(model(q + 1e-5 * e) - model(q - 1e-5 * e)) / 2e-5 for e in np.eye(3)], axis=1)
+            step = np.clip(np.linalg.solve(jac.T @ jac + lam * np.diag(np.diag(jac.T @ jac) + 1e-12), jac.T @ r), -1, 1)
+            if ((y - model(q + step)) ** 2).sum() < (r**2).sum():
+                q, lam = q + step, max(lam / 3, 1e-12)
+            else:
+                lam *= 3
+            if np.abs(step).max() < 1e-10:
+                break
+        return float(((y - model(q)) ** 2).sum()), q
+
+    # from several persistence times and shares of noise, as the sum of squares has more than one valley
+    starts = [np.log(np.maximum([y[0], tau, share * y[0]], 1e-6)) for tau in (0.3, 1.0, 3.0, 10.0) for share in (0.01, 0.1, 0.5)]
+    _, q = min((descend(x) for x in starts), key=lambda x: x[0])
     s2, tau, noise = np.exp(q)
     return float(np.sqrt(s2)), float(tau), float(noise)
 

@@ -272,6 +272,12 @@ def g17_blob_response_peaks(k: Tracks) -> DataFrame:
     return voxels.peaks(response, (1, 2, 2), 0.05)
 
 
+@query()
+def g17_laplacian_peaks(k: Tracks) -> DataFrame:
+    response = voxels.mapped(voxels.rendered(k.nodes, _GRID, 1.2), lambda a: voxels.log_response(a, (1.0, 1.5, 1.5)))
+    return voxels.peaks(response, (1, 2, 2), 0.2)
+
+
 @query()
 def p6_frame_normalisation(k: Tracks) -> DataFrame:
     frame = voxels.mapped(voxels.rendered(k.nodes, _GRID, 1.2), lambda a: voxels.pooled(voxels.per_slice(a), 2))
@@ -295,6 +301,9 @@ def z2_streaming_motion_linker(k: Tracks) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(k.spark)}/tracelace/points-{uuid.uuid4().hex}"
-    k.nodes.select("dataset", "node_id", "t", *_XYZ).write.parquet(path)
+    slim = k.nodes.select("dataset", "node_id", "t", *_XYZ)
+    # a point two frames after the last one closes every real frame
+    close = slim.groupBy("dataset").agg(F.lit(-1).cast("long").alias("node_id"), (F.max("t") + 2).cast("int").alias("t"), *[F.lit(0.0).alias(c) for c in _XYZ])
+    slim.unionByName(close).write.parquet(path)
     stream = k.spark.readStream.schema(k.spark.read.parquet(path).schema).parquet(path)
     return frames.drained(frames.linked(stream), "stream-links")
