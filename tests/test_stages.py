@@ -32,6 +32,18 @@ def test_components_equal_union_find(spark):
     assert got == {k: v for k, v in want.items() if k not in lone}
 
 
+def test_lineages_and_other_graphs_are_labelled_alike(spark):
+    rng = np.random.default_rng(7)
+    tree = [(int(rng.integers(max(0, i - 5), i)), i) for i in range(1, 120) if i % 9]
+    for edges in (tree, [*tree, (3, 60)]):
+        nodes, e = graph(spark, [(i, i, 0, 0, 0) for i in range(120)], edges)
+        at = list(range(120))
+        for _ in at:
+            for a, b in edges:
+                at[a] = at[b] = min(at[a], at[b])
+        assert {r.node_id: r.component for r in repair.labelled(nodes, e).collect()} == dict(enumerate(at))
+
+
 def test_smoothing_is_a_fold_in_order_of_ids(spark):
     nodes, edges = graph(spark, [(i, i, 0, y, 0) for i, y in enumerate([0, 10, 0, 10, 0])], [(i, i + 1) for i in range(4)])
     got = {r.node_id: r.y for r in stages.smoothed(nodes, edges, repair.labelled(nodes, edges)).collect()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from tracelace.operators.groups import spread
 
 #: The price of a pair that isn't allowed: more than any set of allowed ones.
 FORBIDDEN = 1e9
@@ -24,7 +25,15 @@ def solve(cost: np.ndarray) -> np.ndarray:
         raise ValueError("more rows than columns")
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     row_of, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
+    # rows whose least column is free take it at once; only the others are searched for
+    if n:
+        u[1:] = cost.min(axis=1)
+        columns, rows = np.unique(cost.argmin(axis=1), return_index=True)
+        row_of[columns + 1] = rows + 1
+    placed = set(row_of[1:].tolist())
     for i in range(1, n + 1):
+        if i in placed:
+            continue
         row_of[0], j0 = i, 0
         least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
         while True:
@@ -52,15 +61,22 @@ def solve(cost: np.ndarray) -> np.ndarray:
 
 def rectangle(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least cost of a matrix of any shape, all of the smaller side assigned."""
+    if cost.shape[0] == 1:
+        return [(0, int(np.argmin(cost[0])))]
+    if cost.shape[1] == 1:
+        return [(int(np.argmin(cost[:, 0])), 0)]
     if cost.shape[0] <= cost.shape[1]:
         return [(i, int(j)) for i, j in enumerate(solve(cost))]
     return [(int(j), i) for i, j in enumerate(solve(cost.T))]
 
 
-def pieces(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+Piece = dict[str, np.ndarray]
+
+
+def pieces(part: Piece) -> list[Piece]:
     """The connected pieces of a frame's candidate graph; sources and targets are told apart."""
-    _, i = np.unique(pdf["source_id"].to_numpy(), return_inverse=True)
-    _, j = np.unique(pdf["target_id"].to_numpy(), return_inverse=True)
+    _, i = np.unique(part["source_id"], return_inverse=True)
+    _, j = np.unique(part["target_id"], return_inverse=True)
     j = j + i.max() + 1
     label = np.arange(j.max() + 1)
     while True:
@@ -71,37 +87,41 @@ def pieces(pdf: pd.DataFrame) -> list[pd.DataFrame]:
         if (least == label).all():
             break
         label = least
-    return [part for _, part in pdf.groupby(label[i], sort=True)]
+    of = label[i]
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    return [{c: v[at] for c, v in part.items()} for at in np.split(order, cuts)]
 
 
-def _matrix(pdf: pd.DataFrame, cost: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    s, i = np.unique(pdf["source_id"].to_numpy(), return_inverse=True)
-    t, j = np.unique(pdf["target_id"].to_numpy(), return_inverse=True)
+def _matrix(part: Piece, cost: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, i = np.unique(part["source_id"], return_inverse=True)
+    t, j = np.unique(part["target_id"], return_inverse=True)
     c = np.full((len(s), len(t)), np.nan)
-    c[i, j] = pdf[cost].to_numpy(float)
+    c[i, j] = part[cost].astype(float)
     return c, s, t
 
 
 def _per_piece(pairs: DataFrame, choose, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
     kinds = dict(pairs.dtypes)
+    columns = list(dict.fromkeys([*keys, "source_id", "target_id", *[c for c in ("d", "cost") if c in pairs.columns]]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [pair for part in pieces(pdf) for pair in choose(part)]
+        whole = {c: pdf[c].to_numpy() for c in columns if c not in keys}
+        got = [pair for part in pieces(whole) for pair in choose(part)]
         out = pd.DataFrame({"source_id": [a for a, _ in got], "target_id": [b for _, b in got]}, dtype="int64")
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "source_id", "target_id"]]
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", source_id long, target_id long"
-    columns = dict.fromkeys([*keys, "source_id", "target_id", *[c for c in ("d", "cost") if c in pairs.columns]])
-    return pairs.select(*columns).groupBy(*keys).applyInPandas(run, schema)
+    return pairs.select(*columns).transform(spread(*keys)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def gated_hungarian(pairs: DataFrame, cost: str = "d", keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
     """One-to-one links: as many allowed pairs as possible, then the least total cost."""
 
-    def choose(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        c, s, t = _matrix(pdf, cost)
+    def choose(part: Piece) -> list[tuple[int, int]]:
+        c, s, t = _matrix(part, cost)
         allowed = ~np.isnan(c)
         return [(s[i], t[j]) for i, j in rectangle(np.where(allowed, c, FORBIDDEN)) if allowed[i, j]]
 
@@ -111,8 +131,8 @@ def gated_hungarian(pairs: DataFrame, cost: str = "d", keys: tuple[str, ...] = (
 def with_skips(pairs: DataFrame, cost: str, disappearance: float, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
     """One-to-one links of least total cost where a source may stay alone for ``disappearance`` and a target for nothing."""
 
-    def choose(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        c, s, t = _matrix(pdf, cost)
+    def choose(part: Piece) -> list[tuple[int, int]]:
+        c, s, t = _matrix(part, cost)
         n, m = c.shape
         whole = np.full((n + m, n + m), FORBIDDEN)
         whole[:n, :m] = np.where(np.isnan(c), FORBIDDEN, c)
@@ -127,8 +147,8 @@ def with_skips(pairs: DataFrame, cost: str, disappearance: float, keys: tuple[st
 def with_divisions(pairs: DataFrame, cost: str, reward: float, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
     """Links with one parent and two children at most: each source stands twice; a link is made if its cost is under ``reward``."""
 
-    def choose(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        c, s, t = _matrix(pdf, cost)
+    def choose(part: Piece) -> list[tuple[int, int]]:
+        c, s, t = _matrix(part, cost)
         n, m = c.shape
         twice = np.vstack([c, c])
         whole = np.full((2 * n, m + 2 * n), FORBIDDEN)
@@ -146,8 +166,8 @@ def match_nodes(pairs: DataFrame, keys: tuple[str, ...] = ("dataset", "t")) -> D
     first; else pairs and empty places, which weigh -1, are chosen together.
     """
 
-    def choose(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        c, s, t = _matrix(pdf, "d")
+    def choose(part: Piece) -> list[tuple[int, int]]:
+        c, s, t = _matrix(part, "d")
         w = (1.0 / (1.0 + c)).astype(np.float32).astype(float)
         allowed = ~np.isnan(w)
         full = rectangle(np.where(allowed, -w, FORBIDDEN))

@@ -48,3 +48,26 @@ def _starred(state: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     lowest = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_m"))
     near = large.join(lowest, [*keys, "_u"])
     return near.filter("_v != _m").select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v")).union(lowest.select(*keys, "_u", F.col("_m").alias("_v"))).distinct()
+
+
+def forest_roots(edges: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame | None:
+    """(keys, node, root) for edges from ``a`` down to ``b`` where every node has one parent at most: the topmost node above each.
+
+    Each round lets a node point at what its pointer points at, so rounds grow with the logarithm of the deepest tree; None
+    if a node has two parents or a round changes nothing more than a cycle would.
+    """
+    with scratch(edges.sparkSession) as keep:
+        e = keep(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*keys, F.col(b).alias("node"), F.col(a).alias("root")).distinct(), "edges")
+        if not e.groupBy(*keys, "node").count().filter("count > 1").isEmpty():
+            return None
+        tops = e.select(*keys, F.col("root").alias("node")).distinct().join(e.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("root", F.col("node"))
+        state = keep(e.unionByName(tops), "0")
+        for number in range(1, 64):
+            up = state.select(*keys, F.col("node").alias("root"), F.col("root").alias("_above"))
+            state = keep(state.join(up, [*keys, "root"]).select(*keys, "node", F.col("_above").alias("root"), (F.col("_above") != F.col("root")).alias("_moved")), str(number))
+            keep.drop(str(number - 1))
+            moved = not state.filter("_moved").isEmpty()
+            state = state.drop("_moved")
+            if not moved:
+                return written(state, "forest-roots")
+        return None

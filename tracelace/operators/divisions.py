@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelace.operators import assign, joins, repair
 from tracelace.storage import written
+from tracelace.operators.groups import spread
 
 
 def windows(truth_edges: DataFrame) -> DataFrame:
@@ -106,4 +107,4 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
         n = misses["state"].value_counts()
         return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "div_tp": [len(got)], "div_fp": [len(false)], "div_fn": [len(misses)], **{k: [int(n.get(k, 0))] for k in ("nodes_missing", "no_fork", "fork_rejected")}})
 
-    return rows.groupBy("dataset").applyInPandas(count, "dataset string, div_tp long, div_fp long, div_fn long, nodes_missing long, no_fork long, fork_rejected long")
+    return rows.transform(spread("dataset")).groupBy("dataset").applyInPandas(count, "dataset string, div_tp long, div_fp long, div_fn long, nodes_missing long, no_fork long, fork_rejected long")

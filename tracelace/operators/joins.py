@@ -1,7 +1,8 @@
 """Spatial joins between frames, planned as equi-joins on grid cells with the distance as a residual condition.
 
-A gated join cuts space into cubes whose side is the gate and emits the smaller side's points to the 27 cubes around
-them, so each pair within the gate meets once, in the other point's cube. No pair of cubes further apart is compared.
+A gated join cuts space into cubes whose side is twice the gate and emits a point of one side to the cubes that its gate
+reaches, 8 at most, so each pair within the gate meets once, in the other point's cube. No pair of cubes further apart is
+compared.
 """
 
 from __future__ import annotations
@@ -18,27 +19,22 @@ def _prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
-def _cells(gate: Column, prefix: str) -> list[Column]:
-    return [F.floor(F.col(f"{prefix}u{a}") / gate).cast("long") for a in AXES]
-
-
 def gated(left: DataFrame, right: DataFrame, gate: float, dt: int = 0, keys: tuple[str, ...] = ("dataset",), how: str = "inner") -> DataFrame:
     """Pairs (a_..., b_..., d) of points with equal keys, t(b) = t(a) + dt and a distance of at most ``gate``, inclusive.
 
-    ``how``: 'inner', or 'left' to keep points of ``left`` that have no pair. The right side is emitted 27 times.
+    ``how``: 'inner', or 'left' to keep points of ``left`` that have no pair. The right side is the one that is emitted.
     """
-    g = F.lit(float(gate))
+    side, reach = F.lit(2.0 * gate), F.lit(gate * (1 + 1e-9))
     a = _prefixed(left, "a_", left.columns).withColumn("_t", F.col("a_t") + dt)
     b = _prefixed(right, "b_", right.columns)
-    near = F.explode(F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    a = a.withColumns({f"_c{k}": c for k, c in enumerate(_cells(g, "a_"))})
-    b = b.withColumn("_n", near).withColumns({f"_c{k}": c + F.col("_n")[k] for k, c in enumerate(_cells(g, "b_"))})
-    b = b.withColumnsRenamed({f"_c{k}": f"_b{k}" for k in range(3)})
-    on = (F.col("_t") == F.col("b_t")) & (distance("a_", "b_") <= g)
+    on = (F.col("_t") == F.col("b_t")) & (distance("a_", "b_") <= F.lit(float(gate)))
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-    for k in range(3):
-        on = on & (F.col(f"_c{k}") == F.col(f"_b{k}"))
+    for c in AXES:
+        low, high = ((F.col(f"b_u{c}") + x) / side for x in (-reach, reach))
+        a = a.withColumn(f"_a{c}", F.floor(F.col(f"a_u{c}") / side).cast("long"))
+        b = b.withColumn(f"_b{c}", F.explode(F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))))
+        on = on & (F.col(f"_a{c}") == F.col(f"_b{c}"))
     kept = [f"a_{c}" for c in left.columns] + [f"b_{c}" for c in right.columns]
     return a.join(b, on, how).select(*kept, F.when(F.col("b_t").isNotNull(), distance("a_", "b_")).alias("d"))
 

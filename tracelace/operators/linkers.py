@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelace.operators import assign, costs, joins
+from tracelace.operators.groups import spread
 
 
 def nearest_neighbour(nodes: DataFrame, gate: float) -> DataFrame:
@@ -51,7 +52,7 @@ def division_aware(nodes: DataFrame, gate: float) -> DataFrame:
                     break
         return pd.DataFrame(out, columns=["dataset", "t", "source_id", "target_id"])
 
-    more = orphan.groupBy("dataset", "t").applyInPandas(take, f"dataset string, t {kinds['t']}, source_id long, target_id long")
+    more = orphan.transform(spread("dataset", "t")).groupBy("dataset", "t").applyInPandas(take, f"dataset string, t {kinds['t']}, source_id long, target_id long")
     return _edges(first.unionByName(more))
 
 
@@ -117,7 +118,7 @@ def motion(nodes: DataFrame, knobs: Motion = Motion()) -> DataFrame:
             prev, at = frame, t
         return pd.DataFrame(out, columns=["dataset", "source_id", "target_id"]).astype({"source_id": "int64", "target_id": "int64"})
 
-    links = nodes.select("dataset", "node_id", "t", "uz", "uy", "ux").groupBy("dataset").applyInPandas(run, "dataset string, source_id long, target_id long")
+    links = nodes.select("dataset", "node_id", "t", "uz", "uy", "ux").transform(spread("dataset")).groupBy("dataset").applyInPandas(run, "dataset string, source_id long, target_id long")
     return _edges(links)
 
 
@@ -208,7 +209,7 @@ def min_cost_flow(nodes: DataFrame, pairs: DataFrame, boundary: float, bonus: fl
         name = str(pdf["dataset"].iloc[0])
         return pd.DataFrame([(name, a, b) for a, b in links], columns=["dataset", "source_id", "target_id"]).astype({"dataset": object, "source_id": "int64", "target_id": "int64"})
 
-    return _edges(both.groupBy("dataset").applyInPandas(run, "dataset string, source_id long, target_id long"))
+    return _edges(both.transform(spread("dataset")).groupBy("dataset").applyInPandas(run, "dataset string, source_id long, target_id long"))
 
 
 @dataclass(frozen=True)

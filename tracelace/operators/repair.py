@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracelace.operators.components import components
+from tracelace.operators.components import components, forest_roots
 
 
 def nearest_parent(pairs: DataFrame) -> DataFrame:
@@ -34,8 +34,16 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """dataset, node_id, component: the least id of its weakly connected component; a node without edges is its own."""
-    found = components(edges, "source_id", "target_id", ("dataset",)).select("dataset", F.col("node").alias("node_id"), "root")
+    """dataset, node_id, component: the least id of its weakly connected component; a node without edges is its own.
+
+    Lineages, in which no node has two parents, are followed up to their roots; other graphs take the alternating stars.
+    """
+    rooted = forest_roots(edges, "source_id", "target_id", ("dataset",))
+    if rooted is None:
+        found = components(edges, "source_id", "target_id", ("dataset",)).select("dataset", F.col("node").alias("node_id"), "root")
+    else:
+        least = rooted.groupBy("dataset", "root").agg(F.min("node").alias("_least"))
+        found = rooted.join(least, ["dataset", "root"]).select("dataset", F.col("node").alias("node_id"), F.col("_least").alias("root"))
     return nodes.select("dataset", "node_id").join(found, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("root", "node_id").alias("component"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from tracelace.functions.geometry import AXES, Spacing, norm, to_um
 from tracelace.operators import assign, joins
 from tracelace.operators.scoring import degrees
+from tracelace.operators.groups import spread
 
 XYZ = ("uz", "uy", "ux")
 _EDGE = "dataset string, source_id long, target_id long, edge_seq long"
@@ -67,7 +68,7 @@ def accept_tightest(proposals: DataFrame, budget: DataFrame) -> DataFrame:
         out = pdf.iloc[keep].drop(columns="cap")
         return out.assign(rank=np.arange(len(out)))
 
-    return proposals.join(budget, "dataset").groupBy("dataset").applyInPandas(run, "dataset string, missing int, end_id long, start_id long, cost double, rank long")
+    return proposals.join(budget, "dataset").transform(spread("dataset")).groupBy("dataset").applyInPandas(run, "dataset string, missing int, end_id long, start_id long, cost double, rank long")
 
 
 def density_gap_bridge(nodes: DataFrame, edges: DataFrame, reach: float, most_added: float = 0.05, max_gap: int = 1, spacing: Spacing = Spacing()) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,7 @@ def geometric_divisions(nodes: DataFrame, edges: DataFrame, parent_gate: float =
                     break
         return pd.DataFrame(keep, columns=["dataset", "t", "parent_id", "child_id", "score", "n_parents"])
 
-    one = c.groupBy("dataset", "t").applyInPandas(take, "dataset string, t int, parent_id long, child_id long, score double, n_parents long")
+    one = c.transform(spread("dataset", "t")).groupBy("dataset", "t").applyInPandas(take, "dataset string, t int, parent_id long, child_id long, score double, n_parents long")
     return capped(one, edges, frame_share, most_added)
 
 
@@ -208,7 +209,7 @@ def smoothed(nodes: DataFrame, edges: DataFrame, labels: DataFrame, strength: fl
             out[a] = np.clip(np.rint(now[:, i]), 0, None).astype("int32")
         return out
 
-    return rows.groupBy("dataset", "component").applyInPandas(fold, "dataset string, node_id long, t int, z int, y int, x int")
+    return rows.transform(spread("dataset", "component")).groupBy("dataset", "component").applyInPandas(fold, "dataset string, node_id long, t int, z int, y int, x int")
 
 
 def rescued_by_budget(summary: DataFrame, budget: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def rescued_by_budget(summary: DataFrame, budget: DataFrame) -> DataFrame:
         return pd.DataFrame(keep, columns=["dataset", "component"])
 
     rows = summary.withColumn("score", F.col("mean_p") - 0.02 * F.col("mean_d") + 0.004 * F.col("size")).join(budget, "dataset")
-    return rows.select("dataset", "component", F.col("size").cast("long").alias("size"), "score", "cap").groupBy("dataset").applyInPandas(run, "dataset string, component long")
+    return rows.select("dataset", "component", F.col("size").cast("long").alias("size"), "score", "cap").transform(spread("dataset")).groupBy("dataset").applyInPandas(run, "dataset string, component long")
 
 
 def merged(own: DataFrame, donor: DataFrame, order: str = "edge_seq") -> DataFrame:
@@ -243,4 +244,4 @@ def merged(own: DataFrame, donor: DataFrame, order: str = "edge_seq") -> DataFra
             keep.append((row.dataset, row.source_id, row.target_id, len(keep)))
         return pd.DataFrame(keep, columns=["dataset", "source_id", "target_id", "edge_seq"])
 
-    return both.groupBy("dataset").applyInPandas(run, _EDGE)
+    return both.transform(spread("dataset")).groupBy("dataset").applyInPandas(run, _EDGE)

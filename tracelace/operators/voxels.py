@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tracelace.operators.groups import spread
 
 FRAME = "dataset string, t int, shape array<int>, voxels array<float>"
 
@@ -121,7 +122,7 @@ def rendered(nodes: DataFrame, shape: tuple[int, int, int], sigma: float) -> Dat
             np.maximum(box, (z[:, None, None] * y[None, :, None] * x[None, None, :]).astype(np.float32), out=box)
         return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "t": [int(pdf["t"].iloc[0])], "shape": [list(shape)], "voxels": [a.ravel()]})
 
-    return nodes.select("dataset", "t", "z", "y", "x").groupBy("dataset", "t").applyInPandas(run, FRAME)
+    return nodes.select("dataset", "t", "z", "y", "x").transform(spread("dataset", "t")).groupBy("dataset", "t").applyInPandas(run, FRAME)
 
 
 def log_response(a: np.ndarray, sigma: tuple[float, float, float]) -> np.ndarray:
