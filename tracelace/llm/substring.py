@@ -3,12 +3,13 @@
 Rows are put in one order and cut into chunks of a bounded size along it. A chunk sends the distinct hashes of its
 windows, as sorted blocks, to the hash ranges they fall in; there a hash that an earlier chunk has sent too is sent back
 to every later chunk. A chunk then knows which of its windows began earlier, elsewhere or within itself, and merges them
-into maximal removal intervals. Texts are shuffled once, hashes once, and repeated hashes once more.
+into maximal removal intervals. Texts are shuffled once (deflated), hashes once, and repeated hashes once more.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -106,7 +107,7 @@ _PLACE = np.dtype([("s", "i8"), ("k", "i8"), ("h", "i8")])
 
 
 def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int, int]:
-    """(_id, _text, _times and the order's columns, _chunk), the number of chunks, and the words' upper bound.
+    """(_id, _text deflated, _times and the order's columns, _chunk), the number of chunks, and the words' upper bound.
 
     Ids, text hashes and sizes alone are sorted by Spark; walking along them, each task begins a chunk wherever the one at
     hand is full. So far-off ids don't matter, and rows of one id (null, too) are split by their texts' hashes. Rows alike
@@ -154,9 +155,11 @@ def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = No
             for name, column in zip(_PLACE.names, _ORDER, strict=True):
                 places[name] = batch.column(column).to_numpy(zero_copy_only=False)
             chunk = np.searchsorted(shared.value, places, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(chunk, 0).astype(np.int32))], names=[*batch.schema.names, "_chunk"])
+            packed = pa.array([zlib.compress(t, 1) for t in batch.column("_text").cast(pa.binary()).to_pylist()], pa.binary())
+            columns = [packed if c == "_text" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(chunk, 0).astype(np.int32))], names=[*batch.schema.names, "_chunk"])
 
-    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    schema = ", ".join(f"{c} {'binary' if c == '_text' else k}" for c, k in rows.dtypes)
     return rows.mapInArrow(deal, schema + ", _chunk int"), max(1, len(bounds)), total // 2 + 1
 
 
@@ -176,7 +179,7 @@ def deduplicated(docs: DataFrame, window: int = 20, ident: str = "doc_id", text:
     id_type = rows.schema["_id"].dataType
 
     def send(table: pa.Table) -> pa.Table:
-        words = [t.split() for t in table.column("_text").cast(pa.binary()).to_pylist()]
+        words = [zlib.decompress(t).split() for t in table.column("_text").to_pylist()]
         _, hashes, checks = window_hashes(words, window)
         order, again = ordered(hashes, checks)
         hashes, checks = hashes[order][~again], checks[order][~again]
@@ -198,7 +201,7 @@ def deduplicated(docs: DataFrame, window: int = 20, ident: str = "doc_id", text:
         return pa.table({"_chunk": pa.array([c for c, _ in out], pa.int32()), "_block": pa.array([b for _, b in out], pa.binary())})
 
     def cut(texts: pa.Table, repeats: pa.Table) -> Iterator[pa.RecordBatch]:
-        raw = texts.column("_text").cast(pa.binary()).to_pylist()
+        raw = [zlib.decompress(t) for t in texts.column("_text").to_pylist()]
         ids, times = texts.column("_id").combine_chunks(), texts.column("_times").to_pylist()
         places = list(zip(*(texts.column(c).to_pylist() for c in _ORDER), raw, strict=True))
         order = sorted(range(len(raw)), key=places.__getitem__)
