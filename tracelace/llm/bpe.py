@@ -18,6 +18,11 @@ def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def forget() -> None:
+    """Drops what ``of_worker`` holds: a worker that turns to other functions needn't keep an encoder's words."""
+    sys.__dict__.pop("_of_worker", None)
+
+
 def load(path: str):
     """The tokenizer in a file, without truncation or padding; Spark's tasks are the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

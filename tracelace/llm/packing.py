@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tracelace.llm import bpe
 from tracelace.storage import written
 
-#: A worker keeps the ids of at most so many words, none of them longer than LONGEST bytes: some 200 MB.
-MOST, LONGEST = 1_000_000, 64
+#: A worker keeps the ids of at most so many words, none of them longer than LONGEST bytes: some 120 MB.
+MOST, LONGEST = 600_000, 64
 
 
 class Encoder:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracelace.llm import bpe
 from tracelace.operators.components import components
 from tracelace.storage import Scratch, scratch, written
 
@@ -157,6 +158,7 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     """How many texts have a shingle, by the lowest bits of its hash: for the order of shingles only, in which any number will do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         held = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
@@ -197,6 +199,7 @@ def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) ->
     order = spark.sparkContext.broadcast(_frequencies(texts, width))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         often = order.value
         seen: set[int] = set()
         for batch in batches:
@@ -251,14 +254,16 @@ def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) ->
         wanted = spark.sparkContext.broadcast(asked)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little")
+            bpe.forget()
+            asked = wanted.value.view(np.uint8)
             seen: set[int] = set()
             for batch in batches:
                 nodes, out = [], []
                 for t in batch.column(0).cast(pa.binary()).to_pylist():
                     found = hashes(t or b"", width)
                     node = _node(found)
-                    if bits[node & (PLACES - 1)] and node not in seen:
+                    at = node & (PLACES - 1)
+                    if asked[at >> 3] >> (at & 7) & 1 and node not in seen:
                         seen.add(node)
                         nodes.append(node)
                         out.append(found.view(np.int64))
