@@ -277,12 +277,13 @@ def e5_seed_moments(k: Tracks) -> DataFrame:
     return _seeds(k).groupBy("dataset", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("logit")).alias("mean"), r6(F.stddev_pop("logit")).alias("std"))
 
 
-@query(_SEED + ", x AS (SELECT a.dataset, a.t, a.source_id, a.target_id, a.logit, b.logit AS ref FROM sd a JOIN sd b USING (dataset, t, source_id, target_id) WHERE a.seed = 2 AND b.seed = 1), m AS (SELECT *, avg(logit) OVER w AS ml, avg(ref) OVER w AS mr, stddev_pop(logit) OVER w AS sl, stddev_pop(ref) OVER w AS sr FROM x WINDOW w AS (PARTITION BY dataset, t)) SELECT dataset, source_id, target_id, round((logit - ml) * least(greatest(sr / greatest(sl, 1e-4), 0.5), 2.0) + mr, 6) AS aligned FROM m")
+@query(_SEED + ", x AS (SELECT a.dataset, a.t, a.source_id, a.target_id, a.logit, b.logit AS ref FROM sd a JOIN sd b USING (dataset, t, source_id, target_id) WHERE a.seed = 2 AND b.seed = 1), m AS (SELECT *, avg(logit) OVER w AS ml, avg(ref) OVER w AS mr, stddev_pop(logit) OVER w AS sl, stddev_pop(ref) OVER w AS sr FROM x WINDOW w AS (PARTITION BY dataset, t)) SELECT dataset, source_id, target_id, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS aligned FROM (SELECT *, round((logit - ml) * least(greatest(sr / greatest(sl, 1e-4), 0.5), 2.0) + mr, 6) AS v FROM m)")
 def w14_moment_alignment(k: Tracks) -> DataFrame:
     s = _seeds(k)
     keys = ["dataset", "t", "source_id", "target_id"]
     x = s.filter("seed = 2").select(*keys, "logit").join(s.filter("seed = 1").select(*keys, F.col("logit").alias("ref")), keys)
-    return x.select("dataset", "source_id", "target_id", r6(costs.moment_aligned(x, "logit", "ref", W.partitionBy("dataset", "t"))).alias("aligned"))
+    v = x.select("dataset", "source_id", "target_id", r6(costs.moment_aligned(x, "logit", "ref", W.partitionBy("dataset", "t"))).alias("_v"))
+    return v.select("dataset", "source_id", "target_id", F.when(F.col("_v") == 0, F.lit(0.0)).otherwise(F.col("_v")).alias("aligned"))  # no negative zero
 
 
 #: Chains of the truth as table expressions: single links, the chain named by its least id.
