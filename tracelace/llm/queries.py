@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelace.llm import language, mixing, packing, quality, secrets, sharding, simhash, substring, tiff, tokens
+from tracelace.llm import language, mixing, packing, quality, secrets, sharding, simhash, spelling, substring, tiff, tokens
 from tracelace.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_media_tiff": op9_media_tiff,
         "op10_shard_documents": op10_shard_documents,
+        "op12_spelling_variants": op12_spelling_variants,
         "pipeline": pipeline,
     }
 
@@ -79,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scans": secrets.SQL,
         "op6_mix_sources": mixing.SQL,
         "op10_shard_documents": sharding.sql(),
+        "op12_spelling_variants": spelling.SQL,
     }
