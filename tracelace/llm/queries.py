@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelace.llm import language, mixing, packing, quality, secrets, sharding, simhash, spelling, substring, tiff, tokens
+from tracelace.llm import language, mixing, negatives, packing, quality, secrets, sharding, simhash, spelling, substring, tiff, tokens
 from tracelace.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media_tiff": op9_media_tiff,
         "op10_shard_documents": op10_shard_documents,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.SQL,
         "op10_shard_documents": sharding.sql(),
         "op12_spelling_variants": spelling.SQL,
+        "op13_hard_negatives": negatives.SQL,
     }
