@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelace.llm import language, mixing, negatives, packing, quality, secrets, sharding, simhash, spelling, substring, tiff, tokens
+from tracelace.llm import language, mixing, negatives, packing, privacy, quality, secrets, sharding, simhash, spelling, substring, tiff, tokens
 from tracelace.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(documents(spark, sf_dir))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_media_tiff": op9_media_tiff,
         "op10_shard_documents": op10_shard_documents,
+        "op11_private_data": op11_private_data,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
