@@ -92,6 +92,36 @@ def nearest(left: DataFrame, right: DataFrame, dt: int = 0, within: float | None
     return left.select("dataset", "node_id").join(best, ["dataset", "node_id"], "left")
 
 
+def k_nearest(points: DataFrame, k: int, start: float = 8.0) -> DataFrame:
+    """dataset, node_id, rank, other_id, d: the ``k`` nearest other points of each point's frame, all if there are fewer.
+
+    Equal distances go to the smaller id. Points that have ``k`` others within the gate are done; the rest are looked for in
+    twice the gate, until it spans the volume.
+    """
+    slim = points.select("dataset", "node_id", "t", "uz", "uy", "ux")
+    ends = slim.agg(*[f(c) for c in ("uz", "uy", "ux") for f in (F.min, F.max)]).first()
+    span = sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3)) ** 0.5 if ends[0] is not None else 0.0
+    open_points, gate, parts = slim, start, []
+    key = ["dataset", "node_id"]
+    while True:
+        pairs = gated(open_points, slim, gate).filter("a_node_id != b_node_id")
+        pairs = pairs.select(F.col("a_dataset").alias("dataset"), F.col("a_node_id").alias("node_id"), F.col("b_node_id").alias("other_id"), "d")
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy("d", "other_id"))).filter(F.col("rank") <= k)
+        found = written(ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*key))), "k-nearest")
+        if gate > span:
+            parts.append(found)
+            break
+        parts.append(found.filter(F.col("_n") == k))
+        open_points = written(open_points.join(parts[-1].select(*key).distinct(), key, "left_anti"), "k-nearest-open")
+        if open_points.isEmpty():
+            break
+        gate *= 2
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*key, "rank", "other_id", "d")
+
+
 def shifted_null(left: DataFrame, right: DataFrame, shift: int, frames: int, within: float) -> DataFrame:
     """``nearest`` against frame (t + shift) mod frames: what chance alone would find."""
     moved = left.withColumn("t", F.pmod(F.col("t") + shift, F.lit(frames)))
