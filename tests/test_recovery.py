@@ -290,3 +290,33 @@ def test_the_chain_counts_what_it_does(spark):
         size[label[i]] += 1
     forks = {label[r.source_id] for r in out_edges if sum(x.source_id == r.source_id for x in out_edges) > 1}
     assert all(n >= 6 or c in forks for c, n in size.items())
+
+
+def test_bridges_by_rounds_equal_bridges_by_a_pass(spark):
+    from tracelace.operators import stages
+
+    rng = np.random.default_rng(11)
+    rows = [("a", 1, int(e), int(s), float(c)) for e, s, c in zip(rng.integers(0, 20, 80), rng.integers(0, 20, 80), rng.integers(0, 9, 80), strict=True)]
+    df = spark.createDataFrame(list(dict.fromkeys(rows)), "dataset string, missing int, end_id long, start_id long, cost double")
+    cap = spark.createDataFrame([("a", 7)], "dataset string, cap int")
+    one, many = (sorted(map(tuple, stages.accept_tightest(df, cap, gap).select("end_id", "start_id", "cost", "rank").collect())) for gap in (1, 2))
+    assert one == many and len(one) == 7
+
+
+def test_a_merge_by_rounds_equals_a_merge_by_a_pass(spark):
+    from tracelace.operators import stages
+
+    rng = np.random.default_rng(12)
+    pairs = lambda n: [(int(a), 100 + int(b)) for a, b in zip(rng.integers(0, 12, n), rng.integers(0, 30, n), strict=True)]
+    own, donor = list(dict.fromkeys(pairs(10))), pairs(60)
+    parents, children, want = {e for _, e in own}, defaultdict(int), list(own)
+    for s, _ in own:
+        children[s] += 1
+    for s, e in donor:
+        if e not in parents and children[s] < 2:
+            parents.add(e)
+            children[s] += 1
+            want.append((s, e))
+    frame = lambda es: spark.createDataFrame([("a", s, e, i) for i, (s, e) in enumerate(es)], "dataset string, source_id long, target_id long, edge_seq long")
+    got = [(r.source_id, r.target_id) for r in stages.merged(frame(own), frame(donor)).orderBy("edge_seq").collect()]
+    assert got == want

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelace.operators import assign, costs, joins
+from tracelace.operators.admission import admit
 from tracelace.operators.groups import spread
 
 
@@ -39,20 +40,7 @@ def division_aware(nodes: DataFrame, gate: float) -> DataFrame:
     first = assign.gated_hungarian(pairs)
     single = first.select("dataset", "source_id").distinct()
     orphan = pairs.join(first.select("dataset", "target_id"), ["dataset", "target_id"], "left_anti").join(single, ["dataset", "source_id"], "left_semi")
-    kinds = dict(orphan.dtypes)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        out = []
-        for target, rows in pdf.sort_values(["target_id", "d", "source_id"]).groupby("target_id", sort=True):
-            for s in rows["source_id"]:
-                if s not in taken:
-                    taken.add(s)
-                    out.append((pdf["dataset"].iloc[0], int(pdf["t"].iloc[0]), int(s), int(target)))
-                    break
-        return pd.DataFrame(out, columns=["dataset", "t", "source_id", "target_id"])
-
-    more = orphan.transform(spread("dataset", "t")).groupBy("dataset", "t").applyInPandas(take, f"dataset string, t {kinds['t']}, source_id long, target_id long")
+    more = admit(orphan, ["target_id", "d", "source_id"], [(("dataset", "target_id"), 1), (("dataset", "source_id"), 1)]).select("dataset", "t", "source_id", "target_id")
     return _edges(first.unionByName(more))
 
 

@@ -1,7 +1,8 @@
 """Lineage stages after linking: bridges, recovered divisions, smoothing, budgets.
 
-Candidates are joins and windows over all rows. Only the order-dependent admission of a few proposals is done in Python,
-over one dataset's or one lineage's proposals at a time.
+Candidates are joins and windows over all rows, and what a pass in a fixed order would admit comes from rounds
+(``admission``). Only the smoother's fold and budgets that pass over what doesn't fit go through a lineage's or a dataset's
+rows in Python.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import Window as W
 
 from tracelace.functions.geometry import AXES, Spacing, norm, to_um
 from tracelace.operators import assign, joins
+from tracelace.operators.admission import admit
 from tracelace.operators.scoring import degrees
 from tracelace.operators.groups import spread
 
 XYZ = ("uz", "uy", "ux")
-_EDGE = "dataset string, source_id long, target_id long, edge_seq long"
 
 
 def velocities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,16 +51,22 @@ def bridge_proposals(nodes: DataFrame, edges: DataFrame, reach: float, max_gap:
     return out
 
 
-def accept_tightest(proposals: DataFrame, budget: DataFrame) -> DataFrame:
+def accept_tightest(proposals: DataFrame, budget: DataFrame, max_gap: int = 1) -> DataFrame:
     """Proposals by cost (then missing, end, start), each end and start once, until ``cap`` nodes are used up.
 
-    ``budget`` has a cap for each dataset. One dataset's proposals are a small fraction of its ends.
+    ``budget`` has a cap for each dataset. Bridges of one node each are admitted in rounds and cut at the cap; with longer
+    ones, one that doesn't fit is passed over and frees its ends, so a dataset's proposals are gone through in order.
     """
+    order = ["cost", "missing", "end_id", "start_id"]
+    if max_gap == 1:
+        got = admit(proposals, order, [(("dataset", "end_id"), 1), (("dataset", "start_id"), 1)])
+        ranked = got.withColumn("rank", F.row_number().over(W.partitionBy("dataset").orderBy(*order)).cast("long") - 1)
+        return ranked.join(budget, "dataset").filter("rank < cap").select("dataset", "missing", "end_id", "start_id", "cost", "rank")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[tuple[str, int]] = set()
         left, keep = int(pdf["cap"].iloc[0]), []
-        pdf = pdf.sort_values(["cost", "missing", "end_id", "start_id"])
+        pdf = pdf.sort_values(order)
         for i, (e, s, n) in enumerate(zip(pdf["end_id"], pdf["start_id"], pdf["missing"], strict=True)):
             if n <= left and not used & {("e", e), ("s", s)}:
                 used |= {("e", e), ("s", s)}
@@ -75,7 +82,7 @@ def density_gap_bridge(nodes: DataFrame, edges: DataFrame, reach: float, most_ad
     """Nodes and edges with the accepted bridges: synthetic points along the motion, clipped to the graph's bounds, with
     new ids in the order of acceptance, and the edges through them."""
     cap = nodes.groupBy("dataset").agg(F.floor(F.count(F.lit(1)) * most_added).cast("int").alias("cap"))
-    got = accept_tightest(bridge_proposals(nodes, edges, reach, max_gap), cap)
+    got = accept_tightest(bridge_proposals(nodes, edges, reach, max_gap), cap, max_gap)
     bounds = nodes.groupBy("dataset").agg(F.max("node_id").alias("_top"), *[F.max(a).alias(f"_max_{a}") for a in AXES])
     at = velocities(nodes.select("dataset", "node_id", "t", *XYZ), edges).withColumnRenamed("node_id", "end_id")
     before = F.coalesce(F.sum("missing").over(W.partitionBy("dataset").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -136,19 +143,7 @@ def geometric_divisions(nodes: DataFrame, edges: DataFrame, parent_gate: float =
     """Recovered daughters (dataset, source_id, target_id, edge_seq): orphans in order of id take their cheapest parent that
     none has taken yet; then the cheapest of each frame and, by frame, of all, up to the caps."""
     c = division_candidates(nodes, edges, parent_gate, sister_gate, child_gate)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        claimed: set[int] = set()
-        keep = []
-        for _, rows in pdf.sort_values(["child_id", "score", "parent_id"]).groupby("child_id", sort=True):
-            for row in rows.itertuples(index=False):
-                if row.parent_id not in claimed:
-                    claimed.add(row.parent_id)
-                    keep.append((row.dataset, row.t, row.parent_id, row.child_id, row.score, row.n_parents))
-                    break
-        return pd.DataFrame(keep, columns=["dataset", "t", "parent_id", "child_id", "score", "n_parents"])
-
-    one = c.transform(spread("dataset", "t")).groupBy("dataset", "t").applyInPandas(take, "dataset string, t int, parent_id long, child_id long, score double, n_parents long")
+    one = admit(c.select("dataset", "t", "parent_id", "child_id", "score", "n_parents"), ["child_id", "score", "parent_id"], [(("dataset", "child_id"), 1), (("dataset", "parent_id"), 1)])
     return capped(one, edges, frame_share, most_added)
 
 
@@ -228,20 +223,15 @@ def rescued_by_budget(summary: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def merged(own: DataFrame, donor: DataFrame, order: str = "edge_seq") -> DataFrame:
-    """``own`` edges and the donor's that keep one parent and two children at most, in the donor's order: both share ids."""
-    both = own.select("dataset", "source_id", "target_id", F.col("edge_seq").alias("_o"), F.lit(0).alias("_d")).unionByName(donor.select("dataset", "source_id", "target_id", F.col(order).alias("_o"), F.lit(1).alias("_d")))
+    """``own`` edges and the donor's that keep one parent and two children at most, in the donor's order: both share ids.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parents: set[int] = set()
-        children: dict[int, int] = {}
-        keep = []
-        for row in pdf.sort_values(["_d", "_o", "source_id", "target_id"]).itertuples(index=False):
-            fresh = row[4] == 1
-            if fresh and (row.target_id in parents or children.get(row.source_id, 0) >= 2):
-                continue
-            parents.add(row.target_id)
-            children[row.source_id] = children.get(row.source_id, 0) + 1
-            keep.append((row.dataset, row.source_id, row.target_id, len(keep)))
-        return pd.DataFrame(keep, columns=["dataset", "source_id", "target_id", "edge_seq"])
-
-    return both.transform(spread("dataset")).groupBy("dataset").applyInPandas(run, _EDGE)
+    The donor's come after all own ones in edge_seq.
+    """
+    parents = own.select("dataset", "target_id").distinct().withColumn("_parents", F.lit(1))
+    children = own.groupBy("dataset", "source_id").agg(F.count(F.lit(1)).alias("_children"))
+    last = own.groupBy("dataset").agg(F.max("edge_seq").alias("_last"))
+    offered = donor.select("dataset", "source_id", "target_id", F.col(order).alias("_o"))
+    offered = offered.join(parents, ["dataset", "target_id"], "left").join(children, ["dataset", "source_id"], "left").fillna(0, ["_parents", "_children"])
+    got = admit(offered, ["_o", "source_id", "target_id"], [(("dataset", "target_id"), 1 - F.col("_parents")), (("dataset", "source_id"), 2 - F.col("_children"))])
+    new = got.join(last, "dataset", "left").select("dataset", "source_id", "target_id", (F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("_o")).cast("long").alias("edge_seq"))
+    return own.select("dataset", "source_id", "target_id", "edge_seq").unionByName(new)
