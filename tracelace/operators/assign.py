@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tracelace.operators.groups import spread
 
 #: The price of a pair that isn't allowed: more than any set of allowed ones.
@@ -159,23 +161,91 @@ def with_divisions(pairs: DataFrame, cost: str, reward: float, keys: tuple[str,
     return _per_piece(pairs, choose, keys)
 
 
-def match_nodes(pairs: DataFrame, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
+def _exactly(w: np.ndarray, k: int) -> list[tuple[int, int]] | None:
+    """The heaviest ``k`` pairs of a piece (rows, columns; nan isn't allowed), or None if it has no so many.
+
+    Rows that stay alone take one of so many dummies, so ``k`` of them take real columns.
+    """
+    n, m = w.shape
+    if k > min(n, m):
+        return None
+    table = np.hstack([np.where(np.isnan(w), FORBIDDEN, -w), np.zeros((n, n - k))])
+    got = [(i, j) for i, j in rectangle(table) if j < m]
+    return got if all(not np.isnan(w[i, j]) for i, j in got) and len(got) == k else None
+
+
+def matched_frame(tables: list[np.ndarray], alone: int, alone_other: int) -> list[list[tuple[int, int]]]:
+    """The pairs of each connected piece of a frame; ``tables`` have the smaller side's nodes as rows and nan where a pair isn't allowed.
+
+    ``alone`` and ``alone_other``: nodes of the smaller and the larger side without any candidate. If every node of the
+    smaller side can have a pair, the heaviest such matching is taken. Else a node without one costs 1; and while those
+    that have candidates but no pair outnumber the larger side's lone nodes, pairs are added where they cost least, if that
+    brings them down to that number at all.
+    """
+    if not alone:
+        full = [_exactly(w, len(w)) for w in tables]
+        if all(x is not None for x in full):
+            return [x for x in full if x is not None]
+    loose = [[(i, j) for i, j in rectangle(np.where(np.isnan(w), 1.0, -w)) if not np.isnan(w[i, j])] for w in tables]
+    excess = sum(len(w) - len(x) for w, x in zip(tables, loose, strict=True)) - alone_other
+    if excess <= 0:
+        return loose
+    # the heaviest k pairs of a piece weigh concavely in k, so the cheapest next pairs are the cheapest in all
+    now, steps = list(loose), []
+    value = lambda p, x: sum(tables[p][i, j] + 1 for i, j in x)
+    for p, x in enumerate(loose):
+        k, last = len(x), value(p, x)
+        while (more := _exactly(tables[p], k + 1)) is not None:
+            steps.append((last - value(p, more), p, k + 1, more))
+            last, k = value(p, more), k + 1
+    steps.sort(key=lambda s: s[:3])
+    if len(steps) < excess:
+        return loose
+    for _, p, _, more in steps[:excess]:
+        if len(more) > len(now[p]):
+            now[p] = more
+    return now
+
+
+def match_nodes(pairs: DataFrame, keys: tuple[str, ...] = ("dataset", "t"), sizes: DataFrame | None = None) -> DataFrame:
     """(keys, pred_id, gt_id): one-to-one matching of detections (source_id) and truth (target_id) within the ruler.
 
-    The weight of a pair is 1 / (1 + d), rounded to 32 bits. A matching that takes all of the smaller side is looked for
-    first; else pairs and empty places, which weigh -1, are chosen together.
+    The weight of a pair is 1 / (1 + d), rounded to 32 bits. ``matched_frame`` says which matching of a frame is taken; what
+    it asks of the whole frame are numbers of nodes, so the pieces are solved each by itself. ``sizes`` (keys, n_pred, n_gt):
+    all nodes of a frame; without it a frame has the nodes of its pairs alone.
     """
+    kinds = dict(pairs.dtypes)
+    own = pairs.select(*keys, "source_id", "target_id", "d")
+    if sizes is None:
+        own = own.withColumns({"n_pred": F.lit(0).cast("long"), "n_gt": F.lit(0).cast("long")})
+    else:
+        own = own.join(sizes.select(*keys, F.col("n_pred").cast("long"), F.col("n_gt").cast("long")), list(keys))
 
-    def choose(part: Piece) -> list[tuple[int, int]]:
-        c, s, t = _matrix(part, "d")
-        w = (1.0 / (1.0 + c)).astype(np.float32).astype(float)
-        allowed = ~np.isnan(w)
-        full = rectangle(np.where(allowed, -w, FORBIDDEN))
-        if all(allowed[i, j] for i, j in full):
-            return [(s[i], t[j]) for i, j in full]
-        return [(s[i], t[j]) for i, j in rectangle(np.where(allowed, -w, 1.0)) if allowed[i, j]]
-
-    return _per_piece(pairs, choose, keys).withColumnsRenamed({"source_id": "pred_id", "target_id": "gt_id"})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = {c: pdf[c].to_numpy() for c in ("source_id", "target_id", "d")}
+        parts = [_matrix(part, "d") for part in pieces(whole)]
+        met = sum(len(s) for _, s, _ in parts), sum(len(t) for _, _, t in parts)
+        n_pred, n_gt = max(met[0], int(pdf["n_pred"].iloc[0])), max(met[1], int(pdf["n_gt"].iloc[0]))
+        weights = [(1.0 / (1.0 + c)).astype(np.float32).astype(float) for c, _, _ in parts]
+        if n_gt <= n_pred:
+            found = matched_frame([w.T for w in weights], n_gt - met[1], n_pred - met[0])
+            got = [(parts[p][1][j], parts[p][2][i]) for p, x in enumerate(found) for i, j in x]
+        else:
+            found = matched_frame(weights, n_pred - met[0], n_gt - met[1])
+            got = [(parts[p][1][i], parts[p][2][j]) for p, x in enumerate(found) for i, j in x]
+        out = pd.DataFrame({"pred_id": [a for a, _ in got], "gt_id": [b for _, b in got]}, dtype="int64")
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "pred_id", "gt_id"]]
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pred_id long, gt_id long"
+    return own.transform(spread(*keys)).groupBy(*keys).applyInPandas(run, schema)
+
+
+def frame_sizes(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
+    """(keys, n_pred, n_gt): how many nodes either side has in each frame that both have."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return count(pred, "n_pred").join(count(truth, "n_gt"), list(keys))
 
 
 def most_pairs(edges: list[tuple[int, int]]) -> dict[int, int]:

@@ -60,9 +60,11 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
     gt = w.join(truth.select("dataset", "node_id", "t", "uz", "uy", "ux"), ["dataset", "node_id"])
     near = joins.gated(nodes.select("dataset", "node_id", "t", "uz", "uy", "ux"), gt, ruler)
     pairs = near.select(F.col("a_dataset").alias("dataset"), F.col("b_division_id").alias("division_id"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d")
-    match = written(assign.match_nodes(pairs, ("dataset", "division_id", "t")), "division-match")
+    here = gt.groupBy("dataset", "division_id", "t").agg(F.count(F.lit(1)).alias("n_gt"))
+    in_window = here.join(nodes.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n_pred")), ["dataset", "t"])
+    match = written(assign.match_nodes(pairs, ("dataset", "division_id", "t"), in_window), "division-match")
     whole = joins.gated(nodes.select("dataset", "node_id", "t", "uz", "uy", "ux"), truth.select("dataset", "node_id", "t", "uz", "uy", "ux"), ruler)
-    all_match = written(assign.match_nodes(whole.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d")), "division-match-all")
+    all_match = written(assign.match_nodes(whole.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d"), sizes=assign.frame_sizes(nodes, truth)), "division-match-all")
 
     forks = edges.groupBy("dataset", F.col("source_id").alias("fork_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("dataset", "fork_id")
     own = edges.select("dataset", "source_id", "target_id").distinct()

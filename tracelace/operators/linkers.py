@@ -110,78 +110,111 @@ def motion(nodes: DataFrame, knobs: Motion = Motion()) -> DataFrame:
     return _edges(links)
 
 
+def cheapest_columns(rows: list[list[tuple[int, int]]], n_columns: int) -> list[int]:
+    """For each row its column, or -1 for none, at least total cost; ``rows`` has a row's (column, whole cost), and none costs 0.
+
+    Rows take their cheapest free column, then bid for columns against their second choice, and what is left is placed along
+    shortest paths that end at the first free column, so a search sees a row's surroundings and not the whole table.
+    """
+    price = [0] * n_columns
+    owner = [-1] * n_columns
+    column = [-1] * len(rows)
+    cost = [0] * len(rows)
+    waiting = [i for i in range(len(rows)) if rows[i]]
+    for _ in range(3):
+        again: list[int] = []
+        bids = 4 * len(waiting)
+        while waiting:
+            i = waiting.pop()
+            first = second = 0  # none is always there
+            at = -1
+            at_cost = 0
+            for j, c in rows[i]:
+                d = c - price[j]
+                if d < first:
+                    first, second, at, at_cost = d, first, j, c
+                elif d < second:
+                    second = d
+            column[i], cost[i] = at, at_cost
+            if at < 0:
+                continue
+            price[at] += first - second
+            displaced = owner[at]
+            owner[at] = i
+            if displaced >= 0:
+                column[displaced] = -1
+                bids -= 1
+                (waiting if first < second and bids > 0 else again).append(displaced)
+        waiting = again
+    for r in waiting:
+        # distances are to columns; a row beyond the first is reached through the column that it holds
+        best: dict[int, int] = {}
+        via: dict[int, tuple[int, int]] = {}
+        done: list[tuple[int, int]] = []
+        heap: list[tuple[int, int]] = []
+        scanned: set[int] = set()
+        i, base = r, 0
+        stop, stop_row, stop_column = 0, r, -1
+        while True:
+            for j, c in rows[i]:
+                if j in scanned:
+                    continue
+                d = base + c - price[j]
+                if d < stop and d < best.get(j, d + 1):
+                    best[j] = d
+                    via[j] = (i, c)
+                    if owner[j] < 0:
+                        stop, stop_column = d, j
+                    else:
+                        heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in scanned or heap[0][0] > best[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                break
+            d, j = heapq.heappop(heap)
+            scanned.add(j)
+            done.append((d, j))
+            i = owner[j]
+            base = d - (cost[i] - price[j])
+            if base < stop:  # this row goes without a column
+                stop, stop_row, stop_column = base, i, -1
+        for d, j in done:
+            if d < stop:
+                price[j] += d - stop
+        if stop_column >= 0:
+            j = stop_column
+        else:
+            j = column[stop_row]
+            column[stop_row] = -1
+            if stop_row == r:
+                continue
+        while True:
+            i, c = via[j]
+            owner[j] = i
+            j, column[i], cost[i] = column[i], j, c
+            if i == r:
+                break
+    return column
+
+
 def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disappear: int, divide: int | None = None) -> list[tuple[int, int]]:
     """Links of least total cost over a whole dataset: node-disjoint tracks that each pay for their ends.
 
-    Unit flows from a source through nodes to a sink, by successive shortest paths with potentials (the first ones from one
-    sweep over the nodes in topological order, since link costs may be negative); each search ends at the sink, and flow is
-    added while that lowers the cost.
-    ``arcs`` are (source, target, whole cost); ``divide``: the price of a second child, whose flow enters at the link's source.
+    ``arcs`` are (source, target, whole cost); ``divide``: what a second child costs beyond an appearance. A node has a row
+    for what leaves it and a column for what enters it; a node that is left out takes its own column. Against paying for all
+    ends, a link saves both its ends' price, and so does a node that is left out, so the network is one assignment of rows to
+    columns. A second child comes from a second row, which pays for its unit.
     """
     index = {x: i for i, x in enumerate(nodes)}
-    n = 2 * len(nodes) + 2
-    start, end = n - 2, n - 1
-    graph: list[list[int]] = [[] for _ in range(n)]
-    to: list[int] = []
-    cap: list[int] = []
-    price: list[int] = []
-
-    def arc(a: int, b: int, c: int) -> int:
-        graph[a].append(len(to))
-        to.append(b)
-        cap.append(1)
-        price.append(c)
-        graph[b].append(len(to))
-        to.append(a)
-        cap.append(0)
-        price.append(-c)
-        return len(to) - 2
-
-    # A node is passed once or not at all; passing pays for itself by a bonus that is taken back at the end.
-    for i in range(len(nodes)):
-        arc(2 * i, 2 * i + 1, 0)
-        arc(start, 2 * i, appear)
-        arc(2 * i + 1, end, disappear)
-        if divide is not None:
-            arc(start, 2 * i + 1, divide)
-    made = {(a, b): arc(2 * index[a] + 1, 2 * index[b], c) for a, b, c in arcs}
-    far = float("inf")
-    # every arc points forward in the order start, nodes by frame, end
-    dist: list[float] = [far] * n
-    dist[start] = 0
-    for x in [start, *range(2 * len(nodes)), end]:
-        if dist[x] < far:
-            for k in graph[x]:
-                if cap[k] and dist[x] + price[k] < dist[to[k]]:
-                    dist[to[k]] = dist[x] + price[k]
-    h = [d if d < far else 0 for d in dist]
-    while True:
-        dist = [far] * n
-        back = [-1] * n
-        dist[start] = 0
-        heap: list[tuple[float, int]] = [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if x == end:
-                break
-            if d > dist[x]:
-                continue
-            for k in graph[x]:
-                y = to[k]
-                if cap[k] and d + price[k] + h[x] - h[y] < dist[y]:
-                    dist[y] = d + price[k] + h[x] - h[y]
-                    back[y] = k
-                    heapq.heappush(heap, (dist[y], y))
-        if dist[end] == far or dist[end] + h[end] - h[start] >= 0:
-            break
-        reach = dist[end]  # nodes further than the sink keep their potential's distance to it
-        h = [a + min(b, reach) for a, b in zip(h, dist, strict=True)]
-        x = end
-        while x != start:
-            cap[back[x]] -= 1
-            cap[back[x] ^ 1] += 1
-            x = to[back[x] ^ 1]
-    return [ab for ab, k in made.items() if cap[k] == 0]
+    n, both = len(nodes), appear + disappear
+    rows: list[list[tuple[int, int]]] = [[(i, -both)] for i in range(n)]
+    more: list[list[tuple[int, int]]] = [[] for _ in range(n)] if divide is not None else []
+    for a, b, c in arcs:
+        rows[index[a]].append((index[b], c - both))
+        if divide is not None and c + divide < 0:
+            more[index[a]].append((index[b], c + divide))
+    column = cheapest_columns(rows + more, n)
+    return [(nodes[i % n], nodes[j]) for i, j in enumerate(column) if j >= 0 and (j != i)]
 
 
 def min_cost_flow(nodes: DataFrame, pairs: DataFrame, boundary: float, bonus: float, divide: float | None = None) -> DataFrame:

@@ -27,7 +27,8 @@ def _counts(links: DataFrame) -> DataFrame:
 def g1_node_matching(k: Tracks) -> DataFrame:
     slim = ("dataset", "node_id", "t", *_XYZ)
     near = joins.gated(k.nodes.select(*slim), k.truth.select(*slim), RULER)
-    return assign.match_nodes(near.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d"))
+    pairs = near.select(F.col("a_dataset").alias("dataset"), F.col("a_t").alias("t"), F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "d")
+    return assign.match_nodes(pairs, sizes=assign.frame_sizes(k.nodes, k.truth))
 
 
 @query(", x AS (SELECT *, count(*) OVER (PARTITION BY dataset, source_id) AS a, count(*) OVER (PARTITION BY dataset, target_id) AS b FROM ca) SELECT dataset, source_id, target_id FROM x WHERE a = 1 AND b = 1")
@@ -62,6 +63,12 @@ def g6_min_cost_flow_linker(k: Tracks) -> DataFrame:
     return linkers.min_cost_flow(k.nodes, k.affinity.filter("d <= 6"), 3.0, 12.0)
 
 
+@query()
+def g6_flow_with_divisions(k: Tracks) -> DataFrame:
+    """A second child is let in where it is worth an appearance and half a micrometre."""
+    return linkers.min_cost_flow(k.nodes, k.affinity, 3.0, 20.0, 0.5)
+
+
 @query()
 def g8_division_ilp_linker(k: Tracks) -> DataFrame:
     return linkers.integer_program(k.affinity, 20.0)
