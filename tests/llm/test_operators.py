@@ -123,6 +123,22 @@ def test_hosts_are_rejected_by_shrunken_rates(spark):
     assert rates["bad", 4].failed == 20 and rates["h1", 1].failed == 1 and 0 < rates["bad", 4].rate < 0.2 + 1e-9
 
 
+def test_hosts_alike_are_all_spared_and_one_apart_is_not(spark):
+    """Rates like the given tables' (5 to 9 in 100): by chance alone no host goes; a host at twice that does, however large it is."""
+    rng = random.Random(7)
+    good = "one two three four five six seven eight nine ten eleven twelve"
+    noisy = good + " " + " ".join(f"$${i}$$" for i in range(20))
+    rows = [(i, noisy if rng.random() < 0.07 else good, "en", f"h{i % 20}") for i in range(8000)]
+    alike = quality.host_verdicts(quality.rated(table(spark, rows))).filter("rule = 4").collect()
+    assert len(alike) == 20 and not any(r.rejected for r in alike) and min(r.failed / r.n for r in alike) < 0.055 < 0.085 < max(r.failed / r.n for r in alike)
+    for n in (400, 4000):
+        more = [(9000 + i, noisy if rng.random() < 0.16 else good, "en", "apart") for i in range(n)]
+        docs = table(spark, rows + more)
+        assert {r.host for r in quality.host_verdicts(quality.rated(docs)).filter("rejected").collect()} == {"apart"}
+        judged = quality.judge(docs).collect()
+        assert {r.host for r in judged if not r.kept} == {"apart"} and any(r.kept and r.failed for r in judged)
+
+
 def test_quality_sql_on_planted_hosts(spark):
     import duckdb
 

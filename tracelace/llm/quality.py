@@ -1,8 +1,8 @@
 """Quality rules with host verdicts.
 
 Rules are columns of one row. Each rule's failures are summed by host; the host's rate is shrunk by a beta prior that is
-fitted to all hosts' rates of that rule; a host is rejected for a rule if the rate lies above a limit beyond doubt; and the
-verdicts are joined back to the documents. A document stays unless it fails the base rules, or fails a rule for which its
+fitted to all hosts' rates of that rule; a host is rejected for a rule if the rate lies above the hosts' mean by a margin
+beyond doubt; and the verdicts are joined back to the documents. A document stays unless it fails the base rules, or fails a rule for which its
 host is rejected: one that fails no rule stays wherever it is.
 """
 
@@ -25,8 +25,8 @@ class Rules:
     repeat_share: int = 20
     symbol_share: int = 3
     dup_lines: int = 3
-    #: A host is rejected for a rule if its shrunken rate, less ``doubt`` deviations of the posterior, is above this.
-    host_rate: float = 0.02
+    #: A host is rejected for a rule if its shrunken rate, less ``doubt`` deviations of the posterior, is above the prior's mean by this share of it.
+    margin: float = 0.25
     doubt: float = 1.645
 
 
@@ -94,23 +94,29 @@ def rated(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> Data
 def host_verdicts(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """host, rule (its bit), n, failed, rate (shrunken) and rejected, for every host and rule; a null host is a host.
 
-    A rule's prior has the mean m and variance v of the hosts' rates, each host counting once; a + b = m (1 - m) / v - 1
-    where that is positive, else the prior is even (1, 1). ``rows`` has host and failed. The sums by host are partial
-    aggregates, and the priors are one row a rule.
+    A rule's prior is fitted by moments in which hosts weigh as they are large: m is the failures' share of all rows, and the
+    hosts' rates vary around it by m (1 - m) (K - 1) at least, which is what sampling alone gives. What is beyond that is the
+    correlation r of two rows of one host, and a + b = 1 / r - 1. Where there is none, hosts don't differ: all have the rate
+    m and none is rejected. ``rows`` has host and failed. The sums by host are partial aggregates, and the priors are one row
+    a rule.
     """
     bits = [F.count_if(F.col("failed").bitwiseAND(F.lit(1 << i)) != 0).alias(f"_f{i}") for i in range(len(NAMES))]
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *bits)
     pairs = F.array(*[F.struct(F.lit(1 << i).alias("rule"), F.col(f"_f{i}").alias("failed")) for i in range(len(NAMES))])
     hosts = hosts.select("host", "n", F.explode(pairs).alias("_p")).select("host", "n", "_p.*")
-    raw = F.col("failed") / F.col("n")
-    m, v = F.col("_m"), F.col("_v")
-    prior = hosts.groupBy("rule").agg(F.avg(raw).alias("_m"), F.var_pop(raw).alias("_v"))
-    strength = F.when((v > 0) & (m * (1 - m) > v), m * (1 - m) / v - 1)
-    prior = prior.select("rule", F.coalesce(m * strength, F.lit(1.0)).alias("_a"), F.coalesce((1 - m) * strength, F.lit(1.0)).alias("_b"))
-    a, b = F.col("failed") + F.col("_a"), F.col("n") - F.col("failed") + F.col("_b")
-    rate = a / (a + b)
-    sure = rate - F.lit(rules.doubt) * F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return hosts.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", rate.alias("rate"), (sure > rules.host_rate).alias("rejected"))
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.groupBy("rule").agg(F.sum(n).alias("_n"), F.sum(failed).alias("_f"), F.sum(n * n).alias("_q"), F.sum(failed * failed / n).alias("_s"), F.count(F.lit(1)).alias("_k"))
+    m, k = F.col("_f") / F.col("_n"), F.col("_k") - 1
+    even = m * (1 - m)
+    spread = even * (F.col("_n") - F.col("_q") / F.col("_n") - k)
+    alike = F.when(spread > 0, (F.col("_s") - F.col("_n") * m * m - even * k) / spread)
+    strength = F.when(alike > 0, F.greatest(1 / alike - 1, F.lit(0.0)))
+    prior = sums.select("rule", m.alias("_m"), strength.alias("_w"))
+    total = n + F.col("_w")
+    rate = (failed + F.col("_m") * F.col("_w")) / total
+    sure = rate - F.lit(rules.doubt) * F.sqrt(rate * (1 - rate) / (total + 1))
+    rejected = F.coalesce(sure > (1 + rules.margin) * F.col("_m"), F.lit(False))
+    return hosts.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", F.coalesce(rate, F.col("_m")).alias("rate"), rejected.alias("rejected"))
 
 
 def _rejected(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -162,10 +168,11 @@ b AS (SELECT *, n_words < {R.least_words} OR 100 * n_repeat_words > {R.repeat_sh
   [n_words < {R.least_words}, 100 * n_repeat_words > {R.repeat_share} * n_words, 100 * n_symbols > {R.symbol_share} * word_chars, n_dup_lines > {R.dup_lines}] AS fs FROM f),
 u AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest(fs) AS bad FROM b),
 h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS failed FROM u GROUP BY ALL),
-m AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),
-s AS (SELECT rule, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (m * (1 - m) / v - 1) ELSE 1 END AS pa, CASE WHEN v > 0 AND m * (1 - m) > v THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1 END AS pb FROM m),
-q AS (SELECT source, rule, (failed + pa) / (n + pa + pb) AS rate, n + pa + pb AS total FROM h JOIN s USING (rule)),
-r AS (SELECT source, sum(CASE WHEN rate - {R.doubt} * sqrt(rate * (1 - rate) / (total + 1)) > {R.host_rate} THEN 1 << (rule - 1) ELSE 0 END)::INTEGER AS host_rules FROM q GROUP BY source)
+a AS (SELECT rule, sum(n::DOUBLE) AS n, sum(failed::DOUBLE) AS f, sum(n::DOUBLE * n) AS q, sum(failed::DOUBLE * failed / n) AS s, count(*) - 1 AS k FROM h GROUP BY rule),
+m AS (SELECT rule, f / n AS m, CASE WHEN f / n * (1 - f / n) * (n - q / n - k) > 0 THEN (s - n * (f / n) * (f / n) - f / n * (1 - f / n) * k) / (f / n * (1 - f / n) * (n - q / n - k)) END AS alike FROM a),
+s AS (SELECT rule, m, CASE WHEN alike > 0 THEN greatest(1 / alike - 1, 0) END AS w FROM m),
+q AS (SELECT source, rule, m, (failed + m * w) / (n + w) AS rate, n + w AS total FROM h JOIN s USING (rule)),
+r AS (SELECT source, sum(CASE WHEN rate - {R.doubt} * sqrt(rate * (1 - rate) / (total + 1)) > (1 + {R.margin}) * m THEN 1 << (rule - 1) ELSE 0 END)::INTEGER AS host_rules FROM q GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rules,
   NOT base_failed AND NOT (fs[3] AND host_rules & 4 <> 0) AND NOT (fs[4] AND host_rules & 8 <> 0) AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source"""
