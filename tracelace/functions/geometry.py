@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,11 @@ def radius_voxels(radius: Column, spacing: Spacing = Spacing()) -> Column:
     return F.struct(*[(radius / F.lit(getattr(spacing, a))).alias(a) for a in AXES])
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squared(dz: Column, dy: Column, dx: Column) -> Column:
     return dz * dz + dy * dy + dx * dx
 
