@@ -206,13 +206,14 @@ def tail_verdict(features: DataFrame, population: str, positive: str, against: s
     """
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in FEATURES])
-    both = features.filter(F.col(population).isin(positive, against)).select("dataset", "node_id", (F.col(population) == against).cast("long").alias("_a"), F.explode(pairs).alias("_f")).select("dataset", "node_id", "_a", "_f.*")
+    own = written(features.filter(F.col(population).isin(positive, against)), "population-features")
+    both = own.select("dataset", "node_id", (F.col(population) == against).cast("long").alias("_a"), F.explode(pairs).alias("_f")).select("dataset", "node_id", "_a", "_f.*")
     ranged = written(both.repartitionByRange(parts, "feature", "value").withColumn("_part", F.spark_partition_id()), "ranged-features")
     sums = ranged.groupBy("feature", "_part").agg(F.sum("_a").alias("_s"))
     w = W.partitionBy("feature")
     moved = sums.select("feature", "_part", F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(w).alias("_every"))
-    own = W.partitionBy("feature", "_part")
-    ranked = ranged.withColumn("_upto", F.sum("_a").over(own.orderBy("value"))).withColumn("_equal", F.sum("_a").over(W.partitionBy("feature", "_part", "value"))).filter("_a = 0").join(moved, ["feature", "_part"])
+    here = W.partitionBy("feature", "_part")
+    ranked = ranged.withColumn("_upto", F.sum("_a").over(here.orderBy("value"))).withColumn("_equal", F.sum("_a").over(W.partitionBy("feature", "_part", "value"))).filter("_a = 0").join(moved, ["feature", "_part"])
     ranked = ranked.withColumn("percentile", F.when(F.col("_every") > 0, 100.0 * (F.col("_before") + F.col("_upto") - 0.5 * F.col("_equal")) / F.col("_every")))
     return ranked.select("dataset", "node_id", "feature", "value", "percentile", ((F.col("percentile") >= tail) | (F.col("percentile") <= 100 - tail)).alias("separates"))
 
