@@ -72,3 +72,28 @@ def hardest(pairs: DataFrame, match: DataFrame, most: int) -> DataFrame:
     j = pairs.join(m, ["dataset", "node_id"], "left").fillna(False, ["matched"])
     k = F.row_number().over(W.partitionBy("dataset", "t").orderBy(F.desc("matched"), F.desc("score"), "node_id"))
     return j.withColumn("_k", k).filter(F.col("matched") | (F.col("_k") <= most)).drop("_k")
+
+
+def carried_tracks(labelled: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
+    """dataset, component: whole tracks in the order of a seeded hash while their detections stay within ``ratio`` of the unmatched ones; the first always.
+
+    ``labelled``: detections with the component that they stand for, null for none. The order depends on the names of the
+    dataset and of the track alone, so a rebuild carries the same tracks.
+    """
+    per = labelled.filter("component is not null").groupBy("dataset", "component").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = labelled.groupBy("dataset").agg(F.count_if(F.col("component").isNull()).alias("_crowd"))
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "dataset", F.col("component").cast("string")).cast("binary"), 256)
+    w = W.partitionBy("dataset").orderBy("_h", "component")
+    ranked = per.withColumn("_h", order).withColumns({"_k": F.row_number().over(w), "_sum": F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))}).join(crowd, "dataset")
+    return ranked.filter((F.col("_k") == 1) | (F.col("_sum") <= ratio * F.col("_crowd"))).select("dataset", "component")
+
+
+def ratio_matched(labelled: DataFrame, carried: DataFrame, keep: int) -> DataFrame:
+    """dataset, t, node_id, component of a frame's carried detections and its best-scored unmatched ones, ``keep`` in all unless the carried are more.
+
+    Detections of tracks that aren't carried go: they are cells, and no negatives. ``labelled`` has t and score.
+    """
+    own = labelled.join(carried.withColumn("_own", F.lit(True)), ["dataset", "component"], "left").filter(F.col("_own") | F.col("component").isNull())
+    w = W.partitionBy("dataset", "t")
+    rows = own.withColumn("_p", F.count("_own").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.col("_own").isNotNull(), F.desc("score"), "node_id")))
+    return rows.filter(F.col("_own") | (F.col("_k") <= F.greatest(F.lit(0), keep - F.col("_p")))).select("dataset", "t", "node_id", "component")
