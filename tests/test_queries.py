@@ -14,6 +14,7 @@ SOME = (
     "r6_bridge_proposals", "r8_affinity_division_recovery", "s7_submission_round_trip", "z4_windowed_stream", "q22_run_states", "m20_prune_price", "m31_score_ceiling", "m32_operating_points", "q25_corpus_audit",
     "q6_drift_field", "q7_residual_explained", "r9_fork_rankings", "r12_safe_divisions", "w22_line_fitted", "m13_simplified_counts", "m30_resolved_after_shrinking", "p21_confirmed_centres",
     "n13_offset_target_and_loss", "q14_boundaries_explained", "loss_centre_contrastive", "loss_slack_row", "loss_sigreg", "z5_sessions", "z4_sliding_windows", "t6_hardest_unmatched",
+    "r10_strict_proposals", "r11_gap_proposals", "r13_fork_geometry", "r14_cytokinesis_rescue", "p32_refined_centroids", "a28_second_moments", "n4_ratio_matched_windows", "p2_p3_voxels_and_radii", "p5_p15_normalised_and_floored",
 )
 
 
