@@ -19,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelace.llm.common import WORD
 from tracelace.storage import written
 
 #: Two polynomials' bases (odd, so that they have inverses modulo 2 to the 64th).
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: A chunk's bytes of text, at least and at most, and the hashes of one range. A block has fewer hashes as the input
-#: grows (some 100 at 1 TB), so beyond that executors with more memory should take larger ranges.
+#: grows (some 130 at 1 TB), so beyond that executors with more memory should take larger ranges.
 LEAST_CHUNK, MOST_CHUNK, RANGE_HASHES = 4 << 20, 32 << 20, 4_000_000
 
 
@@ -107,7 +108,7 @@ _PLACE = np.dtype([("s", "i8"), ("k", "i8"), ("h", "i8")])
 
 
 def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int, int]:
-    """(_id, _text deflated, _times and the order's columns, _chunk), the number of chunks, and the words' upper bound.
+    """(_id, _text deflated, _times and the order's columns, _chunk), the number of chunks, and the number of words.
 
     Ids, text hashes and sizes alone are sorted by Spark; walking along them, each task begins a chunk wherever the one at
     hand is full. So far-off ids don't matter, and rows of one id (null, too) are split by their texts' hashes. Rows alike
@@ -119,8 +120,8 @@ def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = No
     held = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.col(ident).cast("long") if whole else F.xxhash64(F.col(ident).cast("string"))
     rows = docs.select(F.col(ident).alias("_id"), held.alias("_text"), F.col(ident).isNotNull().cast("long").alias("_set"), F.coalesce(key, F.lit(0)).cast("long").alias("_key"), F.xxhash64(held).alias("_hash"))
-    slim = written(rows.select(*_ORDER, F.octet_length("_text").cast("long").alias("_bytes")), "window-sizes")
-    total = slim.agg(F.sum("_bytes")).first()[0] or 0
+    slim = written(rows.select(*_ORDER, F.octet_length("_text").cast("long").alias("_bytes"), F.regexp_count("_text", F.lit(WORD)).cast("long").alias("_words")), "window-sizes")
+    total, words = (x or 0 for x in slim.agg(F.sum("_bytes"), F.sum("_words")).first())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = chunk_bytes or min(max(total // (4 * parts), LEAST_CHUNK), MOST_CHUNK)
     often = written(slim.groupBy(*_ORDER).agg(F.sum("_bytes").alias("_all"), F.count(F.lit(1)).alias("_times")).filter((F.col("_all") > size) & (F.col("_times") > 1)).drop("_all"), "window-often")
@@ -160,7 +161,7 @@ def chunked(docs: DataFrame, ident: str, text: str, chunk_bytes: int | None = No
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(chunk, 0).astype(np.int32))], names=[*batch.schema.names, "_chunk"])
 
     schema = ", ".join(f"{c} {'binary' if c == '_text' else k}" for c, k in rows.dtypes)
-    return rows.mapInArrow(deal, schema + ", _chunk int"), max(1, len(bounds)), total // 2 + 1
+    return rows.mapInArrow(deal, schema + ", _chunk int"), max(1, len(bounds)), words
 
 
 def deduplicated(docs: DataFrame, window: int = 20, ident: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
@@ -263,7 +264,9 @@ def deduplicated(docs: DataFrame, window: int = 20, ident: str = "doc_id", text:
     def cut_table(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         return pa.Table.from_batches(cut(texts, repeats))
 
-    sent = rows.groupBy("_chunk").applyInArrow(send, "_range int, _from int, _block binary")
+    # a task has four groups or so, however many there are
+    rows = rows.repartition(max(parts, math.ceil(chunks / 4)), "_chunk")
+    sent = rows.groupBy("_chunk").applyInArrow(send, "_range int, _from int, _block binary").repartition(max(parts, math.ceil(ranges / 4)), "_range")
     repeats = sent.groupBy("_range").applyInArrow(compare, "_chunk int, _block binary")
     schema = f"_id {id_type.simpleString()}, _times long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
     out = rows.groupBy("_chunk").cogroup(repeats.groupBy("_chunk")).applyInArrow(cut_table, schema)
