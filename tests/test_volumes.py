@@ -202,3 +202,25 @@ def test_percentiles_split_ties(spark):
             want = 100 * (np.mean(others[:, k] < rows[i][3 + k]) + 0.5 * np.mean(others[:, k] == rows[i][3 + k]))
             assert math.isclose(got[i, name][0], want) and got[i, name][1] == (want >= 90 or want <= 10)
     assert len(got) == 42
+
+
+def test_correlations_and_ranks_equal_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    look = {i: rng.random(12).round(2).tolist() for i in range(12)} | {12: [1.0] * 12, 13: [0.5] * 12}
+    whole = spark.createDataFrame([("a", i, 0, v) for i, v in look.items()], "dataset string, node_id long, t int, voxels array<float>")
+    pairs = [(s, t) for s in range(4) for t in range(4, 14) if (s + t) % 3]
+    df = spark.createDataFrame([("a", s, t) for s, t in [*pairs, (0, 99)]], "dataset string, source_id long, target_id long")
+    scored = patches.alike(df, whole)
+    got = {(r.source_id, r.target_id): r.ncc for r in scored.collect()}
+    assert set(got) == set(pairs)
+    for (s, t), v in got.items():
+        flat = t >= 12
+        assert (v is None) == flat and (flat or math.isclose(v, np.corrcoef(np.float32(look[s]).astype(float), np.float32(look[t]).astype(float))[0, 1], abs_tol=1e-9))
+    truth = spark.createDataFrame([("a", 0, 4), ("a", 1, 12), ("a", 2, 50)], "dataset string, source_id long, target_id long")
+    ranks = {(r.source_id, r.target_id): (r["rank"], r.n) for r in patches.identity_ranks(scored, truth).collect()}
+    want = {}
+    for s, t in [(0, 4), (1, 12)]:
+        if (s, t) in got:
+            order = sorted((x for x in pairs if x[0] == s), key=lambda x: (got[x] is None, -(got[x] or 0), x[1]))
+            want[s, t] = (order.index((s, t)) + 1, len(order))
+    assert ranks == want and ranks

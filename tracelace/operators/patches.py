@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracelace.functions.geometry import AXES, Spacing, once, squared
+from tracelace.operators import voxels
 from tracelace.storage import written
 
 Triple = tuple[int, int, int]
@@ -233,3 +234,20 @@ def raw_boxes(box: DataFrame, half: Triple, align: bool = False) -> DataFrame:
     back = lambda i, a, n: F.pmod(i - F.col(f"_m{a}"), F.lit(n))
     rows = F.transform(F.sequence(F.lit(0), F.lit(int(np.prod(size)) - 1)), lambda k: F.get("_v", ((back(F.floor(k / (size[1] * size[2])), "z", size[0]) * size[1] + back(F.floor(k / size[2]) % size[1], "y", size[1])) * size[2] + back(k % size[2], "x", size[2])).cast("int")))
     return whole.select("dataset", "node_id", "t", rows.alias("voxels"))
+
+
+def alike(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """``pairs`` (dataset, source_id, target_id) whose ends have whole boxes, with ``ncc``, the correlation of these; null where one is flat."""
+    ends = [whole.select("dataset", F.col("node_id").alias(k), F.col("voxels").alias(f"_{k}")) for k in ("source_id", "target_id")]
+    met = pairs.join(ends[0], ["dataset", "source_id"]).join(ends[1], ["dataset", "target_id"])
+    return met.select(*pairs.columns, voxels.correlation("_source_id", "_target_id").alias("ncc"))
+
+
+def identity_ranks(scored: DataFrame, truth: DataFrame, score: str = "ncc") -> DataFrame:
+    """dataset, source_id, target_id, rank, n: where a source's true target stands by ``score`` among all its candidates.
+
+    Higher comes first, none last, ties go to the smaller id. Chance alone has the true one first in one of ``n``.
+    """
+    w = W.partitionBy("dataset", "source_id")
+    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last(score), "target_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return ranked.join(truth.select("dataset", "source_id", "target_id").distinct(), ["dataset", "source_id", "target_id"], "left_semi").select("dataset", "source_id", "target_id", "rank", "n")

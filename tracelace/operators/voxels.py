@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tracelace.functions.geometry import once
 from tracelace.operators.groups import spread
 
 FRAME = "dataset string, t int, shape array<int>, voxels array<float>"
@@ -136,10 +138,13 @@ def log_response(a: np.ndarray, sigma: tuple[float, float, float]) -> np.ndarray
     return out
 
 
-def correlation(a: str, b: str) -> "F.Column":
+def correlation(a: str, b: str) -> Column:
     """Normalised cross-correlation of two arrays of one length, null where either is flat."""
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
-    da, db = F.transform(F.col(a), lambda x: x - mean(F.col(a))), F.transform(F.col(b), lambda x: x - mean(F.col(b)))
     total = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size = F.sqrt(total(da, da) * total(db, db))
-    return F.when(size > 0, total(da, db) / size)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    centred = lambda c: once(mean(c), lambda m: F.transform(c, lambda x: x - m))
+
+    def of(p: Column) -> Column:
+        return once(F.sqrt(total(p["a"], p["a"]) * total(p["b"], p["b"])), lambda size: F.when(size > 0, total(p["a"], p["b"]) / size))
+
+    return once(F.struct(centred(F.col(a)).alias("a"), centred(F.col(b)).alias("b")), of)

@@ -127,3 +127,29 @@ def q21_merge_referee(k: Tracks) -> DataFrame:
     shares = ("fragment_share", "single_share", "merged_share")
     out = basins.referee(coarse, fine, 0.4, 4, (1, 2))
     return out.select(*[r6(c).alias(c) if c in shares else F.col(c) for c in out.columns])
+
+
+_ALIKE = _box(LOOK) + """, wb AS (SELECT dataset, node_id, list(v ORDER BY vz, vy, vx) AS l FROM bx GROUP BY ALL HAVING count(*) = 243),
+cb AS (SELECT dataset, node_id, list_transform(l, lambda x: x - m) AS c FROM (SELECT *, list_avg(l) AS m FROM wb)),
+ni AS (SELECT ca.dataset, source_id, target_id, round(CASE WHEN list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c) > 0 THEN list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)) END, 6) AS ncc
+  FROM ca JOIN cb a ON a.dataset = ca.dataset AND a.node_id = source_id JOIN cb b ON b.dataset = ca.dataset AND b.node_id = target_id),
+nr AS (SELECT *, row_number() OVER (PARTITION BY dataset, source_id ORDER BY ncc DESC NULLS LAST, target_id)::INTEGER AS rank, count(*) OVER (PARTITION BY dataset, source_id) AS n FROM ni),
+tk AS (SELECT nr.* FROM nr WHERE EXISTS (SELECT 1 FROM te WHERE te.dataset = nr.dataset AND te.source_id + 10000000 = nr.source_id AND te.target_id + 10000000 = nr.target_id))"""
+
+
+def _scored(k: Tracks) -> DataFrame:
+    whole = written(patches.raw_boxes(_boxes(k, LOOK), LOOK), "whole-boxes")
+    return patches.alike(k.candidates.select("dataset", "source_id", "target_id"), whole).withColumn("ncc", r6("ncc"))
+
+
+@query(_ALIKE + " SELECT dataset, source_id, target_id, ncc FROM ni")
+def q28_candidate_correlations(k: Tracks) -> DataFrame:
+    return _scored(k)
+
+
+@query(_ALIKE + " SELECT dataset, count(*) AS n_true, count(*) FILTER (WHERE rank = 1) AS n_first, round(avg(rank), 6) AS mean_rank, round(sum(1.0::DOUBLE / n), 6) AS first_by_chance FROM tk GROUP BY dataset")
+def q19_identity_against_chance(k: Tracks) -> DataFrame:
+    """How often the true target looks most like its source among all within the gate, and how often chance would have it so."""
+    truth = k.truth_edges.select("dataset", (F.col("source_id") + 10_000_000).alias("source_id"), (F.col("target_id") + 10_000_000).alias("target_id"))
+    ranks = patches.identity_ranks(_scored(k), truth)
+    return ranks.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_true"), F.count_if(F.col("rank") == 1).alias("n_first"), r6(F.avg("rank")).alias("mean_rank"), r6(F.sum(1 / F.col("n"))).alias("first_by_chance"))
