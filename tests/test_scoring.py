@@ -51,3 +51,31 @@ def test_edge_counts(scored, name):
 @pytest.mark.parametrize("name", CASES)
 def test_division_counts(scored, name):
     assert scored[1].get(name, (0, 0, 0)) == CASES[name][5]
+
+
+def test_division_reach(spark):
+    """A missed division by where it was lost: a daughter claimed by another track, a parent without a child, forks on known tissue."""
+    far = [(4, 0, 10, 300, 10), (5, 1, 10, 300, 10)]
+    cases = {
+        "recovered": (P_NODES, P_EDGES),
+        "one_orphan_daughter": (P_NODES, P_EDGES[:2]),
+        "both_claimed": ([*P_NODES, (110, 1, 10, -4, 10)], [*P_EDGES[:2], (110, 103)]),
+        "childless_parent": (P_NODES, [(100, 101)][:0]),
+        "childless_and_claimed": ([*P_NODES, (110, 1, 10, -40, 10), (111, 1, 10, 60, 10)], [(110, 103), (111, 102)]),
+        "daughter_missing": (P_NODES[:3], P_EDGES[:2]),
+        "spurious_fork": ([*P_NODES, (104, 0, 10, 300, 10), (105, 1, 10, 300, 10), (106, 1, 10, 310, 10)], [*P_EDGES, (104, 105), (104, 106)]),
+    }
+    gather = lambda xs: __import__("functools").reduce(lambda a, b: a.unionByName(b), xs).coalesce(2).cache()
+    truth = [_graph(spark, n, NODES + far, [*EDGES, (4, 5)]) for n in cases]
+    pred = [_graph(spark, n, a, b) if b else (_graph(spark, n, a, [(1, 2)])[0], _graph(spark, n, a, [(1, 2)])[1].limit(0)) for n, (a, b) in cases.items()]
+    rows = divisions.division_counts(gather([x[0] for x in pred]), gather([x[1] for x in pred]), gather([x[0] for x in truth]), gather([x[1] for x in truth])).collect()
+    got = {r.dataset: (r.div_tp, r.nodes_missing, r.no_fork, r.fork_rejected, r.unproposable, r.no_kept_child, r.spurious) for r in rows}
+    assert got == {
+        "recovered": (1, 0, 0, 0, 0, 0, 0),
+        "one_orphan_daughter": (0, 0, 1, 0, 0, 0, 0),
+        "both_claimed": (0, 0, 1, 0, 1, 0, 0),
+        "childless_parent": (0, 0, 1, 0, 0, 1, 0),
+        "childless_and_claimed": (0, 0, 1, 0, 1, 1, 0),
+        "daughter_missing": (0, 1, 0, 0, 0, 0, 0),
+        "spurious_fork": (1, 0, 0, 0, 0, 0, 1),
+    }

@@ -44,13 +44,17 @@ def _invalid(kids: DataFrame, edges: DataFrame, match: DataFrame, components: Da
 
 
 def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_edges: DataFrame, ruler: float = 7.0) -> DataFrame:
-    """A row for each dataset with truth: div_tp, div_fp, div_fn and how misses split (nodes_missing, no_fork, fork_rejected).
+    """A row for each dataset with truth: div_tp, div_fp, div_fn, how misses split (nodes_missing, no_fork, fork_rejected),
+    of those without a fork how many no second daughter can be proposed for, and spurious forks.
 
     A division is recovered by a predicted fork whose parent side matches the divider or its parents and whose children's
     lineages reach two different daughters' lineages (a daughter or its children), each fork and division used once. Raw
     edges count towards forks. A division counts forks near it only where its parent side and two daughters are detected.
     A fork is invalid if a child has another parent, or its branches point at different components of the truth. False are
     the invalid forks, those near a division and those on truth that has a child, less the recovered.
+    A division without a fork is unproposable if every detection that stands for a daughter has a parent already, and has
+    no_kept_child if no detection on its parent side has exactly one child. Spurious are the forks that are invalid or on
+    truth that has a child, less the recovered; forks that are merely near a division aren't.
     The matching of nodes is done anew for each division's window, so annotations further away can't compete.
     """
     slim = ["dataset", "node_id", "t", "uz", "uy", "ux"]
@@ -92,12 +96,19 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
     mm = all_match.select("dataset", F.col("pred_id").alias("node_id"), "gt_id")
     has_out = ge.select("dataset", F.col("source_id").alias("gt_id")).distinct()
     evaluable = forks.join(mm.withColumnRenamed("node_id", "fork_id"), ["dataset", "fork_id"]).join(has_out, ["dataset", "gt_id"], "left_semi").select("dataset", "fork_id")
-    charged = considered.select("dataset", "fork_id").union(evaluable).union(invalid).distinct()
+    spurious = evaluable.union(invalid).distinct().withColumn("_x", F.lit(True))
+    charged = considered.select("dataset", "fork_id").union(evaluable).union(invalid).distinct().join(spurious, ["dataset", "fork_id"], "left")
 
+    heads = match.join(daughters.withColumnRenamed("daughter", "gt_id"), ["dataset", "division_id", "gt_id"]).select("dataset", "division_id", F.col("pred_id").alias("target_id"))
+    free = heads.join(own.select("dataset", "target_id").distinct(), ["dataset", "target_id"], "left_anti").select("dataset", "division_id").distinct().withColumn("_free", F.lit(True))
+    single = own.groupBy("dataset", F.col("source_id").alias("fork_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("dataset", "fork_id")
+    kept = upper.join(single, ["dataset", "fork_id"], "left_semi").select("dataset", "division_id").distinct().withColumn("_kept", F.lit(True))
     near_forks = considered.groupBy("dataset", "division_id").agg(F.count(F.lit(1)).alias("_f"))
     state = divider.select("dataset", "division_id").join(supported.withColumn("_s", F.lit(1)), ["dataset", "division_id"], "left").join(near_forks, ["dataset", "division_id"], "left").fillna(0, ["_s", "_f"])
-    rows = state.select("dataset", "division_id", F.lit(None).cast("long").alias("fork_id"), (F.when(F.col("_s") == 0, "nodes_missing").when(F.col("_f") == 0, "no_fork").otherwise("fork_rejected")).alias("state"))
-    rows = rows.unionByName(links.withColumn("state", F.lit("link"))).unionByName(charged.select("dataset", F.lit(None).cast("long").alias("division_id"), "fork_id", F.lit("charged").alias("state")))
+    state = state.join(free, ["dataset", "division_id"], "left").join(kept, ["dataset", "division_id"], "left")
+    rows = state.select("dataset", "division_id", F.lit(None).cast("long").alias("fork_id"), (F.when(F.col("_s") == 0, "nodes_missing").when(F.col("_f") == 0, "no_fork").otherwise("fork_rejected")).alias("state"), F.col("_free").isNull().alias("unproposable"), F.col("_kept").isNull().alias("no_kept_child"), F.lit(False).alias("spurious"))
+    rows = rows.unionByName(links.withColumn("state", F.lit("link")), allowMissingColumns=True)
+    rows = rows.unionByName(charged.select("dataset", F.lit(None).cast("long").alias("division_id"), "fork_id", F.lit("charged").alias("state"), F.coalesce("_x", F.lit(False)).alias("spurious")), allowMissingColumns=True)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         link = pdf[pdf["state"] == "link"]
@@ -107,6 +118,9 @@ def division_counts(nodes: DataFrame, edges: DataFrame, truth: DataFrame, truth_
         misses = pdf[pdf["division_id"].notna() & (pdf["state"] != "link")]
         misses = misses[~misses["division_id"].astype("int64").isin(won)]
         n = misses["state"].value_counts()
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "div_tp": [len(got)], "div_fp": [len(false)], "div_fn": [len(misses)], **{k: [int(n.get(k, 0))] for k in ("nodes_missing", "no_fork", "fork_rejected")}})
+        bare = misses[misses["state"] == "no_fork"]
+        extra = {k: [int(bare[k].astype(bool).sum())] for k in ("unproposable", "no_kept_child")}
+        odd = set(pdf.loc[(pdf["state"] == "charged") & pdf["spurious"].eq(True), "fork_id"].astype("int64")) - set(got)
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "div_tp": [len(got)], "div_fp": [len(false)], "div_fn": [len(misses)], **{k: [int(n.get(k, 0))] for k in ("nodes_missing", "no_fork", "fork_rejected")}, **extra, "spurious": [len(odd)]})
 
-    return rows.transform(spread("dataset")).groupBy("dataset").applyInPandas(count, "dataset string, div_tp long, div_fp long, div_fn long, nodes_missing long, no_fork long, fork_rejected long")
+    return rows.transform(spread("dataset")).groupBy("dataset").applyInPandas(count, "dataset string, div_tp long, div_fp long, div_fn long, nodes_missing long, no_fork long, fork_rejected long, unproposable long, no_kept_child long, spurious long")
