@@ -15,7 +15,7 @@ SOME = (
     "q6_drift_field", "q7_residual_explained", "r9_fork_rankings", "r12_safe_divisions", "w22_line_fitted", "m13_simplified_counts", "m30_resolved_after_shrinking", "p21_confirmed_centres",
     "n13_offset_target_and_loss", "q14_boundaries_explained", "loss_centre_contrastive", "loss_slack_row", "loss_sigreg", "z5_sessions", "z4_sliding_windows", "t6_hardest_unmatched",
     "r10_strict_proposals", "r11_gap_proposals", "r13_fork_geometry", "r14_cytokinesis_rescue", "p32_refined_centroids", "a28_second_moments", "n4_ratio_matched_windows", "p2_p3_voxels_and_radii", "p5_p15_normalised_and_floored",
-    "s5_graph_stores", "s11_candidate_coverage", "q32_registered_places", "q32_registration",
+    "s5_graph_stores", "s11_candidate_coverage", "q32_registered_places", "q32_registration", "r8_runner_up_daughters", "r8_stolen_daughters",
 )
 
 
