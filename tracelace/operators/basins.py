@@ -45,6 +45,22 @@ def labelled(a: np.ndarray) -> np.ndarray:
     return root(label.ravel()).reshape(a.shape)
 
 
+def zones(row, shape: Triple, side: Triple) -> tuple[int, np.ndarray, np.ndarray]:
+    """A block's base for labels, which voxels are its own, not the halo's, and which lie on layers that blocks share."""
+    grid = [-(-n // s) for n, s in zip((row.fy, row.fx), side[1:], strict=True)]
+    home, shared = np.ones(shape, bool), np.zeros(shape, bool)
+    for axis, (at, s) in enumerate(zip((row.bz, row.by, row.bx), side, strict=True)):
+        place = [slice(None)] * 3
+        if shape[axis] > s:
+            place[axis] = slice(s, None)
+            home[tuple(place)] = False
+            shared[tuple(place)] = True
+        if at:
+            place[axis] = slice(0, 1)
+            shared[tuple(place)] = True
+    return ((row.bz * grid[0] + row.by) * grid[1] + row.bx) << 32, home, shared
+
+
 def basins(cut: DataFrame, floor: DataFrame | float, side: Triple = patches.SIDE) -> DataFrame:
     """dataset, t, basin, size and mass: the face-connected pieces of the voxels strictly above the floor.
 
@@ -59,19 +75,7 @@ def basins(cut: DataFrame, floor: DataFrame | float, side: Triple = patches.SIDE
             for row in pdf.itertuples(index=False):
                 a = np.asarray(row.voxels, np.float32).reshape(row.sz, row.sy, row.sx)
                 label = labelled(a > np.float64(row.floor))
-                grid = [-(-n // s) for n, s in zip((row.fy, row.fx), side[1:], strict=True)]
-                base = ((row.bz * grid[0] + row.by) * grid[1] + row.bx) << 32
-                home = np.ones(a.shape, bool)
-                shared = np.zeros(a.shape, bool)
-                for axis, (at, s) in enumerate(zip((row.bz, row.by, row.bx), side, strict=True)):
-                    place = [slice(None)] * 3
-                    if a.shape[axis] > s:
-                        place[axis] = slice(s, None)
-                        home[tuple(place)] = False
-                        shared[tuple(place)] = True
-                    if at:
-                        place[axis] = slice(0, 1)
-                        shared[tuple(place)] = True
+                base, home, shared = zones(row, a.shape, side)
                 inside = home & (label > 0)
                 names, where = np.unique(label[label > 0], return_inverse=True)
                 size = np.bincount(where[home[label > 0]], minlength=len(names))

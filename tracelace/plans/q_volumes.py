@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelace.operators import basins, patches, voxels
+from tracelace.operators import basins, hierarchy, patches, voxels
 from tracelace.plans.q_stages import _GRID
 from tracelace.plans.registry import query, r6
 from tracelace.sources.tracks import Tracks
@@ -153,3 +153,34 @@ def q19_identity_against_chance(k: Tracks) -> DataFrame:
     truth = k.truth_edges.select("dataset", (F.col("source_id") + 10_000_000).alias("source_id"), (F.col("target_id") + 10_000_000).alias("target_id"))
     ranks = patches.identity_ranks(_scored(k), truth)
     return ranks.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_true"), F.count_if(F.col("rank") == 1).alias("n_first"), r6(F.avg("rank")).alias("mean_rank"), r6(F.sum(1 / F.col("n"))).alias("first_by_chance"))
+
+
+#: Falling thresholds, the least and greatest size of a segment in voxels, and rulers: that of separate cells and that of matches.
+_LEVELS, _SIZES, _RULERS = (0.9, 0.7, 0.5, 0.3, 0.15), (40, 4000), (2.87, 7.0)
+
+
+def _segments(k: Tracks) -> DataFrame:
+    tree = hierarchy.tree(patches.blocks(voxels.rendered(k.nodes, _GRID, 1.5), halo=1), _LEVELS)
+    return hierarchy.scored(tree, _LEVELS).filter(F.col("size").between(*_SIZES))
+
+
+@query()
+def q30_segment_separation(k: Tracks) -> DataFrame:
+    """How well height, area and intensity of nested segments tell those nearest to a truth point from the rest."""
+    judged = written(hierarchy.labelled_by(_segments(k), k.truth, _RULERS[1])[0], "judged-segments")
+    out = None
+    for score in ("height", "area", "intensity"):
+        part = hierarchy.separation(judged.withColumn(score, r6(score)), score)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def q30_containment(k: Tracks) -> DataFrame:
+    """How many truth points have a segment within each ruler."""
+    segments = _segments(k)
+    out = None
+    for ruler in _RULERS:
+        part = hierarchy.labelled_by(segments, k.truth, ruler)[1].withColumn("ruler", F.lit(ruler))
+        out = part if out is None else out.unionByName(part)
+    return out
