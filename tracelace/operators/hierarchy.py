@@ -40,13 +40,15 @@ def tree(cut: DataFrame, levels: Sequence[float], side: Triple = patches.SIDE) -
         base, home, shared = basins.zones(row, a.shape, side)
         labels = [basins.labelled(a > np.float64(v)) for v in levels]
         origin = np.array([row.bz, row.by, row.bx]) * side
+        places = np.indices(a.shape).reshape(3, -1) + origin[:, None]
         for level, label in enumerate(labels):
+            if not label.any():
+                continue
             names, first, where = np.unique(label, return_index=True, return_inverse=True)
             where, own = where.ravel(), home.ravel()
             total = lambda w=None: np.bincount(where[own], weights=w, minlength=len(names))  # noqa: B023, E731
             peak = np.full(len(names), -np.inf)
             np.maximum.at(peak, where[own], a.ravel()[own])
-            places = np.indices(a.shape).reshape(3, -1) + origin[:, None]
             out = pd.DataFrame({"label": base + names, "size": total(), "mass": total(a.ravel()[own].astype(float)), **{f"s{x}": total(places[i][own].astype(float)) for i, x in enumerate(AXES)}, "peak": peak})
             out["within"] = pd.array(base + labels[level + 1].ravel()[first] if level + 1 < len(labels) else [None] * len(names), dtype="Int64")
             at = np.argwhere(shared & (label > 0))
@@ -58,9 +60,9 @@ def tree(cut: DataFrame, levels: Sequence[float], side: Triple = patches.SIDE) -
         kinds = {"label": "Int64", "within": "Int64", "size": "Int64"} | {x: "Int32" for x in AXES}
         names = [c.split()[0] for c in _PIECE.split(", ")]
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                for part in pieces_of(row):
-                    yield part.reindex(columns=names).astype(kinds)
+            parts = [part.reindex(columns=names).astype(kinds) for row in pdf.itertuples(index=False) for part in pieces_of(row) if len(part)]
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     pieces = written(cut.mapInPandas(run, _PIECE), "segment-pieces")
     key = ["dataset", "t", "level"]
