@@ -12,18 +12,20 @@ from tracelace.functions.geometry import AXES, norm
 def confirmed(points: DataFrame, heat: DataFrame, window: tuple[int, int, int], floor: float) -> DataFrame:
     """``points`` with ``confirmed``: the largest heat (dataset, t, z, y, x, v) in the window around reaches the floor; true where there is none.
 
-    Cells of the window's size meet their neighbours, so no frame is compared with itself whole.
+    A point goes to the cells of the window's size that its window touches, 8 at most, so no frame is compared with itself
+    whole. Emitted points are more than Spark reckons from the table's size, so they are never broadcast.
     """
-    cell = lambda c, n, p="": F.floor(F.col(f"{p}{c}") / (n + 1)).cast("long")
-    a = points.select("dataset", "t", "node_id", *AXES).withColumns({f"_c{c}": cell(c, n) for c, n in zip(AXES, window, strict=True)})
-    for c in AXES:
-        a = a.withColumn(f"_c{c}", F.explode(F.array(*[F.col(f"_c{c}") + k for k in (-1, 0, 1)])))
-    b = heat.select("dataset", "t", *[F.col(c).alias(f"_h{c}") for c in AXES], "v").withColumns({f"_c{c}": cell(c, n, "_h") for c, n in zip(AXES, window, strict=True)})
-    met = a.join(b, ["dataset", "t", *[f"_c{c}" for c in AXES]])
+    cell = lambda at, n: F.floor(at / (2 * n + 1)).cast("long")
+    a = points.select("dataset", "t", "node_id", *AXES)
+    for c, n in zip(AXES, window, strict=True):
+        reach = n * (1 + 1e-9)
+        a = a.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(c) - reach, n), cell(F.col(c) + reach, n))))
+    b = heat.select("dataset", "t", *[F.col(c).alias(f"_h{c}") for c in AXES], "v").withColumns({f"_c{c}": cell(F.col(f"_h{c}"), n) for c, n in zip(AXES, window, strict=True)})
+    met = a.hint("merge").join(b, ["dataset", "t", *[f"_c{c}" for c in AXES]])
     for c, n in zip(AXES, window, strict=True):
         met = met.filter(F.abs(F.col(c) - F.col(f"_h{c}")) <= n)
     best = met.groupBy("dataset", "node_id").agg(F.max("v").alias("_v"))
-    return points.join(best, ["dataset", "node_id"], "left").withColumn("confirmed", F.coalesce(F.col("_v") >= floor, F.lit(True))).drop("_v")
+    return points.join(best.hint("merge"), ["dataset", "node_id"], "left").withColumn("confirmed", F.coalesce(F.col("_v") >= floor, F.lit(True))).drop("_v")
 
 
 def collisions(points: DataFrame, factor: tuple[int, int, int]) -> DataFrame:
