@@ -75,12 +75,13 @@ def prune_grid(affinity: DataFrame, truth: DataFrame, nodes: DataFrame, real: Da
     """For each (recall, collateral): how many true candidates stand and are the best of both ends (kept), and how many lost
     an end (destroyed), after a pruner takes false detections with the chance ``recall`` and real ones with ``collateral``."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(float(r)).alias("recall"), F.lit(float(c)).alias("collateral")) for i, (r, c) in enumerate(grid)])).alias("_c")
-    n = nodes.select("dataset", "node_id").join(real.select("dataset", "node_id").distinct().withColumn("_real", F.lit(True)), ["dataset", "node_id"], "left").select("*", cells).select("dataset", "node_id", "_real", "_c.*")
-    alive = n.withColumn("_a", drawn(F.col("node_id"), F.col("cell")) >= F.when(F.col("_real"), F.col("collateral")).otherwise(F.col("recall")))
+    n = nodes.select("dataset", "node_id").join(real.select("dataset", "node_id").distinct().withColumn("_real", F.lit(True)), ["dataset", "node_id"], "left")
+    end = lambda key, flag: n.select("dataset", F.col("node_id").alias(key), F.coalesce("_real", F.lit(False)).alias(flag)).hint("merge")
+    alive = lambda key, flag: drawn(F.col(key), F.col("cell")) >= F.when(F.col(flag), F.col("collateral")).otherwise(F.col("recall"))
     flagged = in_set(affinity.select("dataset", "source_id", "target_id", "p"), truth, "source_id", "target_id", "_y")
-    s = alive.select("dataset", F.col("node_id").alias("source_id"), "cell", "recall", "collateral", F.col("_a").alias("_s"))
-    t = alive.select("dataset", F.col("node_id").alias("target_id"), "cell", F.col("_a").alias("_t"))
-    both = flagged.join(s, ["dataset", "source_id"]).join(t, ["dataset", "target_id", "cell"]).withColumn("_live", F.col("_s") & F.col("_t"))
+    # nodes are joined once and the cells come after: what a cell takes is reckoned from the node's id
+    ends = flagged.join(end("source_id", "_s"), ["dataset", "source_id"]).join(end("target_id", "_t"), ["dataset", "target_id"])
+    both = ends.select("dataset", "source_id", "target_id", "p", "_y", "_s", "_t", cells).select("dataset", "source_id", "target_id", "p", "_y", "_s", "_t", "_c.*").withColumn("_live", alive("source_id", "_s") & alive("target_id", "_t"))
     best = [F.max(F.when(F.col("_live"), F.col("p"))).over(W.partitionBy("dataset", "cell", c)) for c in ("source_id", "target_id")]
     won = both.withColumn("_o", best[0]).withColumn("_i", best[1]).filter("_y")
     return won.groupBy("recall", "collateral").agg(F.count_if(F.col("_live") & (F.col("p") >= F.col("_o")) & (F.col("p") >= F.col("_i"))).alias("kept"), F.count_if(~F.col("_live")).alias("destroyed"), F.count(F.lit(1)).alias("total"))
