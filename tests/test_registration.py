@@ -54,3 +54,10 @@ def test_needle_is_the_longest_chain_of_a_dataset(spark):
     nodes = spark.createDataFrame([("a", i, i, 0.0, 0.0, float(i * i)) for i in range(4)] + [("a", 10 + i, i, 5.0, 0.0, float(i)) for i in range(2)], "dataset string, node_id long, t int, uz double, uy double, ux double")
     edges = spark.createDataFrame([("a", i, i + 1, i) for i in range(3)] + [("a", 10, 11, 9)], "dataset string, source_id long, target_id long, edge_seq long")
     assert [tuple(r) for r in registration.needles(nodes, edges).collect()] == [("a", 0, [1.0, 3.0, 5.0])]
+
+
+def test_a_lost_daughter_leaves_the_chain_whole(spark):
+    nodes = spark.createDataFrame([("d", i, i, float(i * i), 0.0, 0.0) for i in range(6)], "dataset string, node_id long, t int, uz double, uy double, ux double")
+    edges = spark.createDataFrame([*[("d", i, i + 1, i + 1) for i in range(5)], ("d", 2, 99, 99)], "dataset string, source_id long, target_id long, edge_seq long")
+    got = registration.needles(nodes, edges).collect()
+    assert [(r.chain_id, len(r.steps)) for r in got] == [(0, 5)]

@@ -19,7 +19,12 @@ XYZ = ("uz", "uy", "ux")
 
 
 def needles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """dataset, chain_id, steps: the step lengths of each dataset's longest chain, of equal ones the least chain_id."""
+    """dataset, chain_id, steps: the step lengths of each dataset's longest chain, of equal ones the least chain_id.
+
+    Only edges between two of the nodes are links: a fork with one daughter that isn't among them goes on as a chain.
+    """
+    for end in ("source_id", "target_id"):
+        edges = edges.join(nodes.select("dataset", F.col("node_id").alias(end)), ["dataset", end], "left_semi")
     chained = motion.chains(nodes, edges)
     longest = audits.longest_chain(chained)
     rows = motion.steps(chained).join(longest, ["dataset", "chain_id"], "left_semi")
