@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelace.operators import audits, joins, placing
+from tracelace.operators import audits, drift, joins, placing
 from tracelace.storage import written
 
 
@@ -49,3 +49,13 @@ def test_prune_grid_broadcasts_no_cells(spark):
     rows = {(r.recall, r.collateral): r for r in got.collect()}
     assert len(rows) == 2 and rows[0.0, 0.0].destroyed == 0 and rows[0.5, 0.1].destroyed > 0
     assert {r.total for r in rows.values()} == {truth.count()}
+
+
+def test_drift_field_deals_votes_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(drift, "PART", 100)
+    cast = spark.range(1000).select(F.lit("d0").alias("dataset"), F.pmod("id", F.lit(40)).cast("int").alias("t"), *[F.pmod("id", F.lit(m)).cast("double").alias(c) for m, c in ((5, "uz"), (7, "uy"), (11, "ux"), (3, "dz"), (4, "dy"), (2, "dx"))])
+    got = drift.field(cast, drift.anchors(cast, 20.0), 12.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dataset#" in plan and ", 10), REPARTITION_BY_NUM" in plan
+    at = drift.at_points(cast.withColumn("node_id", F.monotonically_increasing_id()), got, 12.0)
+    assert at.count() == 1000 and at.filter("fz is null").isEmpty()
