@@ -22,14 +22,17 @@ from tracelace.storage import written
 
 #: A worker keeps the ids of at most so many words, none of them longer than LONGEST bytes: some 120 MB.
 MOST, LONGEST = 600_000, 64
+#: Texts taken from a batch at a time, and words encoded in one string.
+AT_ONCE, JOINED = 1024, 512
 
 
 class Encoder:
     """Token ids of texts whose tokenizer drops white space and letter case, word by word through a cache, in one worker."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, most: int = MOST):
         self.tokenizer = bpe.load(tokenizer_path)
         self.cache: dict[bytes, bytes] = {}
+        self.most = most
 
     def _look(self, words: set[bytes]) -> None:
         """Ids of new words. A word that ends in stops is its stem's ids and the stops' own: the tokenizer cuts between an ASCII letter and a stop."""
@@ -51,7 +54,7 @@ class Encoder:
             if stops not in cache:
                 new.add(stops)
         each = list(new)
-        cache.update(zip(each, bpe.encode_each(self.tokenizer, each), strict=True))
+        cache.update(zip(each, bpe.encode_each(self.tokenizer, each, at_once=JOINED), strict=True))
         for w, stem, stops in made:
             cache[w] = cache[stem] + cache[stops]
 
@@ -59,7 +62,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         cache = self.cache
         for i in range(0, len(texts), 128):
-            if len(cache) > MOST:
+            if len(cache) > self.most:
                 cache.clear()
             cut = [t.split() for t in texts[i : i + 128]]
             got = [list(map(cache.get, c)) for c in cut]
@@ -79,26 +82,28 @@ class Encoder:
                     del cache[w]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, most: int = MOST) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32: each document's ids and ``end_id``, cut only where longer than ``capacity``.
 
     A null or empty text is the end id alone, so every row gives one piece at least; null ids and repeated rows have pieces
-    of their own; long texts are encoded whole; extra columns are left aside; no rows give none.
+    of their own; long texts are encoded whole; extra columns are left aside; no rows give none. ``most``: the words that a
+    worker keeps, which changes the speed and memory only.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.of_worker(("ids", tokenizer_path), lambda: Encoder(tokenizer_path))
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            rows: list[tuple[int, int, int, int, int]] = []
-            for i, ids in enumerate(encoder.of(texts)):
-                ids += end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder = bpe.of_worker(("ids", tokenizer_path, most), lambda: Encoder(tokenizer_path, most))
+        for whole in batches:
+            for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                rows: list[tuple[int, int, int, int, int]] = []
+                for i, ids in enumerate(encoder.of(texts)):
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
@@ -196,6 +201,6 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
     return done.drop("_gap")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, most: int = MOST) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document, under the rules of ``pieces`` and ``pack``."""
-    return pack(written(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer_path, capacity, most=most), "pieces"), capacity)
