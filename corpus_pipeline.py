@@ -52,9 +52,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """A row for each piece of a document: its sequence and place there.
 
     A null or empty text is its end token; a text of more than 4096 tokens has more pieces; null ids and repeated rows have
-    pieces of their own; other columns are left aside; no rows give none.
+    pieces of their own; other columns are left aside; no rows give none. Workers that ran the other stages before keep
+    fewer words, so that executors stay within their memory.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most=200_000)
 
 
 STAGES = [

@@ -1,5 +1,8 @@
+import public_tokenizers
+
 import corpus_pipeline
 from tests.llm.conftest import table
+from tracelace.llm import packing
 from tracelace.storage import written
 
 
@@ -21,3 +24,14 @@ def test_stages_over_no_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, ""), name)
         assert docs.count() == 0
+
+
+def test_fewer_words_kept_and_batches_cut_give_the_same_pieces(spark, dirty, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = sorted(packing.pieces(dirty, path).collect(), key=str)
+    monkeypatch.setattr(packing, "AT_ONCE", 2)
+    assert sorted(packing.pieces(dirty, path, most=5).collect(), key=str) == whole
+    encoder = packing.Encoder(path, 5)
+    for i in range(4):
+        list(encoder.of([b"%d word%d other%d" % (i, i, i) for _ in range(3)]))
+    assert len(encoder.cache) <= 5 + 3
