@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelace.operators import audits, drift, joins, placing
+from tracelace.operators import audits, drift, joins, patches, placing, voxels
 from tracelace.storage import written
 
 
@@ -59,3 +59,12 @@ def test_drift_field_deals_votes_by_their_number(spark, monkeypatch):
     assert "hashpartitioning(dataset#" in plan and ", 10), REPARTITION_BY_NUM" in plan
     at = drift.at_points(cast.withColumn("node_id", F.monotonically_increasing_id()), got, 12.0)
     assert at.count() == 1000 and at.filter("fz is null").isEmpty()
+
+
+def test_boxes_broadcast_no_emitted_points(spark):
+    p = _points(spark, 60)
+    frames = voxels.rendered(p, (16, 48, 48), 0.6)
+    got = patches.boxes(p, written(patches.blocks(frames), "bounded-blocks"), (1, 4, 4))
+    assert _broadcasts(got) == 0
+    inside = {r.node_id: (min(r.z + 1, 15) - max(r.z - 1, 0) + 1) * (r.y + 4 - max(r.y - 4, 0) + 1) * (r.x + 4 - max(r.x - 4, 0) + 1) for r in p.collect()}
+    assert {r.node_id: len(r.box) for r in got.collect()} == inside
