@@ -224,3 +224,28 @@ def test_correlations_and_ranks_equal_a_plain_version(spark):
             order = sorted((x for x in pairs if x[0] == s), key=lambda x: (got[x] is None, -(got[x] or 0), x[1]))
             want[s, t] = (order.index((s, t)) + 1, len(order))
     assert ranks == want and ranks
+
+
+def test_drawn_frames_give_what_rendered_ones_do_and_are_never_sent(spark):
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([("a", t, int(z), int(y), int(x)) for t in range(4) for z, y, x in rng.integers((0, 0, 0), (6, 24, 24), (5, 3))], "dataset string, t int, z int, y int, x int")
+    shape = (6, 24, 24)
+    stored, drawn = voxels.rendered(p, shape, 1.2), voxels.Drawn(p, shape, 1.2)
+    for f in (lambda a: voxels.dog(a, (1.0, 1.5, 1.5)), lambda a: voxels.log_response(a, (1.0, 1.5, 1.5)), lambda a: voxels.pooled(voxels.per_slice(a), 2)):
+        want, got = (voxels.peaks(voxels.mapped(x, f), (1, 2, 2), 0.05) for x in (stored, drawn))
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect())) != []
+        assert "voxels" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smoothing_and_peaks_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    a = np.round(rng.random((4, 7, 6)), 1).astype(np.float32)
+    padded = np.pad(a, [(1, 1), (2, 2), (2, 2)], constant_values=-np.inf)
+    tops = {tuple(p) for p in np.ndindex(a.shape) if a[p] > 0.5 and a[p] == padded[p[0] : p[0] + 3, p[1] : p[1] + 5, p[2] : p[2] + 5].max()}
+    got = voxels.peaks_of(a, (1, 2, 2), 0.5)
+    assert got and {p[:3] for p in got} <= tops and all(v == a[z, y, x] for z, y, x, v in got)
+    kernel = np.array([0.2, 0.5, 0.3])
+    for axis in range(3):
+        wide = np.pad(a.astype(float), [(1, 1) if k == axis else (0, 0) for k in range(3)], mode="symmetric")
+        want = sum(w * np.take(wide, range(i, i + a.shape[axis]), axis=axis) for i, w in enumerate(kernel))
+        assert (voxels._along(a.astype(float), kernel, axis) == want).all()
