@@ -249,3 +249,15 @@ def test_smoothing_and_peaks_equal_plain_loops():
         wide = np.pad(a.astype(float), [(1, 1) if k == axis else (0, 0) for k in range(3)], mode="symmetric")
         want = sum(w * np.take(wide, range(i, i + a.shape[axis]), axis=axis) for i, w in enumerate(kernel))
         assert (voxels._along(a.astype(float), kernel, axis) == want).all()
+
+
+def test_boxes_cut_where_frames_are_drawn_equal_those_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", 100 * t + i, t, int(z), int(y), int(x)) for t in range(3) for i, (z, y, x) in enumerate(rng.integers((-4, -1, -1), (9, 40, 40), (12, 3)))]
+    p = spark.createDataFrame(rows, "dataset string, node_id long, t int, z int, y int, x int")
+    shape, half = (6, 38, 38), (1, 4, 4)
+    want = patches.boxes(p, patches.blocks(voxels.rendered(p, shape, 0.6)), half)
+    got = patches.drawn_boxes(voxels.Drawn(p, shape, 0.6), half)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and 0 < got.count() < 36
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "voxels" not in plan and "Join" not in plan
