@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.test_volumes import flood, frames_of
-from tracelace.operators import hierarchy, patches
+from tracelace.operators import hierarchy, patches, voxels
 
 LEVELS = (0.9, 0.75, 0.6, 0.45)
 
@@ -59,3 +59,14 @@ def test_real_segments_are_the_nearest_of_truth_and_scores_are_cut_at_their_quan
     r = hierarchy.separation(judged, "area", (0.0, 0.5)).first()
     assert (r.n_pos, r.n_neg, round(r.auc, 6), r.recall_at_0, round(r.recall_at_50, 6)) == (2, 3, 0.5, 0.0, round(1 / 3, 6))
     assert hierarchy.separation(judged.filter("not is_real"), "area").first().auc is None
+
+
+def test_tree_of_drawn_frames_equals_that_of_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", t, int(z), int(y), int(x)) for t in range(2) for z, y, x in rng.integers((0, 0, 0), (8, 40, 40), (14, 3))]
+    p = spark.createDataFrame(rows, "dataset string, t int, z int, y int, x int")
+    levels = (0.9, 0.5, 0.15)
+    cuts = patches.blocks(voxels.rendered(p, (8, 40, 40), 1.5), halo=1), voxels.Drawn(p, (8, 40, 40), 1.5)
+    of = lambda cut: sorted((r.t, r.level, r.size, r.children, round(r.merge, 6), *(round(r[c], 6) for c in ("mass", "z", "y", "x", "peak"))) for r in hierarchy.scored(hierarchy.tree(cut, levels), levels).collect())
+    want, got = map(of, cuts)
+    assert got == want and len({r[1] for r in got}) == 3

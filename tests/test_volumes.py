@@ -261,3 +261,16 @@ def test_boxes_cut_where_frames_are_drawn_equal_those_of_blocks(spark):
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and 0 < got.count() < 36
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "voxels" not in plan and "Join" not in plan
+
+
+def test_drawn_basins_and_their_referee_equal_those_of_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, t, int(z), int(y), int(x)) for d in "ab" for t in range(2) for z, y, x in rng.integers((0, 0, 0), (8, 40, 40), (14, 3))]
+    p = spark.createDataFrame(rows, "dataset string, t int, z int, y int, x int")
+    stored, drawn = voxels.rendered(p, (8, 40, 40), 1.5), voxels.Drawn(p, (8, 40, 40), 1.5)
+    of = lambda cut: sorted((r.dataset, r.t, r.size, round(r.mass, 6)) for r in basins.basins(cut, 0.5).collect())
+    assert of(patches.blocks(stored, halo=1)) == of(drawn) != []
+    assert "voxels" not in basins.basins(drawn, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    judged = [basins.referee(voxels.mapped(f, lambda a: voxels.pooled(a, 2)), f, 0.4, 4, (1, 2)) for f in (stored, drawn)]
+    want, got = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in j.collect()) for j in judged)
+    assert got == want and len(got) == 4

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelace.functions.geometry import AXES, Spacing
-from tracelace.operators import basins, joins, patches, scoring
+from tracelace.operators import basins, joins, patches, scoring, voxels
 from tracelace.operators.components import components
 from tracelace.operators.patches import Triple
 from tracelace.storage import scratch, written
@@ -25,46 +25,53 @@ MOST_LEVELS = 16
 _PIECE = "dataset string, t int, level int, label long, within long, size long, mass double, sz double, sy double, sx double, peak double, z int, y int, x int"
 
 
-def tree(cut: DataFrame, levels: Sequence[float], side: Triple = patches.SIDE) -> DataFrame:
+def tree(cut: DataFrame | voxels.Drawn, levels: Sequence[float], side: Triple = patches.SIDE) -> DataFrame:
     """dataset, t, level, segment, parent, size, mass, z, y, x, peak: face-connected pieces strictly above each threshold.
 
-    ``cut``: blocks with a halo of 1. ``levels``: thresholds from high to low, 16 at most; level 0 is the first. A segment's
+    ``cut``: blocks with a halo of 1, or frames that are drawn, which a task holds whole. ``levels``: thresholds from high to low, 16 at most; level 0 is the first. A segment's
     name is unique in its frame; ``parent`` is the segment of the next level that holds it, null at the last. Sizes are in
     voxels, z, y and x the mean place, ``peak`` the greatest value. Frames without a voxel above the lowest threshold give no rows.
     """
     if not 1 <= len(levels) <= MOST_LEVELS or any(a <= b for a, b in zip(levels, levels[1:], strict=False)):
         raise ValueError(f"levels must fall, and be 1 to {MOST_LEVELS}")
 
-    def pieces_of(row) -> Iterator[pd.DataFrame]:
-        a = np.asarray(row.voxels, np.float32).reshape(row.sz, row.sy, row.sx)
-        base, home, shared = basins.zones(row, a.shape, side)
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+    kinds = {"label": "Int64", "within": "Int64", "size": "Int64"} | {x: "Int32" for x in AXES}
+
+    def pieces_of(dataset: str, t: int, a: np.ndarray, base: int, home: np.ndarray, shared: np.ndarray, origin: np.ndarray) -> pd.DataFrame:
         labels = [basins.labelled(a > np.float64(v)) for v in levels]
-        origin = np.array([row.bz, row.by, row.bx]) * side
-        places = np.indices(a.shape).reshape(3, -1) + origin[:, None]
+        parts = []
         for level, label in enumerate(labels):
-            if not label.any():
+            at = np.flatnonzero(label)
+            if not len(at):
                 continue
-            names, first, where = np.unique(label, return_index=True, return_inverse=True)
-            where, own = where.ravel(), home.ravel()
-            total = lambda w=None: np.bincount(where[own], weights=w, minlength=len(names))  # noqa: B023, E731
-            peak = np.full(len(names), -np.inf)
-            np.maximum.at(peak, where[own], a.ravel()[own])
-            out = pd.DataFrame({"label": base + names, "size": total(), "mass": total(a.ravel()[own].astype(float)), **{f"s{x}": total(places[i][own].astype(float)) for i, x in enumerate(AXES)}, "peak": peak})
-            out["within"] = pd.array(base + labels[level + 1].ravel()[first] if level + 1 < len(labels) else [None] * len(names), dtype="Int64")
-            at = np.argwhere(shared & (label > 0))
-            seam = pd.DataFrame({"label": base + label[tuple(at.T)], **{x: (at + origin)[:, i] for i, x in enumerate(AXES)}})
-            for part in (out[names > 0], seam):
-                yield part.assign(dataset=row.dataset, t=row.t, level=level)
+            found, first, where = np.unique(label.ravel()[at], return_index=True, return_inverse=True)
+            own = home.ravel()[at]
+            mine, value = where[own], a.ravel()[at][own]
+            total = lambda w=None: np.bincount(mine, weights=w, minlength=len(found))  # noqa: B023, E731
+            peak = np.full(len(found), -np.inf)
+            np.maximum.at(peak, mine, value)
+            place = np.stack(np.unravel_index(at[own], a.shape)) + origin[:, None]
+            out = {"level": level, "label": base + found, "size": total(), "mass": total(value.astype(float)), **{f"s{x}": total(place[i].astype(float)) for i, x in enumerate(AXES)}, "peak": peak}
+            if level + 1 < len(labels):
+                out["within"] = base + labels[level + 1].ravel()[at[first]]
+            parts.append(pd.DataFrame(out))
+            seam = np.argwhere(shared & (label > 0))
+            if len(seam):
+                parts.append(pd.DataFrame({"level": level, "label": base + label[tuple(seam.T)], **{x: (seam + origin)[:, i] for i, x in enumerate(AXES)}}))
+        out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"level": []}, dtype="int32")
+        return out.assign(dataset=dataset, t=t).reindex(columns=names).astype(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = {"label": "Int64", "within": "Int64", "size": "Int64"} | {x: "Int32" for x in AXES}
-        names = [c.split()[0] for c in _PIECE.split(", ")]
         for pdf in batches:
-            parts = [part.reindex(columns=names).astype(kinds) for row in pdf.itertuples(index=False) for part in pieces_of(row) if len(part)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            for row in pdf.itertuples(index=False):
+                a = np.asarray(row.voxels, np.float32).reshape(row.sz, row.sy, row.sx)
+                yield pieces_of(row.dataset, row.t, a, *basins.zones(row, a.shape, side), np.array([row.bz, row.by, row.bx]) * side)
+
+    def whole(dataset: str, t: int, a: np.ndarray, _: None) -> pd.DataFrame:
+        return pieces_of(dataset, t, a, 0, np.ones(a.shape, bool), np.zeros(a.shape, bool), np.zeros(3, int))
 
-    pieces = written(cut.mapInPandas(run, _PIECE), "segment-pieces")
+    pieces = written(voxels.each(cut, whole, _PIECE) if isinstance(cut, voxels.Drawn) else cut.mapInPandas(run, _PIECE), "segment-pieces")
     key = ["dataset", "t", "level"]
     least = pieces.filter("z is not null").groupBy(*key, *AXES).agg(F.min("label").alias("_least"), F.collect_set("label").alias("_all"))  # eight blocks at most share a voxel
     links = least.select(*key, "_least", F.explode("_all").alias("label")).filter("label != _least").distinct()
