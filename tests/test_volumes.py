@@ -274,3 +274,18 @@ def test_drawn_basins_and_their_referee_equal_those_of_blocks(spark):
     judged = [basins.referee(voxels.mapped(f, lambda a: voxels.pooled(a, 2)), f, 0.4, 4, (1, 2)) for f in (stored, drawn)]
     want, got = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in j.collect()) for j in judged)
     assert got == want and len(got) == 4
+
+
+def test_appearance_measured_where_frames_are_drawn_equals_that_of_boxes(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", 100 * t + i, t, int(z), int(y), int(x)) for t in range(2) for i, (z, y, x) in enumerate(rng.integers((-3, -1, -1), (8, 40, 40), (12, 3)))]
+    rows += [("a", 500, 2, 3, 20, 20), ("a", 501, 2, 0, 0, 37)]
+    p = spark.createDataFrame(rows, "dataset string, node_id long, t int, z int, y int, x int")
+    drawn, half = voxels.Drawn(p, (6, 38, 38), 0.6), (1, 4, 4)
+    want = {r.node_id: r for r in patches.appearance(patches.drawn_boxes(drawn, half), half, 1.8, 2.0).collect()}
+    out = patches.drawn_appearance(drawn, half, 1.8, 2.0)
+    got = {r.node_id: r for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == 20 < len(rows)
+    for k, r in got.items():
+        assert [r[c] for c in patches.FEATURES] == pytest.approx([want[k][c] for c in patches.FEATURES], rel=1e-6, abs=1e-7), k
+    assert "box" not in out._jdf.queryExecution().optimizedPlan().toString()
