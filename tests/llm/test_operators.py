@@ -362,6 +362,22 @@ def test_near_copies_equal_all_pairs_in_a_crowd(spark, monkeypatch):
     assert len(set(at)) == len(set(got.values())) == len({(at[i], got[i]) for i in got})
 
 
+def test_near_copies_meet_in_the_balls_of_fingerprints_first(spark, monkeypatch):
+    found, plain = [], simhash.links
+
+    def links(distinct, radius=2):
+        out = plain(distinct, radius)
+        found.append((distinct.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "links", links)
+    texts = [[f"w{i}x{k}" for k in range(3000)] + ["and"] * end for i in range(4) for end in (0, 1)]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(4)] == [True] * 4 and len(set(got.values())) == 4
+    # each pair's fingerprints are one or lie in one ball
+    assert len(found) == 1 and found[0][0] - found[0][1] == 4
+
+
 def test_a_private_key_goes_with_its_body(spark):
     body = "\n".join("MIIEvQ" + c * 58 for c in "abc")
     whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"

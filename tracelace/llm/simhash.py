@@ -182,8 +182,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Two sets of n and m shingles that are alike share s / (1 + s) (n + m) of them at least. So in one order of all shingles,
     rare ones first, the first that they share has so many from it on in both; a text is placed at each of its shingles
     that leaves s n from it on. All pairs that can be alike meet; passages that many texts share come last in the order
-    and place no text that has enough of its own. First each text at a place is verified against the first one there, which
-    joins most of a large group by few pairs; then all that aren't joined yet are, in pieces where a place is crowded.
+    and place no text that has enough of its own. First texts whose fingerprints (of the set) meet in a ball are verified.
+    What they don't join goes on: each text at a place is verified against the first one there, which joins most of a large
+    group by few pairs; then all that aren't joined yet are, in pieces where a place is crowded.
     Verified are the sets themselves, and their hashes are fetched only for pairs whose parities don't rule them out.
     Texts with equal sets count once, and those without words (null, empty) are one group. Null ids and repeated rows keep
     their rows. No rows give none. Nothing is left to chance but that two shingles share 64 bits.
@@ -203,24 +204,24 @@ def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) ->
         often = order.value
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, first, odd, wide = [], [], [], [], []
+            nodes, sizes, first, odd, wide, prints = [], [], [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 found = hashes(t or b"", width)
                 n, node = len(found), _node(found)
                 nodes.append(node)
                 sizes.append(n)
                 if node in seen:
-                    rows = (None, None, None)
+                    rows = (None, None, None, None)
                 else:
                     seen.add(node)
                     rank = np.lexsort((found, often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    rows = (found[rank[: n - -(-top * n // low) + 1]].view(np.int64) if n else found.view(np.int64), _parity(found), _wide(found))
-                for column, value in zip((first, odd, wide), rows, strict=True):
+                    rows = (found[rank[: n - -(-top * n // low) + 1]].view(np.int64) if n else found.view(np.int64), _parity(found), _wide(found), _majority(found))
+                for column, value in zip((first, odd, wide, prints), rows, strict=True):
                     column.append(value)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, longs), pa.array(odd, longs), pa.array(wide, longs)], names=["doc_id", "node", "n", "first", "odd", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, longs), pa.array(odd, longs), pa.array(wide, longs), pa.array(prints, pa.int64())], names=["doc_id", "node", "n", "first", "odd", "wide", "fp"])
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n int, first array<long>, odd array<long>, wide array<long>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n int, first array<long>, odd array<long>, wide array<long>, fp long"
     rows = keep(docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(place, schema), "rows")
     # a text's copies in one task are placed once; those of other tasks meet at the same places and count once there
     posted = rows.filter("first is not null").select("node", "n", F.posexplode("first").alias("_i", "_at"))
@@ -232,7 +233,7 @@ def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) ->
     crowd = posted.withColumn("_lead", F.min(leads).over(here)).withColumn("_a", F.min("node").over(here)).withColumn("_b", F.max("node").over(here)).filter("_a != _b and _lead is not null")
     shared = crowd.select("_at", "node", size.alias("n"), rest.alias("_rest"), F.col("_lead.node").alias("_l"), F.shiftright("_lead._nr", 32).alias("_ln"), F.col("_lead._nr").bitwiseAND(F.lit((1 << 32) - 1)).alias("_lrest"))
     shared = keep(shared.dropDuplicates(["_at", "node"]), "places")
-    known = keep(rows.filter("first is not null").select("node", "n", "odd", "wide").dropDuplicates(["node"]), "known")
+    known = keep(rows.filter("first is not null").select("node", "n", "odd", "wide", "fp").dropDuplicates(["node"]), "known")
     rows = keep(rows.select("doc_id", "node"), "ids")
     keep.drop("rows")
 
@@ -276,8 +277,17 @@ def _near_copies(docs: DataFrame, width: int, share: Fraction, keep: Scratch) ->
         keep.drop(f"{name}-sets")
         return out
 
+    # sets whose fingerprints meet in a ball come first; what they join isn't compared again
+    least = keep(known.groupBy("fp").agg(F.min("node").alias("_least")), "fingerprints")
+    at = lambda end, name: least.select(F.col("fp").alias(end), F.col("_least").alias(name))
+    balls = links(least.select("fp")).join(at("a", "node"), "a").join(at("b", "other"), "b").select("node", "other")
+    balls = balls.union(known.join(least, "fp").filter("node != _least").select("node", F.col("_least").alias("other")))
+    balls = verified(keep(balls, "balls"), "balls")
+    joined = components(balls, "node", "other").select("node", "root")
     stars = shared.filter((F.col("node") != F.col("_l")) & can(F.col("n"), F.col("_rest"), F.col("_ln"), F.col("_lrest")))
-    edges = verified(keep(stars.select("node", F.col("_l").alias("other")).distinct(), "stars"), "stars")
+    stars = stars.select("node", F.col("_l").alias("other")).distinct().join(joined, "node", "left").join(joined.select(F.col("node").alias("other"), F.col("root").alias("_o")), "other", "left")
+    stars = stars.filter(F.coalesce("root", "node") != F.coalesce("_o", "other")).select("node", "other")
+    edges = balls.union(verified(keep(stars, "stars"), "stars"))
     labels = components(edges, "node", "other").select("node", "root")
     marked = shared.select("_at", "node", "n", "_rest").join(labels, "node", "left").select("_at", "node", "n", "_rest", F.coalesce("root", "node").alias("_mark"))
     apart = marked.withColumn("_least", F.min("_mark").over(here)).withColumn("_most", F.max("_mark").over(here)).filter("_least != _most").drop("_least", "_most")
