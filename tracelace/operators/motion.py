@@ -2,27 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracelace.functions.geometry import cosine, norm
 from tracelace.operators.components import components
-from tracelace.operators.scoring import degrees
+from tracelace.storage import written
 
 XYZ = ("uz", "uy", "ux")
+#: Frames of a block in which a task follows chains.
+BLOCK = 32
 
 
 def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Maximal runs of one-in, one-out links to the next frame, longer than one node: dataset, chain_id, pos, node_id, t and place."""
-    deg = degrees(nodes, edges)
-    t = nodes.select("dataset", "node_id", "t")
-    s = deg.join(t, ["dataset", "node_id"]).select("dataset", F.col("node_id").alias("source_id"), F.col("out_degree").alias("_o"), F.col("t").alias("_ts"))
-    u = deg.join(t, ["dataset", "node_id"]).select("dataset", F.col("node_id").alias("target_id"), F.col("in_degree").alias("_i"), F.col("t").alias("_tt"))
-    single = edges.select("dataset", "source_id", "target_id").join(s, ["dataset", "source_id"]).join(u, ["dataset", "target_id"]).filter("_o = 1 and _i = 1 and _tt - _ts = 1")
-    found = components(single, "source_id", "target_id", ("dataset",)).select("dataset", F.col("node").alias("node_id"), F.col("root").alias("chain_id"))
-    pos = (F.row_number().over(W.partitionBy("dataset", "chain_id").orderBy("t", "node_id")) - 1).alias("pos")
-    return found.join(nodes.select("dataset", "node_id", "t", *XYZ), ["dataset", "node_id"]).select("dataset", "chain_id", pos, "node_id", "t", *XYZ)
+    """Maximal runs of one-in, one-out links to the next frame, longer than one node: dataset, chain_id, pos, node_id, t and place.
+
+    A chain is followed within blocks of ``BLOCK`` frames, each in a task; only the runs that cross a block's border are
+    joined in rounds. Its nodes are in consecutive frames, so a node's position is its frame less the chain's first.
+    """
+    ends = ["dataset", "node_id"]
+    ahead = edges.groupBy("dataset", F.col("source_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("target_id").alias("_next")).filter("_n = 1").drop("_n")
+    back = edges.groupBy("dataset", F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("source_id").alias("_prev")).filter("_n = 1").drop("_n")
+    at = nodes.select("dataset", "node_id", "t", *XYZ).filter("t is not null").join(ahead, ends, "left").join(back, ends, "left").filter("_next is not null or _prev is not null")
+    own = F.floor(F.col("t") / BLOCK)
+    # a block also gets the next one's first frame
+    dealt = at.withColumn("_block", F.explode(F.when(F.col("t") % BLOCK == 0, F.array(own, own - 1)).otherwise(F.array(own))))
+    kinds = dict(at.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("dataset", "node_id", "t", *XYZ)) + f", _head {kinds['node_id']}, _start {kinds['t']}, _least {kinds['node_id']}, _many boolean, _border boolean"
+    rows = written(dealt.groupBy("dataset", "_block").applyInArrow(_followed, schema), "chain-blocks")
+    crossing = components(rows.filter("_border").select("dataset", F.col("_head").alias("_a"), F.col("node_id").alias("_b")), "_a", "_b", ("dataset",)).withColumnRenamed("node", "_head")
+    heads = rows.filter("not _border and node_id = _head").select("dataset", "_head", "_least", "_start").join(crossing, ["dataset", "_head"])
+    whole = heads.groupBy("dataset", "root").agg(F.min("_least").alias("_id"), F.min("_start").alias("_first"))
+    named = written(crossing.join(whole, ["dataset", "root"]).drop("root"), "chain-names")
+    out = rows.filter("not _border").join(named, ["dataset", "_head"], "left").filter("_many or _id is not null")
+    return out.select("dataset", F.coalesce("_id", "_least").alias("chain_id"), (F.col("t") - F.coalesce("_first", "_start")).alias("pos"), "node_id", "t", *XYZ)
+
+
+def _followed(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+    """The nodes of a block with their run's head, its frame, its least id and whether it has others; a node of the next
+    block's first frame (``_border``) only where a link leads to it."""
+    ids, t = block.column("node_id").to_numpy(), block.column("t").to_numpy()
+    (nxt, leads), (prev, follows) = ((c.fill_null(0).to_numpy(), c.is_valid().to_numpy()) for c in (block.column("_next"), block.column("_prev")))
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, prev, sorter=order), len(ids) - 1)]
+    linked = follows & (ids[at] == prev) & leads[at] & (nxt[at] == ids) & (t - t[at] == 1)
+    head = np.where(linked, at, np.arange(len(ids)))
+    while not (head[head] == head).all():
+        head = head[head]
+    least = ids.copy()
+    np.minimum.at(least, head, ids)
+    border = t // BLOCK != key[1].as_py()
+    many = np.bincount(head, minlength=len(ids)) > 1
+    out = block.select(["dataset", "node_id", "t", *XYZ])
+    for name, column in (("_head", ids[head]), ("_start", t[head]), ("_least", least[head]), ("_many", many[head]), ("_border", border)):
+        out = out.append_column(name, pa.array(column))
+    return out.filter(pa.array(~border | linked))
 
 
 def _along() -> W:
@@ -44,13 +81,11 @@ def turns(stepped: DataFrame) -> DataFrame:
 
 
 def msd(chained: DataFrame, lags: int) -> DataFrame:
-    """lag, n and mean squared displacement over all places of all chains."""
-    out = None
-    for k in range(1, lags + 1):
-        sq = sum(((F.lead(a, k).over(_along()) - F.col(a)) * (F.lead(a, k).over(_along()) - F.col(a)) for a in XYZ[1:]), (F.lead("uz", k).over(_along()) - F.col("uz")) * (F.lead("uz", k).over(_along()) - F.col("uz")))
-        part = chained.select(sq.alias("_s")).filter("_s is not null").agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("msd")).withColumn("lag", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """lag, n and mean squared displacement over all places of all chains, in one pass for all lags."""
+    away = lambda k, a: F.lead(a, k).over(_along()) - F.col(a)
+    sq = [sum((away(k, a) * away(k, a) for a in XYZ[1:]), away(k, "uz") * away(k, "uz")).alias(f"_s{k}") for k in range(1, lags + 1)]
+    one = chained.select(*sq).agg(*[F.struct(F.count(f"_s{k}").alias("n"), F.avg(f"_s{k}").alias("msd"), F.lit(k).alias("lag")).alias(f"_s{k}") for k in range(1, lags + 1)])
+    return one.select(F.inline(F.array(*[f"_s{k}" for k in range(1, lags + 1)])))
 
 
 def msd_exponent(curve: DataFrame) -> DataFrame:
@@ -61,8 +96,6 @@ def msd_exponent(curve: DataFrame) -> DataFrame:
 
 def furth_fit(curve: list[tuple[int, float]], rounds: int = 200) -> tuple[float, float, float]:
     """Speed, persistence time and noise of msd = 2 s² P (t - P (1 - exp(-t / P))) + noise by damped Gauss-Newton; runs on the curve's few rows."""
-    import numpy as np
-
     t = np.array([a for a, _ in curve], float)
     y = np.array([b for _, b in curve], float)
 
