@@ -213,3 +213,24 @@ def test_linkers_keep_the_gate_and_the_limits(spark, name):
     for r in got:
         out[(r.dataset, r.source_id)] = out.get((r.dataset, r.source_id), 0) + 1
     assert max(out.values()) <= most
+
+
+def test_skips_by_lists_equal_the_whole_matrix():
+    rng = np.random.default_rng(8)
+    for n, m in rng.integers(1, 12, (150, 2)):
+        cost = np.where(rng.random((n, m)) < 0.6, rng.integers(0, 9, (n, m)) / 7, np.nan)
+        stop = float(rng.integers(1, 9)) / 7
+        whole = np.hstack([np.where(np.isnan(cost), assign.FORBIDDEN, cost), np.where(np.eye(n) > 0, stop, assign.FORBIDDEN)])
+        best = whole[np.arange(n), assign.solve(whole)].sum()
+        rows = [[(j, cost[i, j] - stop) for j in range(m) if cost[i, j] < stop] for i in range(n)]
+        column = assign.cheapest_columns(rows, m)
+        taken = [j for j in column if j >= 0]
+        assert len(taken) == len(set(taken))
+        assert sum(cost[i, j] if j >= 0 else stop for i, j in enumerate(column)) == pytest.approx(best)
+
+
+def test_a_crowded_gap_is_searched_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(assign, "solve", lambda cost: pytest.fail("a matrix"))
+    p = _pairs(spark, [("a", 0, s, 1000 + t, 1.0 + (s != t)) for s in range(60) for t in range(60) if abs(s - t) < 3])
+    got = {(r.source_id, r.target_id) for r in assign.with_skips(p, "d", 5.0).collect()}
+    assert got == {(s, 1000 + s) for s in range(60)}

@@ -6,8 +6,11 @@ the cubic step sees a piece and not a frame. Costs are minimised; as many allowe
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +75,93 @@ def rectangle(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(j), i) for i, j in enumerate(solve(cost.T))]
 
 
+def cheapest_columns(rows: list[list[tuple[int, float]]], n_columns: int) -> list[int]:
+    """For each row its column, or -1 for none, at least total cost; ``rows`` has a row's (column, cost), and none costs 0.
+
+    Rows take their cheapest free column, then bid for columns against their second choice, and what is left is placed along
+    shortest paths that end at the first free column, so a search sees a row's surroundings and not the whole table.
+    """
+    price: list[float] = [0] * n_columns
+    owner = [-1] * n_columns
+    column = [-1] * len(rows)
+    cost: list[float] = [0] * len(rows)
+    waiting = [i for i in range(len(rows)) if rows[i]]
+    for _ in range(3):
+        again: list[int] = []
+        bids = 4 * len(waiting)
+        while waiting:
+            i = waiting.pop()
+            first = second = 0  # none is always there
+            at = -1
+            at_cost = 0
+            for j, c in rows[i]:
+                d = c - price[j]
+                if d < first:
+                    first, second, at, at_cost = d, first, j, c
+                elif d < second:
+                    second = d
+            column[i], cost[i] = at, at_cost
+            if at < 0:
+                continue
+            price[at] += first - second
+            displaced = owner[at]
+            owner[at] = i
+            if displaced >= 0:
+                column[displaced] = -1
+                bids -= 1
+                (waiting if first < second and bids > 0 else again).append(displaced)
+        waiting = again
+    for r in waiting:
+        # distances are to columns; a row beyond the first is reached through the column that it holds
+        best: dict[int, float] = {}
+        via: dict[int, tuple[int, float]] = {}
+        done: list[tuple[float, int]] = []
+        heap: list[tuple[float, int]] = []
+        scanned: set[int] = set()
+        i, base = r, 0
+        stop, stop_row, stop_column = 0, r, -1
+        while True:
+            for j, c in rows[i]:
+                if j in scanned:
+                    continue
+                d = base + c - price[j]
+                if d < stop and d < best.get(j, d + 1):
+                    best[j] = d
+                    via[j] = (i, c)
+                    if owner[j] < 0:
+                        stop, stop_column = d, j
+                    else:
+                        heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in scanned or heap[0][0] > best[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                break
+            d, j = heapq.heappop(heap)
+            scanned.add(j)
+            done.append((d, j))
+            i = owner[j]
+            base = d - (cost[i] - price[j])
+            if base < stop:  # this row goes without a column
+                stop, stop_row, stop_column = base, i, -1
+        for d, j in done:
+            if d < stop:
+                price[j] += d - stop
+        if stop_column >= 0:
+            j = stop_column
+        else:
+            j = column[stop_row]
+            column[stop_row] = -1
+            if stop_row == r:
+                continue
+        while True:
+            i, c = via[j]
+            owner[j] = i
+            j, column[i], cost[i] = column[i], j, c
+            if i == r:
+                break
+    return column
+
+
 Piece = dict[str, np.ndarray]
 
 
@@ -131,19 +221,28 @@ def gated_hungarian(pairs: DataFrame, cost: str = "d", keys: tuple[str, ...] = (
 
 
 def with_skips(pairs: DataFrame, cost: str, disappearance: float, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:
-    """One-to-one links of least total cost where a source may stay alone for ``disappearance`` and a target for nothing."""
+    """One-to-one links of least total cost where a source may stay alone for ``disappearance`` and a target for nothing.
 
-    def choose(part: Piece) -> list[tuple[int, int]]:
-        c, s, t = _matrix(part, cost)
-        n, m = c.shape
-        whole = np.full((n + m, n + m), FORBIDDEN)
-        whole[:n, :m] = np.where(np.isnan(c), FORBIDDEN, c)
-        whole[np.arange(n), m + np.arange(n)] = disappearance
-        whole[n + np.arange(m), np.arange(m)] = 0.0
-        whole[n:, m:] = 0.0
-        return [(s[i], t[j]) for i, j in enumerate(solve(whole)[:n]) if j < m and not np.isnan(c[i, j])]
+    A pair that costs as much as its source alone or more is never needed, so only the others are searched, as lists and
+    not as a matrix.
+    """
+    kinds = dict(pairs.dtypes)
+    own = pairs.select(*keys, F.col("source_id").cast("long"), F.col("target_id").cast("long"), (F.col(cost).cast("double") - float(disappearance)).alias("_c")).filter("_c < 0")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("source_id", "ascending"), ("target_id", "ascending")])
+        s, i = np.unique(group.column("source_id").to_numpy(), return_inverse=True)
+        t, j = np.unique(group.column("target_id").to_numpy(), return_inverse=True)
+        rows: list[list[tuple[int, float]]] = [[] for _ in s]
+        for a, b, c in zip(i.tolist(), j.tolist(), group.column("_c").to_pylist(), strict=True):
+            rows[a].append((b, c))
+        column = np.array(cheapest_columns(rows, len(t)))
+        linked = np.flatnonzero(column >= 0)
+        out = group.slice(0, 1).select(list(keys)).take(pa.array(np.zeros(len(linked), np.int64)))
+        return out.append_column("source_id", pa.array(s[linked])).append_column("target_id", pa.array(t[column[linked]]))
 
-    return _per_piece(pairs, choose, keys)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", source_id long, target_id long"
+    return own.transform(spread(*keys)).groupBy(*keys).applyInArrow(run, schema)
 
 
 def with_divisions(pairs: DataFrame, cost: str, reward: float, keys: tuple[str, ...] = ("dataset", "t")) -> DataFrame:

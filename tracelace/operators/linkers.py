@@ -6,7 +6,6 @@ frame to frame, so their unit is a dataset; its frames are read in order and onl
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,93 +109,6 @@ def motion(nodes: DataFrame, knobs: Motion = Motion()) -> DataFrame:
     return _edges(links)
 
 
-def cheapest_columns(rows: list[list[tuple[int, int]]], n_columns: int) -> list[int]:
-    """For each row its column, or -1 for none, at least total cost; ``rows`` has a row's (column, whole cost), and none costs 0.
-
-    Rows take their cheapest free column, then bid for columns against their second choice, and what is left is placed along
-    shortest paths that end at the first free column, so a search sees a row's surroundings and not the whole table.
-    """
-    price = [0] * n_columns
-    owner = [-1] * n_columns
-    column = [-1] * len(rows)
-    cost = [0] * len(rows)
-    waiting = [i for i in range(len(rows)) if rows[i]]
-    for _ in range(3):
-        again: list[int] = []
-        bids = 4 * len(waiting)
-        while waiting:
-            i = waiting.pop()
-            first = second = 0  # none is always there
-            at = -1
-            at_cost = 0
-            for j, c in rows[i]:
-                d = c - price[j]
-                if d < first:
-                    first, second, at, at_cost = d, first, j, c
-                elif d < second:
-                    second = d
-            column[i], cost[i] = at, at_cost
-            if at < 0:
-                continue
-            price[at] += first - second
-            displaced = owner[at]
-            owner[at] = i
-            if displaced >= 0:
-                column[displaced] = -1
-                bids -= 1
-                (waiting if first < second and bids > 0 else again).append(displaced)
-        waiting = again
-    for r in waiting:
-        # distances are to columns; a row beyond the first is reached through the column that it holds
-        best: dict[int, int] = {}
-        via: dict[int, tuple[int, int]] = {}
-        done: list[tuple[int, int]] = []
-        heap: list[tuple[int, int]] = []
-        scanned: set[int] = set()
-        i, base = r, 0
-        stop, stop_row, stop_column = 0, r, -1
-        while True:
-            for j, c in rows[i]:
-                if j in scanned:
-                    continue
-                d = base + c - price[j]
-                if d < stop and d < best.get(j, d + 1):
-                    best[j] = d
-                    via[j] = (i, c)
-                    if owner[j] < 0:
-                        stop, stop_column = d, j
-                    else:
-                        heapq.heappush(heap, (d, j))
-            while heap and (heap[0][1] in scanned or heap[0][0] > best[heap[0][1]]):
-                heapq.heappop(heap)
-            if not heap or heap[0][0] >= stop:
-                break
-            d, j = heapq.heappop(heap)
-            scanned.add(j)
-            done.append((d, j))
-            i = owner[j]
-            base = d - (cost[i] - price[j])
-            if base < stop:  # this row goes without a column
-                stop, stop_row, stop_column = base, i, -1
-        for d, j in done:
-            if d < stop:
-                price[j] += d - stop
-        if stop_column >= 0:
-            j = stop_column
-        else:
-            j = column[stop_row]
-            column[stop_row] = -1
-            if stop_row == r:
-                continue
-        while True:
-            i, c = via[j]
-            owner[j] = i
-            j, column[i], cost[i] = column[i], j, c
-            if i == r:
-                break
-    return column
-
-
 def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disappear: int, divide: int | None = None) -> list[tuple[int, int]]:
     """Links of least total cost over a whole dataset: node-disjoint tracks that each pay for their ends.
 
@@ -213,7 +125,7 @@ def flow(arcs: list[tuple[int, int, int]], nodes: list[int], appear: int, disapp
         rows[index[a]].append((index[b], c - both))
         if divide is not None and c + divide < 0:
             more[index[a]].append((index[b], c + divide))
-    column = cheapest_columns(rows + more, n)
+    column = assign.cheapest_columns(rows + more, n)
     return [(nodes[i % n], nodes[j]) for i, j in enumerate(column) if j >= 0 and (j != i)]
 
 
