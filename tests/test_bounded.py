@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelace.operators import audits, drift, joins, patches, placing, voxels
+from tracelace.operators import audits, drift, joins, patches, placing, repair, voxels
 from tracelace.storage import written
 
 
@@ -25,6 +25,34 @@ def test_gated_join_broadcasts_no_emitted_points(spark):
     assert got.count() == sum(b.t == a.t + 1 and near(a, b) for a in rows for b in rows)
 
 
+def test_gated_join_emits_less_than_five_copies_of_a_point(spark):
+    p = _points(spark)
+    assert joins.emitted(p, "", 10.0).count() < 5 * p.count()
+
+
+def test_wider_rounds_emit_only_open_points(spark, monkeypatch):
+    p, seen, gated = _points(spark), [], joins.gated
+    monkeypatch.setattr(joins, "gated", lambda left, right, gate, *more: (seen.append(right.count()), gated(left, right, gate, *more))[1])
+    assert joins.k_nearest(p, 3, start=4.0).count() == 3 * p.count()
+    assert len(seen) > 2 and sorted(seen, reverse=True) == seen and seen[-1] < seen[0] / 4
+
+
+def test_only_edges_between_blocks_of_frames_go_through_rounds(spark, monkeypatch):
+    # lineages of 100 frames with merges, forks, gaps, and an end that isn't among the nodes
+    edges = [(100 * k + t, 100 * k + t + 1) for k in range(8) for t in range(99) if (t + k) % 45] + [(130, 233), (520, 420), (640, 541), (777, 9999), (655, 9999)]
+    nodes = spark.createDataFrame([("a", n, n % 100) for n in range(800)], "dataset string, node_id long, t int")
+    e = spark.createDataFrame([("a", *x) for x in edges], "dataset string, source_id long, target_id long")
+    at = {n: n for x in [*edges, *((n, n) for n in range(800))] for n in x}
+    for _ in range(200):
+        for a, b in [*edges, *reversed(edges)]:
+            at[a] = at[b] = min(at[a], at[b])
+    seen, components = [], repair.components
+    monkeypatch.setattr(repair, "components", lambda rows, *more: (seen.append(rows.count()), components(rows, *more))[1])
+    assert {r.node_id: r.component for r in repair.labelled(nodes, e).collect()} == {n: at[n] for n in range(800)}
+    between = sum(b == 9999 or a % 100 // repair.BLOCK != b % 100 // repair.BLOCK for a, b in edges)
+    assert len(seen) == 1 and seen[0] <= 2 * between < len(edges) / 8
+
+
 def test_confirmed_broadcasts_no_emitted_points(spark):
     p = _points(spark)
     heat = p.filter("node_id % 3 = 0").select("dataset", "t", "z", "y", "x", F.col("node_id").cast("double").alias("v"))
