@@ -289,3 +289,57 @@ def test_appearance_measured_where_frames_are_drawn_equals_that_of_boxes(spark):
     for k, r in got.items():
         assert [r[c] for c in patches.FEATURES] == pytest.approx([want[k][c] for c in patches.FEATURES], rel=1e-6, abs=1e-7), k
     assert "box" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def drawn_scene(spark, seed=8):
+    """Points of three blocks of frames, some of them outside of the frame or at its edge, and a frame that is missing."""
+    rng = np.random.default_rng(seed)
+    times = [0, 1, 2, 15, 16, 17, 31, 32]
+    rows = [(d, 1000 * n + 100 * i + j, t, int(z), int(y), int(x)) for n, d in enumerate("ab") for i, t in enumerate(times) for j, (z, y, x) in enumerate(rng.integers((-3, -1, -1), (8, 40, 40), (12, 3)))]
+    p = spark.createDataFrame(rows, "dataset string, node_id long, t int, z int, y int, x int")
+    return p, voxels.Drawn(p, (6, 38, 38), 0.6)
+
+
+def sent(df):
+    """Whether anything like a box or a frame is a column of the plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(w in plan for w in ("voxels", "box#", "Generate explode(_part"))
+
+
+def test_middles_and_rolled_middles_are_read_where_frames_are_drawn(spark):
+    _, drawn = drawn_scene(spark)
+    drawn, half = voxels.mapped(drawn, lambda a: a[:, ::-1, ::-1]), (1, 4, 4)
+    box = patches.drawn_boxes(drawn, half)
+    plain, turned = ({(r.dataset, r.node_id): r.voxels[121] for r in patches.raw_boxes(box, half, align).collect()} for align in (False, True))
+    out = patches.drawn_middles(drawn, half)
+    assert {(r.dataset, r.node_id): (r.before, r.after) for r in out.collect()} == {k: (v, turned[k]) for k, v in plain.items()} and len(plain) > 20
+    assert any(v != turned[k] for k, v in plain.items()) and not sent(out) and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    v = np.random.default_rng(2).random((20, 243)).round(1).astype(np.float32)
+    want = [np.roll(a, tuple(np.array(half) - np.array(np.unravel_index(int(np.argmax(a)), a.shape))), axis=(0, 1, 2)).ravel() for a in v.reshape(-1, 3, 9, 9)]
+    assert (patches.rolled(v, half) == np.stack(want)).all()
+
+
+def test_eigenvalues_measured_where_frames_are_drawn_equal_those_of_boxes(spark):
+    _, drawn = drawn_scene(spark, 9)
+    half = (1, 4, 4)
+    moments = patches.second_moments(patches.drawn_boxes(drawn, half), half, 1.8, 2.0).filter("zz is not null")
+    want = {(r.dataset, r.node_id): r.e for r in moments.select("dataset", "node_id", patches.eigenvalues(*[F.col(c) for c in ("zz", "yy", "xx", "zy", "zx", "yx")]).alias("e")).collect()}
+    out = patches.drawn_eigenvalues(drawn, half, 1.8, 2.0)
+    got = {(r.dataset, r.node_id): (r.largest, r.middle, r.least) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) > 60 and not sent(out)
+    for k, v in got.items():
+        assert v == pytest.approx(tuple(want[k]), rel=1e-6, abs=1e-9), k
+
+
+def test_correlations_taken_where_frames_are_drawn_equal_those_of_boxes(spark):
+    p, drawn = drawn_scene(spark, 10)
+    half = (1, 4, 4)
+    a, b = (p.select("dataset", F.col("t").alias(t), F.col("node_id").alias(k)) for t, k in (("t", "source_id"), ("_t", "target_id")))
+    pairs = a.join(b, "dataset").filter("_t = t + 1").drop("_t")
+    stray = spark.createDataFrame([("a", 0, 0, 99999), ("c", 0, 0, 100), ("a", 5, 0, 100)], "dataset string, t int, source_id long, target_id long")
+    want = {tuple(r)[:3]: r.ncc for r in patches.alike(pairs.select("dataset", "source_id", "target_id"), patches.raw_boxes(patches.drawn_boxes(drawn, half), half)).collect()}
+    out = patches.drawn_alike(pairs.unionByName(stray), drawn, half)
+    got = {tuple(r)[:3]: r.ncc for r in out.collect()}
+    assert got.keys() == want.keys() and {k for k in got if k[0] == "a" and k[1] // 100 in (3, 6)}, "pairs over the borders of blocks too"
+    assert all(v == pytest.approx(want[k], abs=1e-12) for k, v in got.items())
+    assert not sent(out)
