@@ -79,6 +79,29 @@ def test_prune_grid_broadcasts_no_cells(spark):
     assert {r.total for r in rows.values()} == {truth.count()}
 
 
+def test_prune_grid_sends_a_candidate_once_for_all_cells(spark, monkeypatch):
+    p = _points(spark)
+    pairs = written(joins.candidates(p, 10.0).withColumn("p", 1 / (1 + F.col("d"))), "pruned-pairs")
+    truth = pairs.filter("source_id % 2 = 0").select("dataset", "source_id", "target_id")
+    real = p.filter("node_id % 3 != 0").select("dataset", "node_id")
+    grid = [(r, c) for r in (0.25, 0.5, 0.9) for c in (0.0, 0.1)]
+    of = lambda: audits.prune_grid(pairs, truth, p, real, grid)
+    plan = of()._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" not in plan and plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Window")
+    good, rows, want = {(r.source_id, r.target_id) for r in truth.collect()}, pairs.collect(), {}
+    for i, (recall, collateral) in enumerate(grid):
+        alive = lambda n: (n * 48271 + i * 40692) % 999983 / 999983.0 >= (collateral if n % 3 else recall)  # noqa: E731, B023
+        live = [r for r in rows if alive(r.source_id) and alive(r.target_id)]
+        best = [{k: max(r.p for r in live if r[c] == k) for k in {r[c] for r in live}} for c in ("source_id", "target_id")]
+        kept = sum((r.source_id, r.target_id) in good and r.p >= best[0][r.source_id] and r.p >= best[1][r.target_id] for r in live)
+        want[recall, collateral] = (kept, len(good) - sum((r.source_id, r.target_id) in good for r in live), len(good))
+    read = lambda: {(r.recall, r.collateral): (r.kept, r.destroyed, r.total) for r in of().collect()}
+    assert read() == want
+    monkeypatch.setattr(audits, "MOST_CELLS", 4)
+    assert read() == want
+    assert audits.prune_grid(pairs, truth.limit(0), p, real, grid).count() == 0
+
+
 def test_drift_field_deals_votes_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(drift, "PART", 100)
     cast = spark.range(1000).select(F.lit("d0").alias("dataset"), F.pmod("id", F.lit(40)).cast("int").alias("t"), *[F.pmod("id", F.lit(m)).cast("double").alias(c) for m, c in ((5, "uz"), (7, "uy"), (11, "ux"), (3, "dz"), (4, "dy"), (2, "dx"))])

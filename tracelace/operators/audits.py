@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,20 +72,45 @@ def drawn(ident: Column, salt: Column) -> Column:
     return F.pmod(ident * 48271 + salt * 40692, F.lit(999983)) / 999983.0
 
 
+#: Cells of a grid that a mask has a bit for.
+MOST_CELLS = 60
+
+
 def prune_grid(affinity: DataFrame, truth: DataFrame, nodes: DataFrame, real: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:
     """For each (recall, collateral): how many true candidates stand and are the best of both ends (kept), and how many lost
-    an end (destroyed), after a pruner takes false detections with the chance ``recall`` and real ones with ``collateral``."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(float(r)).alias("recall"), F.lit(float(c)).alias("collateral")) for i, (r, c) in enumerate(grid)])).alias("_c")
+    an end (destroyed), after a pruner takes false detections with the chance ``recall`` and real ones with ``collateral``.
+
+    A candidate is one row for all cells: what stands in a cell, and what is best there, are bits of a number.
+    """
+    parts = [_pruned(affinity, truth, nodes, real, list(enumerate(grid))[i : i + MOST_CELLS]) for i in range(0, len(grid), MOST_CELLS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("recall", "collateral").agg(*[F.sum(c).alias(c) for c in ("kept", "destroyed", "total")])
+
+
+def _pruned(affinity: DataFrame, truth: DataFrame, nodes: DataFrame, real: DataFrame, cells: Sequence[tuple[int, tuple[float, float]]]) -> DataFrame:
+    def mask(of: Callable[[int], Column]) -> Column:
+        return reduce(Column.bitwiseOR, [F.when(of(i), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(cells))])
+
+    def has(bits: str, i: int) -> Column:
+        return F.col(bits).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+    chance = lambda i: F.when(F.col("_real"), F.lit(float(cells[i][1][1]))).otherwise(F.lit(float(cells[i][1][0])))
     n = nodes.select("dataset", "node_id").join(real.select("dataset", "node_id").distinct().withColumn("_real", F.lit(True)), ["dataset", "node_id"], "left")
-    end = lambda key, flag: n.select("dataset", F.col("node_id").alias(key), F.coalesce("_real", F.lit(False)).alias(flag)).hint("merge")
-    alive = lambda key, flag: drawn(F.col(key), F.col("cell")) >= F.when(F.col(flag), F.col("collateral")).otherwise(F.col("recall"))
+    n = n.select("dataset", "node_id", mask(lambda i: drawn(F.col("node_id"), F.lit(cells[i][0])) >= chance(i)).alias("_alive"))
+    end = lambda key, flag: n.select("dataset", F.col("node_id").alias(key), F.col("_alive").alias(flag)).hint("merge")
     flagged = in_set(affinity.select("dataset", "source_id", "target_id", "p"), truth, "source_id", "target_id", "_y")
-    # nodes are joined once and the cells come after: what a cell takes is reckoned from the node's id
-    ends = flagged.join(end("source_id", "_s"), ["dataset", "source_id"]).join(end("target_id", "_t"), ["dataset", "target_id"])
-    both = ends.select("dataset", "source_id", "target_id", "p", "_y", "_s", "_t", cells).select("dataset", "source_id", "target_id", "p", "_y", "_s", "_t", "_c.*").withColumn("_live", alive("source_id", "_s") & alive("target_id", "_t"))
-    best = [F.max(F.when(F.col("_live"), F.col("p"))).over(W.partitionBy("dataset", "cell", c)) for c in ("source_id", "target_id")]
-    won = both.withColumn("_o", best[0]).withColumn("_i", best[1]).filter("_y")
-    return won.groupBy("recall", "collateral").agg(F.count_if(F.col("_live") & (F.col("p") >= F.col("_o")) & (F.col("p") >= F.col("_i"))).alias("kept"), F.count_if(~F.col("_live")).alias("destroyed"), F.count(F.lit(1)).alias("total"))
+    # the join with sources comes last, so that it deals candidates as their best ones are sought
+    both = flagged.join(end("target_id", "_t"), ["dataset", "target_id"]).join(end("source_id", "_s"), ["dataset", "source_id"])
+    both = both.select("dataset", "source_id", "target_id", "p", "_y", F.col("_s").bitwiseAND(F.col("_t")).alias("_best"), F.col("_s").bitwiseAND(F.col("_t")).alias("_live"))
+    for key in ("source_id", "target_id"):
+        w = W.partitionBy("dataset", key)
+        top = both.select("*", *[F.max(F.when(has("_live", i), F.col("p"))).over(w).alias(f"_m{i}") for i in range(len(cells))])
+        both = top.withColumn("_best", F.col("_best").bitwiseAND(mask(lambda i: F.col("p") >= F.col(f"_m{i}")))).select(*both.columns)
+    counts = both.filter("_y").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(has("_best", i)).alias(f"_k{i}") for i in range(len(cells))], *[F.count_if(~has("_live", i)).alias(f"_d{i}") for i in range(len(cells))])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("recall"), F.lit(float(c)).alias("collateral"), F.col(f"_k{i}").alias("kept"), F.col(f"_d{i}").alias("destroyed")) for i, (_, (r, c)) in enumerate(cells)])).alias("_c")
+    return counts.filter("total > 0").select(rows, "total").select("_c.*", "total")
 
 
 def operating_points(affinity: DataFrame, truth: DataFrame, thresholds: Sequence[float], gates: Sequence[float]) -> DataFrame:
