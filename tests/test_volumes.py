@@ -343,3 +343,25 @@ def test_correlations_taken_where_frames_are_drawn_equal_those_of_boxes(spark):
     assert got.keys() == want.keys() and {k for k in got if k[0] == "a" and k[1] // 100 in (3, 6)}, "pairs over the borders of blocks too"
     assert all(v == pytest.approx(want[k], abs=1e-12) for k, v in got.items())
     assert not sent(out)
+
+
+def test_percentiles_hold_mothers_and_their_run_up_against_all_controls(spark):
+    # 1 -> 2 -> 3 -> (4, 5), and 10 -> 11 -> 12 -> 13 -> 14, of which 2 isn't detected; ids of detections are 100 higher
+    te = spark.createDataFrame([("a", s, t, t) for s, t in ((1, 2), (2, 3), (3, 4), (3, 5), *((i, i + 1) for i in range(10, 14)))], "dataset string, source_id long, target_id long, edge_seq long")
+    seen = [1, 3, 4, 5, *range(10, 15)]
+    match = spark.createDataFrame([("a", 100 + i, i) for i in seen] + [("a", 150, None)], "dataset string, pred_id long, gt_id long")
+    nodes = spark.createDataFrame([("a", 100 + i) for i in [*seen, 50]], "dataset string, node_id long")
+    links = spark.createDataFrame([("a", s, t) for s, t in ((101, 103), (103, 104), (103, 105), (110, 111), (111, 112), (112, 113), (113, 114), (114, 150))], "dataset string, source_id long, target_id long")
+    proposed = spark.createDataFrame([("a", 112), ("a", 103)], "dataset string, parent_id long")
+    mothers, controls = patches.division_populations(nodes, links, te, match, proposed)
+    assert sorted(tuple(r) for r in mothers.collect()) == [("a", 101, 3, 2), ("a", 103, 3, 0)]
+    held = {c: {r.node_id for r in controls.collect() if r[c]} for c in ("candidate", "linked", "annotated")}
+    assert held == {"candidate": {112}, "linked": {111, 113, 114}, "annotated": {104, 105, 110, 111, 112, 113, 114}}
+    look = controls.select("*", *[(F.col("node_id") % 7 + i + F.col("node_id") * 1e-13).alias(k) for i, k in enumerate(patches.FEATURES)])
+    rows = patches.placed_among(look, mothers, tuple(held)).collect()
+    assert len(rows) == 2 * 3 * 7 and {(r.node_id, r.lag) for r in rows} == {(101, 2), (103, 0)}
+    for r in rows:
+        others = np.array([n % 7 for n in held[r.control]])
+        own = r.node_id % 7
+        want = 100 * (np.mean(others < own) + 0.5 * np.mean(others == own))
+        assert r.percentile == pytest.approx(want) and r.separates == (want >= 90 or want <= 10)
