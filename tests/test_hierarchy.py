@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_volumes import flood, frames_of
 from tracelace.operators import hierarchy, patches, voxels
@@ -70,3 +71,22 @@ def test_tree_of_drawn_frames_equals_that_of_blocks(spark):
     of = lambda cut: sorted((r.t, r.level, r.size, r.children, round(r.merge, 6), *(round(r[c], 6) for c in ("mass", "z", "y", "x", "peak"))) for r in hierarchy.scored(hierarchy.tree(cut, levels), levels).collect())
     want, got = map(of, cuts)
     assert got == want and len({r[1] for r in got}) == 3
+
+
+def test_segments_judged_where_frames_are_drawn_equal_those_of_the_tree(spark):
+    rng = np.random.default_rng(9)
+    times = [0, 1, 15, 16, 40]
+    rows = [(d, t, int(z), int(y), int(x)) for d in "ab" for t in times for z, y, x in rng.integers((0, 0, 0), (8, 40, 40), (14, 3))]
+    p = spark.createDataFrame(rows, "dataset string, t int, z int, y int, x int")
+    real = [(d, 100 * i + j, t, float(z), float(y) / 2, float(x) / 2) for i, (d, t) in enumerate((d, t) for d in "abc" for t in [*times[1:], 70]) for j, (z, y, x) in enumerate(rng.integers((0, 0, 0), (12, 34, 34), (6, 3)))]
+    truth = spark.createDataFrame(real, "dataset string, node_id long, t int, uz double, uy double, ux double")
+    drawn, levels, sizes = voxels.Drawn(p, (8, 40, 40), 1.5), (0.9, 0.7, 0.5, 0.3, 0.15), (20, 900)
+    want = hierarchy.scored(hierarchy.tree(drawn, levels), levels).filter(F.col("size").between(*sizes))
+    judged, within = hierarchy.labelled_by(want, truth, 2.5)
+    out = hierarchy.drawn_real(drawn, levels, sizes, truth, 2.5)
+    of = lambda df: sorted((r.dataset, r.t, r.segment, r.is_real, *(round(r[c], 9) for c in ("height", "area", "intensity"))) for r in df.collect())
+    assert of(out) == of(judged) and {r.is_real for r in out.collect()} == {True, False}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    held = {(r.dataset, r.ruler): (r.n_truth, r.contained) for r in hierarchy.drawn_containment(drawn, levels, sizes, truth, (1.0, 2.5)).collect()}
+    assert {d: v for (d, ruler), v in held.items() if ruler == 2.5} == {r.dataset: (r.n_truth, r.contained) for r in within.collect()} and len(held) == 6
+    assert {d: v[1] for (d, ruler), v in held.items() if ruler == 1.0} == {r.dataset: r.contained for r in hierarchy.labelled_by(want, truth, 1.0)[1].collect()}

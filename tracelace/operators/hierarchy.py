@@ -7,7 +7,7 @@ tree needs one run of connected components, and no frame is held whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tracelace.functions.geometry import AXES, Spacing
 from tracelace.operators import basins, joins, patches, scoring, voxels
 from tracelace.operators.components import components
+from tracelace.operators.groups import spread
 from tracelace.operators.patches import Triple
 from tracelace.storage import scratch, written
 
@@ -118,6 +119,105 @@ def labelled_by(segments: DataFrame, truth: DataFrame, ruler: float, spacing: Sp
     return real, within
 
 
+def _segments(pen: voxels.Pen, t: np.ndarray, points: np.ndarray, levels: Sequence[float], sizes: tuple[int, int]) -> pd.DataFrame:
+    """``scored`` segments of a block of frames whose size lies between two bounds: t, segment, z, y, x (means), height, area, intensity.
+
+    The voxels of all the block's frames are labelled together at each level; only those above the lowest threshold are looked at.
+    """
+    when, at, value, low, high, held = [], [], [], [], [], 0
+    shape = pen.shape
+    for frame, _, a in pen.frames(t, points):
+        shape, voxel = a.shape, np.flatnonzero(a > np.float64(levels[-1]))
+        p, q = basins.neighbours(voxel, a.shape)
+        when.append(np.full(len(voxel), frame)), at.append(voxel), value.append(a.ravel()[voxel]), low.append(p + held), high.append(q + held)
+        held += len(voxel)
+    when, at, value, low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (when, at, value, low, high))
+    place = np.unravel_index(at, shape)
+    below, kids, merge, parts = None, None, None, []
+    for level in range(len(levels) - 1, -1, -1):
+        over = value > np.float64(levels[level])
+        own = np.flatnonzero(over)
+        number = np.cumsum(over) - 1
+        both = over[low] & over[high]
+        root = basins.joined(len(own), number[low[both]], number[high[both]])
+        heads = np.flatnonzero(root == np.arange(len(root)))
+        piece = (np.cumsum(root == np.arange(len(root))) - 1)[root] if len(root) else root
+        n = len(heads)
+        total = lambda w=None: np.bincount(piece, weights=w, minlength=n)  # noqa: B023, E731
+        v = value[own].astype(float)
+        peak = np.full(n, -np.inf)
+        np.maximum.at(peak, piece, v)
+        size = total()
+        if below is None:
+            here = np.full(n, float(levels[-1]))
+        else:
+            up = below[own[heads]]
+            kids = np.bincount(up, minlength=len(merge))
+            here = np.where(kids[up] > 1, float(levels[level + 1]), merge[up])
+        below, merge = np.full(len(at), -1), here
+        below[own] = piece
+        first = own[heads]
+        out = {"t": when[first], "segment": (at[first] + 1) * MOST_LEVELS + level, **{x: total(place[i][own].astype(float)) / size for i, x in enumerate(AXES)}, "height": peak - merge, "area": size.astype(float), "intensity": total(v) / size}
+        parts.append(pd.DataFrame(out)[(size >= sizes[0]) & (size <= sizes[1])])
+    return pd.concat(parts, ignore_index=True)
+
+
+def _nearest(segments: pd.DataFrame, t: np.ndarray, truth: np.ndarray, spacing: Spacing) -> tuple[np.ndarray, np.ndarray]:
+    """For each truth point (in micrometres) the row of the segment of its frame that is nearest, of equals the least name, -1 without any, and how far it is."""
+    row, far = np.full(len(t), -1), np.full(len(t), np.inf)
+    ordered = segments.sort_values(["t", "segment"])
+    frame, index = ordered["t"].to_numpy(), ordered.index.to_numpy()
+    um = np.stack([ordered[a].to_numpy() * getattr(spacing, a) for a in AXES])
+    for one in np.unique(t):
+        mine, asked = slice(*np.searchsorted(frame, [one, one + 1])), np.flatnonzero(t == one)
+        if mine.start == mine.stop:
+            continue
+        d = np.sqrt(sum((truth[asked, i, None] - um[i, mine]) ** 2 for i in range(3)))
+        best = d.argmin(axis=1)
+        row[asked], far[asked] = index[mine][best], d[np.arange(len(asked)), best]
+    return row, far
+
+
+def _beside(frames: voxels.Drawn, truth: DataFrame, of: Callable[[str, np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], levels: Sequence[float], sizes: tuple[int, int], schema: str) -> DataFrame:
+    """``of(dataset, frames and places of truth, segments)`` for each block of frames, which a task draws, labels and scores."""
+    if not 1 <= len(levels) <= MOST_LEVELS or any(a <= b for a, b in zip(levels, levels[1:], strict=False)):
+        raise ValueError(f"levels must fall, and be 1 to {MOST_LEVELS}")
+    pen, block = frames.pen, F.floor(F.col("t") / voxels.BLOCK)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(points: pd.DataFrame, real: pd.DataFrame) -> pd.DataFrame:
+        segments = _segments(pen, points["t"].to_numpy(), points[list(AXES)].to_numpy(float), levels, sizes)
+        dataset = (points if len(points) else real)["dataset"].iloc[0]
+        return of(dataset, real["t"].to_numpy(), real[["uz", "uy", "ux"]].to_numpy(float), segments)[names]
+
+    dealt = frames.points.select("dataset", "t", *AXES, block.alias("_block")).transform(spread("dataset", "_block"))
+    known = truth.select("dataset", "t", "uz", "uy", "ux", block.alias("_block")).transform(spread("dataset", "_block"))
+    return dealt.groupBy("dataset", "_block").cogroup(known.groupBy("dataset", "_block")).applyInPandas(run, schema)
+
+
+def drawn_real(frames: voxels.Drawn, levels: Sequence[float], sizes: tuple[int, int], truth: DataFrame, ruler: float, spacing: Spacing = Spacing()) -> DataFrame:
+    """The segments of ``tree``, ``scored``, of a size within bounds and ``labelled_by`` truth, all where frames are drawn: dataset, t, segment, height, area, intensity, is_real."""
+
+    def of(dataset: str, t: np.ndarray, real: np.ndarray, segments: pd.DataFrame) -> pd.DataFrame:
+        row, far = _nearest(segments, t, real, spacing)
+        hit = np.zeros(len(segments), bool)
+        hit[row[far <= ruler]] = True
+        return segments.assign(dataset=dataset, is_real=hit)[np.isin(segments["t"], t)]
+
+    return _beside(frames, truth, of, levels, sizes, "dataset string, t int, segment long, height double, area double, intensity double, is_real boolean")
+
+
+def drawn_containment(frames: voxels.Drawn, levels: Sequence[float], sizes: tuple[int, int], truth: DataFrame, rulers: Sequence[float], spacing: Spacing = Spacing()) -> DataFrame:
+    """dataset, n_truth, contained, ruler: truth points that have a segment (of a size within bounds) within each ruler."""
+
+    def of(dataset: str, t: np.ndarray, real: np.ndarray, segments: pd.DataFrame) -> pd.DataFrame:
+        far = _nearest(segments, t, real, spacing)[1] if len(t) else np.zeros(0)
+        return pd.DataFrame({"dataset": dataset, "n_truth": len(t), "contained": [int((far <= r).sum()) for r in rulers], "ruler": [float(r) for r in rulers]})
+
+    counts = _beside(frames, truth, of, levels, sizes, "dataset string, n_truth long, contained long, ruler double")
+    return counts.groupBy("dataset", "ruler").agg(F.sum("n_truth").alias("n_truth"), F.sum("contained").alias("contained")).filter("n_truth > 0").select("dataset", "n_truth", "contained", "ruler")
+
+
 def separation(judged: DataFrame, score: str, targets: Sequence[float] = (0.02, 0.05, 0.10)) -> DataFrame:
     """dataset, score, n_pos, n_neg, auc and for each target what share of false segments lies below the real ones' quantile there.
 
